@@ -106,7 +106,8 @@ def fold_width(df: DataFrame, width: int, column: str = "features", out: str | N
         for batch in batches:
             yield batch.set_column(position, batch.schema.field(position), _fold_vectors(batch.column(position), width))
 
-    return source.mapInArrow(fold, source.schema)
+    metadata = {"ml_attr": {"num_attrs": width}}
+    return source.mapInArrow(fold, source.schema).withMetadata(target, metadata)
 
 
 def _fold_vectors(vectors: pa.StructArray, width: int) -> pa.StructArray:

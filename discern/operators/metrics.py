@@ -48,7 +48,11 @@ def per_class(counts: DataFrame, *keys: str) -> DataFrame:
 
 
 def multiclass_report(counts: DataFrame, *keys: str) -> DataFrame:
-    """Accuracy, test error and precision, recall, F1 weighted by class size, in one row."""
+    """Accuracy, test error and precision, recall, F1 weighted by class size, in one row.
+
+    The balanced accuracy is the mean recall; with two classes it is also the ROC
+    area of the hard predictions.
+    """
     classes = per_class(counts, *keys)
     total = F.sum("n_actual")
 
@@ -62,6 +66,7 @@ def multiclass_report(counts: DataFrame, *keys: str) -> DataFrame:
         weighted("precision").alias("weighted_precision"),
         weighted("recall").alias("weighted_recall"),
         weighted("f1").alias("weighted_f1"),
+        F.avg("recall").alias("balanced_accuracy"),
         (1 - accuracy).alias("test_error"),
     )
 

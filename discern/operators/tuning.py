@@ -13,7 +13,6 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discern.operators.classifiers import last_stage
 from discern.operators.metrics import multiclass_report
 from discern.operators.split import with_fold
 from discern.sources.scratch import materialize
@@ -58,6 +57,7 @@ MODELS_PER_SCAN = 24
 
 METRICS = {
     "accuracy": "accuracy",
+    "balancedAccuracy": "balanced_accuracy",
     "f1": "weighted_f1",
     "weightedPrecision": "weighted_precision",
     "weightedRecall": "weighted_recall",
@@ -68,7 +68,7 @@ METRICS = {
 class TunedModel:
     """``results`` has one row per grid point; ``model`` is refitted on all rows."""
 
-    model: Model
+    model: Model | None
     params: dict[str, object]
     results: DataFrame
 
@@ -90,29 +90,15 @@ def predictions_side_by_side(models: Sequence[Model], rows: DataFrame, label: st
     """``label, model, prediction``: every model applied to the same scan of ``rows``."""
     scored = rows
     for i, model in enumerate(models):
-        head = last_stage(model)
-        own = [p for p in ("predictionCol", "rawPredictionCol", "probabilityCol") if head.hasParam(p)]
-        extra = {head.getParam(p): f"_p{i}" if p == "predictionCol" else "" for p in own}
-        if model is not head:
-            # Earlier stages of a fitted Pipeline write fixed columns; drop them again.
-            added = [c for c in _stage_outputs(model)]
-            scored = model.copy(extra).transform(scored).drop(*added)
-        else:
-            scored = model.copy(extra).transform(scored)
+        extra = {model.getParam("predictionCol"): f"_p{i}"}
+        extra |= {model.getParam(p): "" for p in ("rawPredictionCol", "probabilityCol") if model.hasParam(p)}
+        scored = model.copy(extra).transform(scored)
     pairs = F.array(
         *[F.struct(F.lit(i).alias("model"), F.col(f"_p{i}").alias("prediction")) for i in range(len(models))]
     )
     return scored.select(F.col(label).alias("label"), F.inline(pairs))
 
 
-def _stage_outputs(model: Model) -> list[str]:
-    names = []
-    for stage in model.stages[:-1]:
-        if stage.hasParam("outputCol") and stage.isDefined("outputCol"):
-            names.append(stage.getOrDefault("outputCol"))
-    return names
-
-
 def fold_scores(models: Sequence[Model], rows: DataFrame, label: str, metric: str) -> list[float | None]:
     """One figure per model; at most ``MODELS_PER_SCAN`` models share a scan."""
     scores: list[float | None] = []
@@ -144,25 +130,31 @@ def cross_validate(
     """Pick the grid point with the best mean ``metric`` over ``k`` folds.
 
     The rows are written once, one directory per fold, so a training set is read by
-    leaving a directory out.  Fits of a fold run side by side; all its models are
-    then scored in shared scans.  Folds follow from the row ids, so another
-    partitioning or a retry gives the same ones.
+    leaving a directory out.  Stages before the last are fitted once per fold, on its
+    training rows.  Fits of a fold run side by side; all its models are then scored
+    in shared scans.  Folds follow from the row ids, so another partitioning or a
+    retry gives the same ones.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose from {sorted(METRICS)}")
+    stages = estimator.getStages() if isinstance(estimator, Pipeline) else [estimator]
+    before, head = stages[:-1], stages[-1]
+    if any(param.parent != head.uid for point in param_maps for param in point):
+        raise ValueError("the grid may only vary the last stage")
     folded = materialize(with_fold(df, ids, k), "folds", ["fold"])
     present = [row[0] for row in folded.select("fold").distinct().collect()]  # at most k rows
     if len(present) < 2:
         raise ValueError("cross-validation needs rows in at least two folds")
-    totals = [[] for _ in param_maps]
+    totals: list[list[float | None]] = [[] for _ in param_maps]
     with ThreadPoolExecutor(max_workers=parallelism) as pool:
         for fold in sorted(present):
             training = folded.filter(F.col("fold") != fold).drop("fold")
             validation = folded.filter(F.col("fold") == fold).drop("fold")
-            target = inheritable_thread_target(df.sparkSession)(
-                lambda point, rows=training: estimator.fit(rows, point)
-            )
-            models = list(pool.map(target, param_maps))
+            if before:
+                fixed = Pipeline(stages=before).fit(training)
+                training, validation = fixed.transform(training), fixed.transform(validation)
+            fit = inheritable_thread_target(df.sparkSession)(lambda point, rows=training: head.fit(rows, point))
+            models = list(pool.map(fit, param_maps))
             for i, score in enumerate(fold_scores(models, validation, label, metric)):
                 totals[i].append(score)
     means = [_mean(scores) for scores in totals]
@@ -171,7 +163,9 @@ def cross_validate(
     rows = [(i, _describe(points[i]), metric, means[i], len(totals[i]), i == best) for i in range(len(param_maps))]
     schema = "point int, params string, metric string, avg_metric double, folds int, best boolean"
     results = df.sparkSession.createDataFrame(rows, schema)
-    model = estimator.fit(folded.drop("fold"), param_maps[best]) if refit else None
+    model = None
+    if refit:
+        model = Pipeline(stages=[*before, head.copy(param_maps[best])]).fit(folded.drop("fold"))
     return TunedModel(model, points[best], results)
 
 
