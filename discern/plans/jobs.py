@@ -60,13 +60,19 @@ def dense_multiclass(
     seed: int = SPLIT_SEED,
     metric: str = "f1",
     parallelism: int = 4,
+    index_labels: bool = True,
 ) -> JobResult:
     """Wide numeric table to a tuned multi-class model and its reports.
 
     ``values`` is the grid (``None`` fits once).  PCA belongs to the pipeline and
-    sees training rows only.
+    sees training rows only.  Labels are indexed by frequency over all rows, so no
+    class number stays empty; ``index_labels=False`` takes them as they are.
     """
-    rows = assembler(features).transform(df).select(*ids, F.col(label).cast("double").alias("label"), "features")
+    target = F.col(label).cast("double")
+    if index_labels:
+        indexer = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip").fit(df)
+        df, target = indexer.transform(df), F.col("_label")
+    rows = assembler(features).transform(df).select(*ids, target.alias("label"), "features")
     rows = materialize(rows, "dense")
     training, test = hash_split(rows, ids, weights, seed)
     stages: list[Estimator] = []
