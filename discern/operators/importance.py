@@ -13,7 +13,6 @@ from discern.functions.hashing import hash_bucket, hash_hex
 from discern.operators.classifiers import last_stage
 
 PERMUTE_SEED = 31337
-FEATURES_PER_SCAN = 16
 ROWS_PER_BUCKET = 100_000
 
 
@@ -85,30 +84,31 @@ def permutation_importance(
     """Loss of accuracy of a fitted classifier when one feature column is permuted.
 
     ``columns`` are the numeric columns that make up the feature vector, in order.
-    One shuffle provides the donors; the features then share scans of it.
+    One shuffle provides the donors.  Each row is then scored as it is and once per
+    column inside the same stage, and only one hit count per column leaves a task.
     """
     head = last_stage(model)
     rows = with_donor(df.select(*ids, F.col(label), *columns), columns, ids, rows_per_bucket)
-    reports = []
-    for start in range(0, len(columns), FEATURES_PER_SCAN):
-        chunk = columns[start : start + FEATURES_PER_SCAN]
-        scored = rows
-        for i, changed in enumerate([None, *chunk]):
-            values = [F.col(f"donor_{c}") if c == changed else F.col(c) for c in columns]
-            vector = array_to_vector(F.array(*[v.cast("double") for v in values]))
-            extra = {head.getParam("featuresCol"): "_x", head.getParam("predictionCol"): f"_p{i}"}
-            extra |= {head.getParam(p): "" for p in ("rawPredictionCol", "probabilityCol") if head.hasParam(p)}
-            scored = head.copy(extra).transform(scored.withColumn("_x", vector)).drop("_x")
-        hits = [F.avg((F.col(f"_p{i}") == F.col(label)).cast("double")).alias(f"a_{i}") for i in range(len(chunk) + 1)]
-        one = scored.agg(*hits)
-        pairs = F.array(
-            *[
-                F.struct(F.lit(c).alias("feature"), F.col("a_0").alias("accuracy"), F.col(f"a_{i + 1}").alias("permuted_accuracy"))
-                for i, c in enumerate(chunk)
-            ]
-        )
-        reports.append(one.select(F.inline(pairs)))
-    report = reports[0]
-    for other in reports[1:]:
-        report = report.unionAll(other)
-    return report.withColumn("importance", F.col("accuracy") - F.col("permuted_accuracy"))
+    own = F.array(*[F.col(c).cast("double") for c in columns])
+    donor = F.array(*[F.col(f"donor_{c}").cast("double") for c in columns])
+    variants = rows.select(
+        F.col(label).cast("double").alias("_label"),
+        own.alias("_own"),
+        donor.alias("_donor"),
+        F.explode(F.sequence(F.lit(-1), F.lit(len(columns) - 1))).alias("_changed"),
+    )
+    mixed = F.transform(
+        F.arrays_zip("_own", "_donor"),
+        lambda pair, i: F.when(i == F.col("_changed"), pair["_donor"]).otherwise(pair["_own"]),
+    )
+    extra = {head.getParam("featuresCol"): "_x", head.getParam("predictionCol"): "_prediction"}
+    extra |= {head.getParam(p): "" for p in ("rawPredictionCol", "probabilityCol") if head.hasParam(p)}
+    scored = head.copy(extra).transform(variants.select("_label", "_changed", array_to_vector(mixed).alias("_x")))
+    hits = scored.groupBy("_changed").agg(F.avg((F.col("_prediction") == F.col("_label")).cast("double")).alias("a"))
+    by_column = hits.agg(F.map_from_entries(F.collect_list(F.struct("_changed", "a"))).alias("a"))  # one entry per column
+    names = F.array(*[F.lit(c) for c in columns])
+    return (
+        by_column.select("a", F.posexplode(names).alias("_i", "feature"))
+        .select("feature", F.col("a")[F.lit(-1)].alias("accuracy"), F.col("a")[F.col("_i")].alias("permuted_accuracy"))
+        .withColumn("importance", F.col("accuracy") - F.col("permuted_accuracy"))
+    )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discern.functions.hashing import hash_bucket, hash_hex, hash_unit
+from discern.sources.scratch import materialize
 
 # Seeds of the published experiments.
 SPLIT_SEED = 5043
@@ -46,6 +47,23 @@ def hash_split(
     return tuple(df.filter(number == i) for i in range(len(weights)))
 
 
+def stored_split(
+    df: DataFrame,
+    ids: Sequence[str],
+    weights: Sequence[float] = (80, 20),
+    seed: int = SPLIT_SEED,
+    keep: Sequence[str] | None = None,
+) -> tuple[DataFrame, ...]:
+    """As :func:`hash_split`, with the rows written once, one directory per part.
+
+    Use it before a fit: the part is read without touching the others, and neither
+    the preparation nor the hashes are repeated on each pass of the solver.
+    """
+    rows = with_split(df, ids, weights, seed)
+    rows = materialize(rows.select(*(keep or df.columns), "split"), "split", ["split"])
+    return tuple(rows.filter(F.col("split") == i).drop("split") for i in range(len(weights)))
+
+
 def with_fold(df: DataFrame, ids: Sequence[str], k: int, seed: int = FOLD_SEED, name: str = "fold") -> DataFrame:
     return df.withColumn(name, hash_bucket(ids, seed, k).cast("int"))
 

@@ -145,18 +145,23 @@ def cross_validate(
     present = [row[0] for row in folded.select("fold").distinct().collect()]  # at most k rows
     if len(present) < 2:
         raise ValueError("cross-validation needs rows in at least two folds")
-    totals: list[list[float | None]] = [[] for _ in param_maps]
-    with ThreadPoolExecutor(max_workers=parallelism) as pool:
-        for fold in sorted(present):
-            training = folded.filter(F.col("fold") != fold).drop("fold")
-            validation = folded.filter(F.col("fold") == fold).drop("fold")
-            if before:
-                fixed = Pipeline(stages=before).fit(training)
-                training, validation = fixed.transform(training), fixed.transform(validation)
-            fit = inheritable_thread_target(df.sparkSession)(lambda point, rows=training: head.fit(rows, point))
-            models = list(pool.map(fit, param_maps))
-            for i, score in enumerate(fold_scores(models, validation, label, metric)):
-                totals[i].append(score)
+    on_thread = inheritable_thread_target(df.sparkSession)
+
+    def score_fold(fold: int) -> list[float | None]:
+        training = folded.filter(F.col("fold") != fold).drop("fold")
+        validation = folded.filter(F.col("fold") == fold).drop("fold")
+        if before:
+            fixed = Pipeline(stages=before).fit(training)
+            training, validation = fixed.transform(training), fixed.transform(validation)
+        models = list(fits.map(on_thread(lambda point: head.fit(training, point)), param_maps))
+        return fold_scores(models, validation, label, metric)
+
+    # Folds run side by side only where a fold has too few fits to keep all threads busy,
+    # so the driver never holds the models of many folds at once.
+    abreast = max(1, parallelism // len(param_maps))
+    with ThreadPoolExecutor(parallelism) as fits, ThreadPoolExecutor(abreast) as folds:
+        per_fold = list(folds.map(on_thread(score_fold), sorted(present)))
+    totals = [[scores[i] for scores in per_fold] for i in range(len(param_maps))]
     means = [_mean(scores) for scores in totals]
     best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, means[i] or 0.0, -i))
     points = [{p.name: v for p, v in point.items()} for point in param_maps]

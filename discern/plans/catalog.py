@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.ml import Pipeline
 from pyspark.ml.evaluation import BinaryClassificationEvaluator
-from pyspark.ml.feature import IndexToString, OneHotEncoder, StringIndexer
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession
@@ -32,9 +32,9 @@ from discern.operators.importance import permutation_importance, permuted_accura
 from discern.operators.profile import distinct_count, profile
 from discern.operators.split import (
     SPARSE_SPLIT_SEED,
-    hash_split,
     sample_with_replacement,
     shuffled_top,
+    stored_split,
     with_fold,
     with_split,
 )
@@ -43,7 +43,7 @@ from discern.plans import inputs as I
 from discern.plans.jobs import deep_classifier, dense_multiclass, second_stage, sparse_binary
 from discern.sources.handoff import read_split, write_split
 from discern.sources.libsvm import read_libsvm, write_libsvm
-from discern.sources.scratch import materialize, scratch_path
+from discern.sources.scratch import scratch_path
 from discern.sources.tables import read_table
 from discern.sources.wide_csv import read_wide_csv, write_wide_csv
 
@@ -131,7 +131,7 @@ def libsvm_roundtrip_stats(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def split_handoff_counts(spark: SparkSession, directory: str) -> DataFrame:
     table = with_split(I.embedding_table(spark, directory), ["vec_id"])
-    names = [c for c in table.columns if c.startswith("f")]
+    names = I.embedding_names(table)
     path = scratch_path(spark, "handoff")
     write_split(table, path, names, "label")
     parts = [
@@ -266,16 +266,10 @@ def feature_covariance(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(X.covariance(read_table(spark, directory, "embeddings"), "embedding"), 8)
 
 
-def _embedding_vectors(spark: SparkSession, directory: str) -> DataFrame:
-    table = I.embedding_table(spark, directory)
-    names = [c for c in table.columns if c.startswith("f")]
-    return X.assembler(names).transform(table).select("vec_id", "label", "features")
-
-
 @query
 def pca_rotation_norms(spark: SparkSession, directory: str) -> DataFrame:
     """Squared length of every row after PCA to full width, which is a rotation."""
-    rows = _embedding_vectors(spark, directory)
+    rows = I.embedding_vectors(spark, directory)
     model = X.principal_components(rows, X.vector_width(rows)).fit(rows)
     length = F.aggregate(vector_to_array("pca_features"), F.lit(0.0), lambda a, b: a + b * b)
     return rounded(model.transform(rows).select("vec_id", length.alias("squared_length")))
@@ -283,7 +277,7 @@ def pca_rotation_norms(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def pca_explained_variance(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _embedding_vectors(spark, directory)
+    rows = I.embedding_vectors(spark, directory)
     model = X.principal_components(rows, 50).fit(rows)
     shares = F.array(*[F.lit(float(v)) for v in model.explainedVariance])
     return rows.agg(F.count("*").alias("n_rows")).select(F.posexplode(shares).alias("component", "share"), "n_rows")
@@ -293,9 +287,9 @@ def pca_explained_variance(spark: SparkSession, directory: str) -> DataFrame:
 
 
 def _letter_bayes(spark: SparkSession, directory: str):
-    rows = materialize(I.letter_table(spark, directory), "letters")
-    training, test = hash_split(rows, ["doc_id"])
-    indexer = StringIndexer(inputCol="lang", outputCol="label").fit(rows)
+    rows = I.letter_table(spark, directory)
+    indexer = StringIndexer(inputCol="lang", outputCol="label").fit(rows.select("lang"))
+    training, test = stored_split(rows, ["doc_id"])
     stages = [indexer, X.assembler(I.LETTER_COLUMNS), C.classifier("naive_bayes")]
     return Pipeline(stages=stages).fit(training), indexer.labels, test
 
@@ -340,65 +334,61 @@ def stump_gini(spark: SparkSession, directory: str) -> DataFrame:
 # --- classifiers --------------------------------------------------------------
 
 
-def _quantity_split(spark: SparkSession, directory: str) -> tuple[Pipeline, tuple[DataFrame, ...]]:
-    """One-hot quantities; rows written once because the fits read them many times."""
-    rows = I.line_rules(spark, directory).select(*I.LINE_ID, *I.LINE_NUMERIC, "quantity", "label", "big")
-    encoder = OneHotEncoder(inputCols=["quantity"], outputCols=["features"], dropLast=False)
-    return encoder, hash_split(rows, I.LINE_ID)
-
-
 def _confusion_of(model, test: DataFrame, label: str = "label") -> DataFrame:
     return M.confusion(model.transform(test), label)
 
 
+def _quantity_split(spark: SparkSession, directory: str) -> tuple[DataFrame, ...]:
+    rows = I.quantity_vectors(spark, directory)
+    return stored_split(rows, I.LINE_ID, keep=["label", "big", "features"])
+
+
+def _numeric_split(spark: SparkSession, directory: str) -> tuple[DataFrame, ...]:
+    return stored_split(I.numeric_vectors(spark, directory), I.LINE_ID)
+
+
 @query
 def lr_multinomial(spark: SparkSession, directory: str) -> DataFrame:
-    encoder, (training, test) = _quantity_split(spark, directory)
-    return _confusion_of(C.fit_on(training, C.classifier("logistic_regression", maxIter=50), encoder), test)
+    training, test = _quantity_split(spark, directory)
+    return _confusion_of(C.classifier("logistic_regression", maxIter=50).fit(training), test)
 
 
 @query
 def svm_quantity(spark: SparkSession, directory: str) -> DataFrame:
-    encoder, (training, test) = _quantity_split(spark, directory)
-    svm = C.classifier("linear_svm", labelCol="big", regParam=0.001)
-    return _confusion_of(C.fit_on(training, svm, encoder), test, "big")
+    training, test = _quantity_split(spark, directory)
+    return _confusion_of(C.classifier("linear_svm", labelCol="big", regParam=0.001).fit(training), test, "big")
 
 
 @query
 def mlp_multiclass(spark: SparkSession, directory: str) -> DataFrame:
-    encoder, (training, test) = _quantity_split(spark, directory)
-    vectors = encoder.fit(training).transform(training)
-    net = C.perceptron(vectors, 4, maxIter=40)
-    return _confusion_of(C.fit_on(training, net, encoder), test)
+    training, test = _quantity_split(spark, directory)
+    return _confusion_of(C.perceptron(training, 4, maxIter=40).fit(training), test)
 
 
 @query
 def deep_mlp(spark: SparkSession, directory: str) -> DataFrame:
-    encoder, (training, test) = _quantity_split(spark, directory)
-    vectors = encoder.fit(training).transform(training)
-    net = C.perceptron(vectors, 4, C.HIDDEN_LAYERS["deep"], maxIter=60)
-    return _confusion_of(C.fit_on(training, net, encoder), test)
+    training, test = _quantity_split(spark, directory)
+    return _confusion_of(C.perceptron(training, 4, C.HIDDEN_LAYERS["deep"], maxIter=40).fit(training), test)
 
 
 @query
 def dt_multiclass(spark: SparkSession, directory: str) -> DataFrame:
-    _, (training, test) = _quantity_split(spark, directory)
-    tree = C.classifier("decision_tree", maxDepth=3, maxBins=64)
-    return _confusion_of(C.fit_on(training, tree, X.assembler(I.LINE_NUMERIC)), test)
+    training, test = _numeric_split(spark, directory)
+    return _confusion_of(C.classifier("decision_tree", maxDepth=3, maxBins=64).fit(training), test)
 
 
 @query
 def rf_multiclass(spark: SparkSession, directory: str) -> DataFrame:
-    _, (training, test) = _quantity_split(spark, directory)
+    training, test = _numeric_split(spark, directory)
     forest = C.classifier("random_forest", maxDepth=3, maxBins=64, numTrees=5, featureSubsetStrategy="all")
-    return _confusion_of(C.fit_on(training, forest, X.assembler(I.LINE_NUMERIC)), test)
+    return _confusion_of(forest.fit(training), test)
 
 
 def _url_split(spark: SparkSession, directory: str, width: int | None = None) -> tuple[DataFrame, ...]:
-    rows = materialize(I.hashed_urls(spark, directory, 1 << 18), "urls")
+    rows = I.hashed_urls(spark, directory, 1 << 18)
     if width is not None:
-        rows = materialize(X.fold_width(rows, width), "folded")
-    return hash_split(rows, ["page_id"], seed=SPARSE_SPLIT_SEED)
+        rows = X.fold_width(rows, width)
+    return stored_split(rows, ["page_id"], seed=SPARSE_SPLIT_SEED)
 
 
 @query
@@ -434,8 +424,7 @@ def mlp_hashed(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def nb_sparse(spark: SparkSession, directory: str) -> DataFrame:
     """Naive Bayes over all words of the labelled documents, as a binary report."""
-    rows = materialize(I.hashed_documents(spark, directory), "documents")
-    training, test = hash_split(rows, ["doc_id"])
+    training, test = stored_split(I.hashed_documents(spark, directory), ["doc_id"])
     return rounded(M.binary_report(C.classifier("naive_bayes").fit(training).transform(test)))
 
 
@@ -449,7 +438,7 @@ def lr_documents(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def dense_pca_lr(spark: SparkSession, directory: str) -> DataFrame:
     table = I.embedding_table(spark, directory)
-    names = [c for c in table.columns if c.startswith("f")]
+    names = I.embedding_names(table)
     values = {"regParam": [0.1, 0.01], "maxIter": [20]}
     result = dense_multiclass(table, ["vec_id"], names, "label", C.classifier("logistic_regression"), values, folds=3)
     return rounded(result.reports["multiclass"])
@@ -458,7 +447,7 @@ def dense_pca_lr(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def deep_validated(spark: SparkSession, directory: str) -> DataFrame:
     table = I.embedding_table(spark, directory)
-    names = [c for c in table.columns if c.startswith("f")]
+    names = I.embedding_names(table)
     result = deep_classifier(table, ["vec_id"], names, "label", 10, maxIter=40)
     parts = [result.reports[p].withColumn("part", F.lit(p)) for p in ("validation", "test")]
     return rounded(parts[0].unionAll(parts[1]))
@@ -467,7 +456,7 @@ def deep_validated(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def second_stage_mlp(spark: SparkSession, directory: str) -> DataFrame:
     table = with_split(I.embedding_table(spark, directory), ["vec_id"])
-    names = [c for c in table.columns if c.startswith("f")]
+    names = I.embedding_names(table)
     path = scratch_path(spark, "stage")
     write_split(table, path, names, "label")
     return second_stage(spark, path, len(names), 10, maxIter=15).reports["counts"]
@@ -488,50 +477,40 @@ def layer_param_counts(spark: SparkSession, directory: str) -> DataFrame:
 # --- tuning -------------------------------------------------------------------
 
 
-def _line_vectors(spark: SparkSession, directory: str) -> DataFrame:
-    rows = I.line_rules(spark, directory)
-    return X.assembler(I.LINE_NUMERIC).transform(rows).select(*I.LINE_ID, "label", "features")
-
-
-def _line_one_hot(spark: SparkSession, directory: str, label: str = "label") -> DataFrame:
-    rows = I.line_rules(spark, directory)
-    encoder = OneHotEncoder(inputCols=["quantity"], outputCols=["features"], dropLast=False)
-    return encoder.fit(rows).transform(rows).select(*I.LINE_ID, F.col(label).alias("label"), "features")
-
-
 def _tuned(rows: DataFrame, estimator, values, ids=I.LINE_ID, metric: str = "f1") -> DataFrame:
-    return rounded(cross_validate(rows, estimator, grid(estimator, values), ids, 3, metric=metric, refit=False).results)
+    points = grid(estimator, values)
+    return rounded(cross_validate(rows, estimator, points, ids, 3, metric=metric, parallelism=6, refit=False).results)
 
 
 @query
 def cv_grid_lr(spark: SparkSession, directory: str) -> DataFrame:
     values = {"regParam": [0.1, 0.01], "maxIter": [20]}
-    return _tuned(_line_one_hot(spark, directory), C.classifier("logistic_regression"), values)
+    return _tuned(I.quantity_vectors(spark, directory), C.classifier("logistic_regression"), values)
 
 
 @query
 def cv_grid_dt(spark: SparkSession, directory: str) -> DataFrame:
     values = {"maxDepth": [3, 4], "impurity": ["gini", "entropy"]}
-    return _tuned(_line_vectors(spark, directory), C.classifier("decision_tree", maxBins=64), values)
+    return _tuned(I.numeric_vectors(spark, directory), C.classifier("decision_tree", maxBins=64), values)
 
 
 @query
 def cv_grid_rf(spark: SparkSession, directory: str) -> DataFrame:
     values = {"maxDepth": [3], "numTrees": [3, 5]}
     forest = C.classifier("random_forest", maxBins=64, featureSubsetStrategy="all")
-    return _tuned(_line_vectors(spark, directory), forest, values)
+    return _tuned(I.numeric_vectors(spark, directory), forest, values)
 
 
 @query
 def cv_grid_svm(spark: SparkSession, directory: str) -> DataFrame:
     values = {"regParam": [0.01, 0.001]}
-    rows = _line_one_hot(spark, directory, "big")
+    rows = I.quantity_vectors(spark, directory).select(*I.LINE_ID, F.col("big").alias("label"), "features")
     return _tuned(rows, C.classifier("linear_svm"), values, metric="balancedAccuracy")
 
 
 @query
 def cv_grid_lr_sparse(spark: SparkSession, directory: str) -> DataFrame:
-    values = {"regParam": [0.01, 0.001], "maxIter": [30]}
+    values = {"regParam": [0.001, 0.0001], "maxIter": [100]}
     rows = I.hashed_urls(spark, directory, 1 << 18)
     return _tuned(rows, C.classifier("logistic_regression_sparse"), values, ["page_id"], "balancedAccuracy")
 
@@ -545,7 +524,7 @@ def cv_grid_rf_sparse(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def cv_deep_mlp(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _line_one_hot(spark, directory)
+    rows = I.quantity_vectors(spark, directory)
     return _tuned(rows, C.perceptron(rows, 4, maxIter=30), {})
 
 
@@ -644,7 +623,7 @@ def evaluator_params(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def feature_importance(spark: SparkSession, directory: str) -> DataFrame:
-    rows = _line_vectors(spark, directory)
+    rows = I.numeric_vectors(spark, directory)
     model = C.classifier("decision_tree", maxDepth=2, maxBins=64).fit(rows)
     return rounded(tree_importances(rows, model, I.LINE_NUMERIC))
 
@@ -663,7 +642,6 @@ def rule_permutation_importance(spark: SparkSession, directory: str) -> DataFram
 
 @query
 def model_permutation_importance(spark: SparkSession, directory: str) -> DataFrame:
-    _, (training, test) = _quantity_split(spark, directory)
-    tree = C.classifier("decision_tree", maxDepth=3, maxBins=64)
-    model = C.fit_on(training, tree, X.assembler(I.LINE_NUMERIC))
+    training, test = _numeric_split(spark, directory)
+    model = C.classifier("decision_tree", maxDepth=3, maxBins=64).fit(training)
     return rounded(permutation_importance(test, model, I.LINE_NUMERIC, I.LINE_ID, rows_per_bucket=10_000))

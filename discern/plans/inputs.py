@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.ml.feature import OneHotEncoder
+
 from discern.functions.text import LETTERS, letter_counts
-from discern.operators.features import hashed_terms
+from discern.operators.features import assembler, hashed_terms
 from discern.sources.tables import read_table, spread
 
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -76,6 +78,29 @@ def line_rules(spark: SparkSession, directory: str) -> DataFrame:
     )
 
 
+def quantity_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    """Line items with the quantity one-hot encoded in ``features``."""
+    quantities = read_table(spark, directory, "lineitem").select(F.col("l_quantity").cast("int").alias("quantity"))
+    encoder = OneHotEncoder(inputCols=["quantity"], outputCols=["features"], dropLast=False).fit(quantities)
+    return encoder.transform(line_rules(spark, directory)).select(*LINE_ID, "label", "big", "features")
+
+
+def numeric_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    """Line items with their four amounts in ``features``."""
+    rows = assembler(LINE_NUMERIC).transform(line_rules(spark, directory))
+    return rows.select(*LINE_ID, *LINE_NUMERIC, "label", "big", "features")
+
+
+def embedding_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    """``vec_id, label, features`` of the embeddings, indexable as ``f0 .. fN``."""
+    table = embedding_table(spark, directory)
+    return assembler(embedding_names(table)).transform(table).select("vec_id", "label", "features")
+
+
+def embedding_names(table: DataFrame) -> list[str]:
+    return [c for c in table.columns if c.startswith("f")]
+
+
 def rule_predictions(spark: SparkSession, directory: str) -> DataFrame:
     """A fixed rule in place of a model on documents: ``label, prediction, score``."""
     documents = read_table(spark, directory, "documents").select("doc_id", "n_chars")

@@ -15,7 +15,7 @@ from discern.operators.curves import auc
 from discern.operators.features import assembler, fold_width, principal_components
 from discern.operators.importance import permutation_importance
 from discern.operators.metrics import binary_report, confusion, confusion_matrix, macro_report, multiclass_report
-from discern.operators.split import SPARSE_SPLIT_SEED, SPLIT_SEED, hash_split
+from discern.operators.split import SPARSE_SPLIT_SEED, SPLIT_SEED, stored_split
 from discern.operators.tuning import cross_validate, grid
 from discern.sources.handoff import read_split
 from discern.sources.scratch import materialize
@@ -73,11 +73,10 @@ def dense_multiclass(
         indexer = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip").fit(df)
         df, target = indexer.transform(df), F.col("_label")
     rows = assembler(features).transform(df).select(*ids, target.alias("label"), "features")
-    rows = materialize(rows, "dense")
-    training, test = hash_split(rows, ids, weights, seed)
+    training, test = stored_split(rows, ids, weights, seed)
     stages: list[Estimator] = []
     if components is not None:
-        stages.append(principal_components(rows, components))
+        stages.append(principal_components(training, components))
         estimator = estimator.copy({estimator.getParam("featuresCol"): "pca_features"})
     model, reports = _tuned(training, Pipeline(stages=[*stages, estimator]), values, ids, folds, metric, parallelism)
     predictions = model.transform(test)
@@ -109,8 +108,7 @@ def sparse_binary(
     """
     indexer = StringIndexer(inputCol="label", outputCol="_label").fit(df)
     rows = indexer.transform(df).select(*ids, F.col("_label").alias("label"), "features")
-    rows = materialize(fold_width(rows, width) if width else rows, "sparse")
-    training, test = hash_split(rows, ids, weights, seed)
+    training, test = stored_split(fold_width(rows, width) if width else rows, ids, weights, seed)
     model, reports = _tuned(training, Pipeline(stages=[estimator]), values, ids, folds, metric, parallelism)
     predictions = model.transform(test)
     reports |= {"binary": binary_report(predictions), "areas": auc(predictions, score="prediction")}
@@ -153,9 +151,9 @@ def deep_classifier(
     With ``folds`` the training part is also cross-validated at these settings.
     """
     rows = assembler(features).transform(df.withColumn("label", F.col(label).cast("double")))
-    rows = materialize(rows.select(*ids, *features, "label", "features"), "deep")
-    training, validation, test = hash_split(rows, ids, weights, seed)
-    net = perceptron(rows, num_classes, hidden, **params)
+    rows = rows.select(*ids, *features, "label", "features")
+    training, validation, test = stored_split(rows, ids, weights, seed)
+    net = perceptron(training, num_classes, hidden, **params)
     reports: dict[str, DataFrame] = {}
     if folds is not None:
         reports["tuning"] = cross_validate(

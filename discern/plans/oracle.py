@@ -203,12 +203,12 @@ ORACLE["impute_mean"] = "SELECT vec_id, " + ", ".join(
     for i in range(10, 15)
 ) + " FROM embeddings"
 ORACLE["hashed_term_counts"] = r"""
-SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), t -> t <> ''))::double AS n_terms FROM documents"""
+SELECT doc_id, len([t for t in string_split_regex(text, '\s+') if t <> ''])::double AS n_terms FROM documents"""
 ORACLE["feature_covariance"] = f"""WITH {EMBEDDING_CELLS}
 SELECT a.i, b.i AS j, round(covar_samp(a.x, b.x), 8) AS covariance
 FROM cells a JOIN cells b ON a.vec_id = b.vec_id AND a.i <= b.i GROUP BY 1, 2"""
 ORACLE["pca_rotation_norms"] = """
-SELECT vec_id, round(list_sum(list_transform(embedding::double[], x -> x * x)), 6) AS squared_length FROM embeddings"""
+SELECT vec_id, round(list_sum([x * x for x in embedding::double[]]), 6) AS squared_length FROM embeddings"""
 
 # --- naive Bayes and trees with a closed form ---------------------------------
 
@@ -307,7 +307,7 @@ ORACLE["cv_grid_svm"] = _tuning(
     "balancedAccuracy",
 )
 ORACLE["cv_grid_lr_sparse"] = _tuning(
-    ["maxIter=30, regParam=0.01", "maxIter=30, regParam=0.001"],
+    ["maxIter=100, regParam=0.001", "maxIter=100, regParam=0.0001"],
     f"""b AS (SELECT {hash32('page_id::varchar', FOLD_SEED)} % 3 AS fold, contains(url, '?')::int AS label,
            contains(url, '?')::int AS prediction FROM pages)""",
     BALANCED,

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from discern.sources.wide_csv import read_wide_csv, wide_schema
 
@@ -36,7 +37,7 @@ def read_labelled_csv(
     check is part of the row expression and needs no pass of its own.
     """
     columns = n_columns or label_index + 1
-    rows = read_wide_csv(spark, path, wide_schema(columns - 1))
+    rows = read_wide_csv(spark, path, wide_schema(columns - 1, T.DoubleType()))
     names = rows.columns
     label = F.col(names[label_index]).cast("double")
     outside = label.isNull() | (label < 0) | (label >= num_classes) | (label != F.floor(label))

@@ -17,8 +17,12 @@ def register_tables(spark: SparkSession, directory: str, names: Iterable[str]) -
         read_table(spark, directory, name).createOrReplaceTempView(name)
 
 
+# A small table gets one partition for so many bytes, up to one per core.
+BYTES_PER_SMALL_PARTITION = 128 * 1024
+
+
 def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Give a small table one partition per core before an iterative fit reads it.
+    """Give a table that is smaller than the cluster more partitions before an iterative fit.
 
     A table that already fills a scan partition per core (by the optimizer's size
     estimate) is returned as it is, so large inputs are never shuffled for this.
@@ -29,4 +33,4 @@ def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * per_partition:
         return df
-    return df.repartition(cores, *ids)
+    return df.repartition(min(cores, -(-size // BYTES_PER_SMALL_PARTITION)), *ids)
