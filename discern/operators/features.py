@@ -35,6 +35,17 @@ def label_index(
     return global_row_number(counts, [F.col("n").desc(), F.col("value")], out, single_task_rows)
 
 
+def with_known_index(df: DataFrame, column: str, labels: Sequence[str], out: str = "label") -> DataFrame:
+    """Index ``column`` by its place in ``labels``; anything else, null included, gets null.
+
+    The classes go into the column's metadata, which spares each classifier the pass
+    in which it would count them.
+    """
+    index = F.create_map(*[F.lit(x) for i, value in enumerate(labels) for x in (value, float(i))])
+    metadata = {"ml_attr": {"type": "nominal", "name": out, "vals": list(labels)}}
+    return df.withColumn(out, index[F.col(column).cast("string")].alias(out, metadata=metadata))
+
+
 def categorical(columns: Sequence[str], suffix: str = "_index") -> StringIndexer:
     """Index several columns in one pass; values not seen in training get an index of their own."""
     return StringIndexer(inputCols=list(columns), outputCols=[c + suffix for c in columns], handleInvalid="keep")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from threading import Lock
 
 from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
@@ -55,6 +56,9 @@ PRESETS = {"reference": REFERENCE_GRIDS, "small": SMALL_GRIDS}
 # Models whose predictions are counted in one scan of a validation fold.
 MODELS_PER_SCAN = 24
 
+# The driver-side eigen solver of PCA keeps static state and fails when two run at once.
+_ONE_SOLVER = Lock()
+
 METRICS = {
     "accuracy": "accuracy",
     "balancedAccuracy": "balanced_accuracy",
@@ -129,8 +133,8 @@ def cross_validate(
 ) -> TunedModel:
     """Pick the grid point with the best mean ``metric`` over ``k`` folds.
 
-    The rows are written once, one directory per fold, so a training set is read by
-    leaving a directory out.  Stages before the last are fitted once per fold, on its
+    The rows are written once, sorted by fold inside each file, so that a validation
+    fold is read without the pages of the others.  Stages before the last are fitted once per fold, on its
     training rows.  Fits of a fold run side by side; all its models are then scored
     in shared scans.  Folds follow from the row ids, so another partitioning or a
     retry gives the same ones.
@@ -141,7 +145,7 @@ def cross_validate(
     before, head = stages[:-1], stages[-1]
     if any(param.parent != head.uid for point in param_maps for param in point):
         raise ValueError("the grid may only vary the last stage")
-    folded = materialize(with_fold(df, ids, k), "folds", ["fold"])
+    folded = materialize(with_fold(df, ids, k), "folds", sort_by=["fold"])
     present = [row[0] for row in folded.select("fold").distinct().collect()]  # at most k rows
     if len(present) < 2:
         raise ValueError("cross-validation needs rows in at least two folds")
@@ -151,7 +155,8 @@ def cross_validate(
         training = folded.filter(F.col("fold") != fold).drop("fold")
         validation = folded.filter(F.col("fold") == fold).drop("fold")
         if before:
-            fixed = Pipeline(stages=before).fit(training)
+            with _ONE_SOLVER:
+                fixed = Pipeline(stages=before).fit(training)
             training, validation = fixed.transform(training), fixed.transform(validation)
         models = list(fits.map(on_thread(lambda point: head.fit(training, point)), param_maps))
         return fold_scores(models, validation, label, metric)

@@ -462,6 +462,23 @@ def second_stage_mlp(spark: SparkSession, directory: str) -> DataFrame:
     return second_stage(spark, path, len(names), 10, maxIter=15).reports["counts"]
 
 
+@query
+def second_stage_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """All line items through the CSV hand-off into a net with three hidden layers."""
+    path = scratch_path(spark, "stage")
+    write_split(with_split(I.step_table(spark, directory), I.LINE_ID), path, I.STEP_COLUMNS, "label")
+    return second_stage(spark, path, len(I.STEP_COLUMNS), 4, (16, 16, 16), maxIter=60).reports["counts"]
+
+
+@query
+def deep_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """Validation and test reports of a deep net on line items."""
+    rows = I.step_table(spark, directory)
+    result = deep_classifier(rows, I.LINE_ID, I.STEP_COLUMNS, "label", 4, (16, 16), maxIter=60)
+    parts = [result.reports[p].withColumn("part", F.lit(p)) for p in ("validation", "test")]
+    return rounded(parts[0].unionAll(parts[1]))
+
+
 @query
 def layer_param_counts(spark: SparkSession, directory: str) -> DataFrame:
     shape = read_table(spark, directory, "embeddings").agg(

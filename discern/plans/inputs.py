@@ -85,6 +85,23 @@ def quantity_vectors(spark: SparkSession, directory: str) -> DataFrame:
     return encoder.transform(line_rules(spark, directory)).select(*LINE_ID, "label", "big", "features")
 
 
+def step_table(spark: SparkSession, directory: str) -> DataFrame:
+    """Line items with one flag per line number, and a class that depends on the line number.
+
+    ``clean`` is half the line number; quantity 50 gets the next class as its ``label``.
+    """
+    number, clean = F.col("l_linenumber"), F.floor(F.col("l_linenumber") / 2).cast("int")
+    lines = spread(read_table(spark, directory, "lineitem").select(*LINE_ID, "l_quantity"), LINE_ID)
+    return lines.select(
+        *LINE_ID,
+        *[(number == i).cast("double").alias(f"line_{i}") for i in range(1, 8)],
+        F.when(F.col("l_quantity") == 50, (clean + 1) % 4).otherwise(clean).alias("label"),
+    )
+
+
+STEP_COLUMNS = [f"line_{i}" for i in range(1, 8)]
+
+
 def numeric_vectors(spark: SparkSession, directory: str) -> DataFrame:
     """Line items with their four amounts in ``features``."""
     rows = assembler(LINE_NUMERIC).transform(line_rules(spark, directory))

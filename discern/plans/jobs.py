@@ -12,10 +12,16 @@ from pyspark.sql import functions as F
 
 from discern.operators.classifiers import HIDDEN_LAYERS, perceptron
 from discern.operators.curves import auc
-from discern.operators.features import assembler, fold_width, principal_components
+from discern.operators.features import assembler, fold_width, principal_components, with_known_index
 from discern.operators.importance import permutation_importance
 from discern.operators.metrics import binary_report, confusion, confusion_matrix, macro_report, multiclass_report
-from discern.operators.split import SPARSE_SPLIT_SEED, SPLIT_SEED, stored_split
+from discern.operators.split import (
+    SPARSE_SPLIT_SEED,
+    SPLIT_SEED,
+    sample_with_replacement,
+    shuffled_top,
+    stored_split,
+)
 from discern.operators.tuning import cross_validate, grid
 from discern.sources.handoff import read_split
 from discern.sources.scratch import materialize
@@ -47,6 +53,20 @@ def _tuned(
     return tuned.model, {"tuning": tuned.results}
 
 
+def _labelled(parts: Sequence[DataFrame], index: bool = True) -> list[DataFrame]:
+    """Turn the stored ``_raw`` labels into ``label``; rows without one are scored but not trained on."""
+    if index:
+        raw = parts[0].select("_raw")
+        for part in parts[1:]:
+            raw = raw.unionAll(part.select("_raw"))
+        labels = StringIndexer(inputCol="_raw", outputCol="label", handleInvalid="skip").fit(raw).labels
+        ready = [with_known_index(part, "_raw", labels) for part in parts]
+    else:
+        ready = [part.withColumn("label", F.col("_raw").cast("double")) for part in parts]
+    training, *rest = [part.drop("_raw") for part in ready]
+    return [training.filter(F.col("label").isNotNull()), *rest]
+
+
 def dense_multiclass(
     df: DataFrame,
     ids: Sequence[str],
@@ -68,12 +88,9 @@ def dense_multiclass(
     sees training rows only.  Labels are indexed by frequency over all rows, so no
     class number stays empty; ``index_labels=False`` takes them as they are.
     """
-    target = F.col(label).cast("double")
-    if index_labels:
-        indexer = StringIndexer(inputCol=label, outputCol="_label", handleInvalid="skip").fit(df)
-        df, target = indexer.transform(df), F.col("_label")
-    rows = assembler(features).transform(df).select(*ids, target.alias("label"), "features")
-    training, test = stored_split(rows, ids, weights, seed)
+    columns = df.select(*ids, F.col(label).alias("_raw"), *features)
+    rows = assembler(features).transform(columns).select(*ids, "_raw", "features")
+    training, test = _labelled(stored_split(rows, ids, weights, seed), index_labels)
     stages: list[Estimator] = []
     if components is not None:
         stages.append(principal_components(training, components))
@@ -100,15 +117,22 @@ def sparse_binary(
     seed: int = SPARSE_SPLIT_SEED,
     metric: str = "balancedAccuracy",
     parallelism: int = 4,
+    fraction: float | None = None,
+    limit: int | None = None,
 ) -> JobResult:
     """Sparse rows ``ids, label, features`` to a binary model and its reports.
 
     The two labels are indexed by frequency (0 the more frequent).  Linear models
     and naive Bayes keep the full width; give ``width`` for trees and perceptrons.
+    ``fraction`` draws rows with replacement first, ``limit`` then keeps that many of
+    them; both are off unless asked for.
     """
-    indexer = StringIndexer(inputCol="label", outputCol="_label").fit(df)
-    rows = indexer.transform(df).select(*ids, F.col("_label").alias("label"), "features")
-    training, test = stored_split(fold_width(rows, width) if width else rows, ids, weights, seed)
+    if fraction is not None:
+        df = sample_with_replacement(df, ids, fraction).drop("copy")
+    if limit is not None:
+        df = shuffled_top(df, ids, limit)
+    rows = df.select(*ids, F.col("label").alias("_raw"), "features")
+    training, test = _labelled(stored_split(fold_width(rows, width) if width else rows, ids, weights, seed))
     model, reports = _tuned(training, Pipeline(stages=[estimator]), values, ids, folds, metric, parallelism)
     predictions = model.transform(test)
     reports |= {"binary": binary_report(predictions), "areas": auc(predictions, score="prediction")}
@@ -150,8 +174,7 @@ def deep_classifier(
 
     With ``folds`` the training part is also cross-validated at these settings.
     """
-    rows = assembler(features).transform(df.withColumn("label", F.col(label).cast("double")))
-    rows = rows.select(*ids, *features, "label", "features")
+    rows = assembler(features).transform(df.select(*ids, *features, F.col(label).cast("double").alias("label")))
     training, validation, test = stored_split(rows, ids, weights, seed)
     net = perceptron(training, num_classes, hidden, **params)
     reports: dict[str, DataFrame] = {}

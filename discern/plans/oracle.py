@@ -240,6 +240,71 @@ FROM lines, best GROUP BY 1"""
 
 # --- classifiers --------------------------------------------------------------
 
+# Murmur3 (32 bits, seed 42) of each distinct word, the hash behind the term positions:
+# four bytes at a time, low byte first, then the bytes left over.
+_M32 = "4294967295::ubigint"
+
+
+def _rotl(x: str, r: int) -> str:
+    return f"((({x}) << {r}) & {_M32} | (({x}) >> {32 - r}))"
+
+
+def _mul(x: str, c: int) -> str:
+    return f"((({x}) * {c}::ubigint) & {_M32})"
+
+
+def _byte(i: str) -> str:
+    return f"coalesce(('0x' || nullif(substr(hx, 2 * ({i}) + 1, 2), ''))::ubigint, 0::ubigint)"
+
+
+def _mixed(k: str) -> str:
+    return _mul(_rotl(_mul(k, 0xCC9E2D51), 15), 0x1B873593)
+
+
+_WORD = f"({_byte('4 * i')} | ({_byte('4 * i + 1')} << 8) | ({_byte('4 * i + 2')} << 16) | ({_byte('4 * i + 3')} << 24))"
+_STEP = f"((({_mul(_rotl('xor(h, w.ks[i + 1])', 13), 5)}) + 3864292196::ubigint) & {_M32})"
+_TAIL = f"CASE WHEN nb % 4 > 0 THEN xor(h, w.ks[nb // 4 + 1]) ELSE h END"
+
+
+def _xor_shift(x: str, r: int) -> str:
+    return f"xor({x}, ({x}) >> {r})"
+
+
+MURMUR = f"""
+hexed AS (SELECT token, hex(encode(token)) AS hx FROM (SELECT DISTINCT token FROM tokens)),
+w AS (SELECT token, len(hx) // 2 AS nb, [{_mixed('k')} for k in [{_WORD} for i in range(0, len(hx) // 8 + 1)]] AS ks FROM hexed),
+rounds AS (
+  SELECT token, nb, 0 AS i, 42::ubigint AS h FROM w
+  UNION ALL
+  SELECT r.token, r.nb, r.i + 1, {_STEP} FROM rounds r JOIN w USING (token) WHERE r.i < r.nb // 4),
+tails AS (SELECT token, xor({_TAIL}, nb::ubigint) AS h FROM rounds JOIN w USING (token, nb) WHERE i = nb // 4),
+final1 AS (SELECT token, {_mul(_xor_shift('h', 16), 0x85EBCA6B)} AS h FROM tails),
+final2 AS (SELECT token, {_mul(_xor_shift('h', 13), 0xC2B2AE35)} AS h FROM final1),
+places AS (SELECT token, {_xor_shift('h', 16)} AS h FROM final2)"""
+
+ORACLE["nb_sparse"] = rf"""WITH RECURSIVE
+tokens AS (
+  SELECT doc_id, toxic AS label, {DOC_TEST} AS is_test, unnest([t for t in string_split_regex(text, '\s+') if t <> '']) AS token
+  FROM documents JOIN labels USING (doc_id)),
+{MURMUR},
+terms AS (SELECT doc_id, label, is_test, h % 262144 AS place, count(*)::double AS tf
+          FROM tokens JOIN places USING (token) GROUP BY 1, 2, 3, 4),
+docs AS (SELECT doc_id, toxic AS label, {DOC_TEST} AS is_test FROM documents JOIN labels USING (doc_id)),
+prior AS (SELECT c, ln(n + 1e-4) - ln(total + 2e-4) AS value FROM (
+  SELECT label AS c, count(*) AS n, sum(count(*)) OVER () AS total FROM docs WHERE NOT is_test GROUP BY label)),
+mass AS (SELECT label AS c, ln(sum(tf) + 1e-4 * 262144) AS value FROM terms WHERE NOT is_test GROUP BY label),
+theta AS (SELECT label AS c, place, ln(sum(tf) + 1e-4) AS value FROM terms WHERE NOT is_test GROUP BY label, place),
+scores AS (
+  SELECT d.doc_id, d.label, p.c, any_value(p.value) + coalesce(sum(t.tf * (coalesce(h.value, ln(1e-4)) - m.value)), 0) AS score
+  FROM docs d CROSS JOIN prior p JOIN mass m ON m.c = p.c
+       LEFT JOIN terms t ON t.doc_id = d.doc_id LEFT JOIN theta h ON h.c = p.c AND h.place = t.place
+  WHERE d.is_test GROUP BY 1, 2, 3),
+b AS (SELECT doc_id, any_value(label) AS label, arg_max(c, score) AS prediction FROM scores GROUP BY doc_id),
+{{counts}}
+SELECT *, {{ratios}}, round(correct / nullif(total, 0)::double, 6) AS accuracy,
+  round((tp / nullif(tp + fn, 0)::double + tn / nullif(tn + fp, 0)::double) / 2, 6) AS auc_roc_hard,
+  round({{mcc}}, 6) AS mcc FROM counts"""
+
 
 def _majority(actual: str, predicted: str) -> str:
     return f"""WITH {LINES}
@@ -256,6 +321,14 @@ SELECT contains(url, '?')::double AS actual, contains(url, '?')::double AS predi
 FROM pages WHERE {PAGE_TEST} GROUP BY 1, 2"""
 
 
+STEPS = f"""
+steps AS (
+  SELECT CASE WHEN l_quantity = 50 THEN (clean + 1) % 4 ELSE clean END::double AS label, clean::double AS prediction, h
+  FROM (SELECT l_quantity, l_linenumber // 2 AS clean, {hash32(LINE_KEY, SPLIT_SEED)} % 10000 AS h FROM lineitem))"""
+ORACLE["second_stage_lines"] = f"""WITH {STEPS}
+SELECT label AS actual, prediction AS predicted, count(*) AS n FROM steps WHERE h >= 8000 GROUP BY 1, 2"""
+
+
 def _layers(hidden: tuple[int, ...], net: str) -> str:
     sizes = ["width", *[str(h) for h in hidden], "classes"]
     terms = [f"({a} + 1) * {b}" for a, b in zip(sizes, sizes[1:])]
@@ -329,6 +402,17 @@ ORACLE["multiclass_report"] = f"WITH {RULE_LINES}, {class_totals('b')} " + round
     "balanced_accuracy",
     "test_error",
 )
+ORACLE["deep_lines"] = f"""WITH {STEPS},
+b AS (SELECT CASE WHEN h < 8000 THEN 'validation' ELSE 'test' END AS part, label, prediction FROM steps WHERE h >= 6000),
+{class_totals('b', 'part')} """ + rounds(
+    f"SELECT part, {_WEIGHTED} FROM k GROUP BY part",
+    "accuracy",
+    "weighted_precision",
+    "weighted_recall",
+    "weighted_f1",
+    "balanced_accuracy",
+    "test_error",
+)
 ORACLE["test_error"] = f"""WITH {RULE_DOCUMENTS}
 SELECT count(*) AS n, round(avg((label <> prediction)::int), 6) AS test_error FROM b"""
 
@@ -369,6 +453,12 @@ ORACLE["binary_report"] = f"""WITH {RULE_DOCUMENTS}, {_COUNTS.format(p="1.0")}
 SELECT *, {_RATIOS}, round(correct / nullif(total, 0)::double, 6) AS accuracy,
   round((tp / nullif(tp + fn, 0)::double + tn / nullif(tn + fp, 0)::double) / 2, 6) AS auc_roc_hard,
   round({_MCC}, 6) AS mcc FROM counts"""
+ORACLE["nb_sparse"] = (
+    ORACLE["nb_sparse"]
+    .replace("{counts}", _COUNTS.format(p="1.0"))
+    .replace("{ratios}", _RATIOS)
+    .replace("{mcc}", _MCC)
+)
 ORACLE["mcc"] = " UNION ALL ".join(
     f"""(WITH {RULE_DOCUMENTS}, {_COUNTS.format(p=p)}
 SELECT {p}::double AS positive, tp, fn, round({_MCC}, 6) AS mcc FROM counts)"""

@@ -9,8 +9,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL_ROOTS: dict[str, str] = {}
@@ -42,16 +44,30 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def materialize(df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
+def materialize(
+    df: DataFrame, name: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
+) -> DataFrame:
     """Write ``df`` once and return the table that was written.
 
-    Vector columns are kept.  With ``partition_by`` a later filter on these
-    columns skips whole directories.
+    Vector columns are kept.  ``partition_by`` is for columns of very few values: a
+    later filter on them skips whole directories, at the price of one file per task
+    and value.  ``sort_by`` orders the rows inside each file, so that a filter skips
+    pages without adding files.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    writer = df.write
+    writer = (df.sortWithinPartitions(*sort_by) if sort_by else df).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
+@contextmanager
+def persisted(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> Iterator[DataFrame]:
+    """Cache a frame for the length of a ``with`` block; for a few reads by one job."""
+    df.persist(level)
+    try:
+        yield df
+    finally:
+        df.unpersist()

@@ -17,6 +17,7 @@ from discern.operators.profile import profile
 from discern.operators.ranking import global_row_number
 from discern.sources import (
     materialize,
+    persisted,
     read_labelled_csv,
     read_libsvm,
     read_wide_csv,
@@ -84,6 +85,9 @@ def test_scratch_uses_the_shared_folder(spark):
     df = spark.range(10).withColumn("part", (F.col("id") % 2).cast("int"))
     table = materialize(df, "test", ["part"])
     assert table.dtypes == df.dtypes and table.count() == 10
+    with persisted(df) as cached:
+        assert cached.storageLevel.useMemory and cached.count() == 10
+    assert not df.storageLevel.useMemory
     assert "PartitionFilters: [isnotnull(part" in table.filter("part = 1")._jdf.queryExecution().toString()
 
 

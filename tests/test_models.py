@@ -152,10 +152,22 @@ def test_sparse_job(spark, sf_dir):
     assert report.total > 0 and report.accuracy == 1.0
     assert result.reports["areas"].collect()[0].auc_roc == pytest.approx(report.auc_roc_hard)
     assert "probability" not in result.predictions.columns
+    sampled = sparse_binary(rows, ["page_id"], C.classifier("naive_bayes"), fraction=0.9, limit=30)
+    assert 0 < sampled.predictions.count() < 30
     narrow = sparse_binary(rows, ["page_id"], C.classifier("decision_tree"), width=512)
     assert narrow.predictions.select("features").first()[0].size == 512
 
 
+def test_rows_without_label_are_scored_but_not_trained_on(blobs):
+    gaps = blobs.drop("features").withColumn("label", F.when(F.col("id") % 5 != 0, F.col("label")))
+    result = dense_multiclass(gaps, ["id"], ["a", "b", "c", "d"], "label", C.classifier("decision_tree"), components=None)
+    scored = result.predictions
+    assert scored.filter("label is null").count() > 0
+    assert scored.filter("prediction is null").count() == 0
+    report = result.reports["multiclass"].collect()[0]
+    assert report.n == scored.filter("label is not null").count()
+
+
 def test_hand_off_to_second_stage(spark, blobs):
     from discern.operators.split import with_split
 
