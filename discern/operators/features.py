@@ -55,14 +55,29 @@ def string_columns(df: DataFrame) -> list[str]:
     return [name for name, dtype in df.dtypes if dtype == "string"]
 
 
-def index_categories(df: DataFrame, label: str | None = None) -> DataFrame:
-    """Replace every string column, and the label if named, by its category index."""
+def index_categories(df: DataFrame, label: str | None = None, on_driver: int = 10_000) -> DataFrame:
+    """Replace every string column, and the label if named, by its category index.
+
+    Missing values get the index after the last category.  Columns with few categories
+    go through one indexer, which holds its categories on the driver.  A column with
+    more than about ``on_driver`` of them is joined with its :func:`label_index`
+    instead, which stays distributed.
+    """
     columns = string_columns(df)
     if label is not None and label not in columns:
         columns.append(label)
     if not columns:
         return df
-    indexed = categorical(columns).fit(df).transform(df)
+    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
+    small = [c for c in columns if sizes[c] <= on_driver]
+    indexed = categorical(small).fit(df).transform(df) if small else df
+    for c in columns:
+        if c in small:
+            continue
+        index = label_index(df, c, f"{c}_index").select(F.col("value").alias(f"_{c}"), f"{c}_index")
+        unknown = index.agg(F.count("*").alias(f"_{c}_n"))  # one row
+        indexed = indexed.join(index, F.col(c).cast("string") == F.col(f"_{c}"), "left").join(F.broadcast(unknown))
+        indexed = indexed.withColumn(f"{c}_index", F.coalesce(f"{c}_index", f"_{c}_n").cast("double"))
     return indexed.select(*[F.col(f"{c}_index").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -111,36 +126,40 @@ def fold_width(df: DataFrame, width: int, column: str = "features", out: str | N
     """
     target = out or column
     source = df.withColumn(target, F.col(column)) if target != column else df
-    position = source.columns.index(target)
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.set_column(position, batch.schema.field(position), _fold_vectors(batch.column(position), width))
-
+    fold = _vector_folder(source.columns.index(target), width)
     metadata = {"ml_attr": {"num_attrs": width}}
     return source.mapInArrow(fold, source.schema).withMetadata(target, metadata)
 
 
-def _fold_vectors(vectors: pa.StructArray, width: int) -> pa.StructArray:
-    stored = vectors.field("values")
-    lengths = np.diff(stored.offsets.to_numpy())
-    values = stored.flatten().to_numpy(zero_copy_only=False)
-    rows = np.repeat(np.arange(len(vectors)), lengths)
-    starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    sparse = np.repeat(vectors.field("type").to_numpy(zero_copy_only=False) == 0, lengths)
-    indices = np.arange(len(values)) - starts  # dense rows: entry number
-    indices[sparse] = vectors.field("indices").flatten().to_numpy(zero_copy_only=False)
-    keys, inverse = np.unique(rows * width + indices % width, return_inverse=True)
-    folded = np.bincount(inverse, weights=values, minlength=len(keys))
-    offsets = np.searchsorted(keys, np.arange(len(vectors) + 1) * width).astype(np.int32)
-    fields = list(vectors.type)
-    arrays = [
-        pa.array(np.zeros(len(vectors), dtype=np.int8)),
-        pa.array(np.full(len(vectors), width, dtype=np.int32)),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array((keys % width).astype(np.int32)), type=fields[2].type),
-        pa.ListArray.from_arrays(pa.array(offsets), pa.array(folded), type=fields[3].type),
-    ]
-    return pa.StructArray.from_arrays(arrays, fields=fields)
+def _vector_folder(position: int, width: int):
+    """The function that workers run; all it needs is inside it, so they need not have this package."""
+
+    def fold_vectors(vectors: pa.StructArray) -> pa.StructArray:
+        stored = vectors.field("values")
+        lengths = np.diff(stored.offsets.to_numpy())
+        values = stored.flatten().to_numpy(zero_copy_only=False)
+        rows = np.repeat(np.arange(len(vectors)), lengths)
+        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
+        sparse = np.repeat(vectors.field("type").to_numpy(zero_copy_only=False) == 0, lengths)
+        indices = np.arange(len(values)) - starts  # dense rows: entry number
+        indices[sparse] = vectors.field("indices").flatten().to_numpy(zero_copy_only=False)
+        keys, inverse = np.unique(rows * width + indices % width, return_inverse=True)
+        folded = np.bincount(inverse, weights=values, minlength=len(keys))
+        offsets = pa.array(np.searchsorted(keys, np.arange(len(vectors) + 1) * width).astype(np.int32))
+        fields = list(vectors.type)
+        arrays = [
+            pa.array(np.zeros(len(vectors), dtype=np.int8)),
+            pa.array(np.full(len(vectors), width, dtype=np.int32)),
+            pa.ListArray.from_arrays(offsets, pa.array((keys % width).astype(np.int32)), type=fields[2].type),
+            pa.ListArray.from_arrays(offsets, pa.array(folded), type=fields[3].type),
+        ]
+        return pa.StructArray.from_arrays(arrays, fields=fields)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.set_column(position, batch.schema.field(position), fold_vectors(batch.column(position)))
+
+    return fold
 
 
 def covariance(df: DataFrame, column: str = "features") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,10 +27,18 @@ def split_number(ids: Sequence[str], weights: Sequence[float], seed: int = SPLIT
         running += weight
         cuts.append(round(running / total * SPLIT_RESOLUTION))
     bucket = hash_bucket(ids, seed, SPLIT_RESOLUTION)
-    number = F.lit(len(weights) - 1)
-    for i in reversed(range(len(cuts))):
-        number = F.when(bucket < cuts[i], F.lit(i)).otherwise(number)
-    return number
+    if len(cuts) == 1:
+        return (bucket >= cuts[0]).cast("int")
+
+    def number(b: Column) -> Column:
+        return sum((F.when(b >= F.lit(cut), 1).otherwise(0) for cut in cuts), F.lit(0))
+
+    return _bound(bucket, number)
+
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def with_split(
@@ -97,7 +105,11 @@ def sample_with_replacement(
     The number of copies comes from the row's hash, so the sample does not change
     with partitioning or on a retry, and no shuffle is needed.
     """
+    first, *more = poisson_cuts(fraction)
     unit = hash_unit(ids, seed)
-    copies = sum((F.when(unit >= F.lit(cut), 1).otherwise(0) for cut in poisson_cuts(fraction)), F.lit(0))
-    counted = df.withColumn("_copies", copies).filter(F.col("_copies") > 0)
-    return counted.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col("_copies")))).drop("_copies")
+
+    def copies(u: Column) -> Column:
+        return sum((F.when(u >= F.lit(cut), 1).otherwise(0) for cut in more), F.lit(1))
+
+    number = _bound(unit, copies)
+    return df.filter(unit >= F.lit(first)).withColumn(copy, F.explode(F.sequence(F.lit(1), number)))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from discern.operators.metrics import multiclass_report
 from discern.operators.split import with_fold
-from discern.sources.scratch import materialize
+from discern.sources.scratch import discard, materialize, scratch_path
 
 # Grids of the published experiments, by classifier.
 REFERENCE_GRIDS: dict[str, dict[str, list[object]]] = {
@@ -145,11 +145,37 @@ def cross_validate(
     before, head = stages[:-1], stages[-1]
     if any(param.parent != head.uid for point in param_maps for param in point):
         raise ValueError("the grid may only vary the last stage")
-    folded = materialize(with_fold(df, ids, k), "folds", sort_by=["fold"])
+    spark = df.sparkSession
+    path = scratch_path(spark, "folds")
+    try:
+        folded = materialize(with_fold(df, ids, k), "folds", sort_by=["fold"], path=path)
+        means, folds = _mean_scores(folded, before, head, param_maps, label, metric, parallelism)
+        best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, means[i] or 0.0, -i))
+        model = None
+        if refit:
+            model = Pipeline(stages=[*before, head.copy(param_maps[best])]).fit(folded.drop("fold"))
+    finally:
+        discard(spark, path)
+    points = [{p.name: v for p, v in point.items()} for point in param_maps]
+    rows = [(i, _describe(points[i]), metric, means[i], folds, i == best) for i in range(len(param_maps))]
+    schema = "point int, params string, metric string, avg_metric double, folds int, best boolean"
+    return TunedModel(model, points[best], spark.createDataFrame(rows, schema))
+
+
+def _mean_scores(
+    folded: DataFrame,
+    before: Sequence[Estimator],
+    head: Estimator,
+    param_maps: Sequence[dict[Param, object]],
+    label: str,
+    metric: str,
+    parallelism: int,
+) -> tuple[list[float | None], int]:
+    """Mean score per grid point, and the number of folds that have rows."""
     present = [row[0] for row in folded.select("fold").distinct().collect()]  # at most k rows
     if len(present) < 2:
         raise ValueError("cross-validation needs rows in at least two folds")
-    on_thread = inheritable_thread_target(df.sparkSession)
+    on_thread = inheritable_thread_target(folded.sparkSession)
 
     def score_fold(fold: int) -> list[float | None]:
         training = folded.filter(F.col("fold") != fold).drop("fold")
@@ -166,17 +192,7 @@ def cross_validate(
     abreast = max(1, parallelism // len(param_maps))
     with ThreadPoolExecutor(parallelism) as fits, ThreadPoolExecutor(abreast) as folds:
         per_fold = list(folds.map(on_thread(score_fold), sorted(present)))
-    totals = [[scores[i] for scores in per_fold] for i in range(len(param_maps))]
-    means = [_mean(scores) for scores in totals]
-    best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, means[i] or 0.0, -i))
-    points = [{p.name: v for p, v in point.items()} for point in param_maps]
-    rows = [(i, _describe(points[i]), metric, means[i], len(totals[i]), i == best) for i in range(len(param_maps))]
-    schema = "point int, params string, metric string, avg_metric double, folds int, best boolean"
-    results = df.sparkSession.createDataFrame(rows, schema)
-    model = None
-    if refit:
-        model = Pipeline(stages=[*before, head.copy(param_maps[best])]).fit(folded.drop("fold"))
-    return TunedModel(model, points[best], results)
+    return [_mean([scores[i] for scores in per_fold]) for i in range(len(param_maps))], len(present)
 
 
 def _describe(point: Mapping[str, object]) -> str:

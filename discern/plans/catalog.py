@@ -43,8 +43,8 @@ from discern.plans import inputs as I
 from discern.plans.jobs import deep_classifier, dense_multiclass, second_stage, sparse_binary
 from discern.sources.handoff import read_split, write_split
 from discern.sources.libsvm import read_libsvm, write_libsvm
-from discern.sources.scratch import scratch_path
-from discern.sources.tables import read_table
+from discern.sources.scratch import materialize, scratch_path
+from discern.sources.tables import read_table, spread
 from discern.sources.wide_csv import read_wide_csv, write_wide_csv
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -233,6 +233,14 @@ def category_index(spark: SparkSession, directory: str) -> DataFrame:
     return indexed.groupBy(*columns, *[f"{c}_index" for c in columns]).agg(F.count("*").alias("n"))
 
 
+@query
+def all_categories(spark: SparkSession, directory: str) -> DataFrame:
+    """Every string column and the label as numbers: one column on the driver, one joined."""
+    rows = read_table(spark, directory, "documents").select("lang", "source", F.length("lang").alias("label"))
+    indexed = X.index_categories(rows, "label", on_driver=10)
+    return indexed.groupBy("lang", "source", "label").agg(F.count("*").alias("n"))
+
+
 @query
 def assembled_feature_sums(spark: SparkSession, directory: str) -> DataFrame:
     table = I.embedding_table(spark, directory)
@@ -253,7 +261,7 @@ def impute_mean(spark: SparkSession, directory: str) -> DataFrame:
 @query
 def hashed_term_counts(spark: SparkSession, directory: str) -> DataFrame:
     """Terms per document after hashing and after folding; both keep every word of the text."""
-    documents = read_table(spark, directory, "documents").select("doc_id", "text")
+    documents = spread(read_table(spark, directory, "documents").select("doc_id", "text"), ["doc_id"])
     vectors = X.hashed_terms(documents, "text", 1 << 18).drop("text")
     folded = X.fold_width(vectors, 64)
     return folded.select(
@@ -318,6 +326,7 @@ def nb_predictions(spark: SparkSession, directory: str) -> DataFrame:
 def stump_gini(spark: SparkSession, directory: str) -> DataFrame:
     """The two leaves of a tree of depth 1: range of the split column, rows, class shares."""
     rows = X.assembler(["quantity"]).transform(I.line_rules(spark, directory)).select("quantity", "label", "features")
+    rows = materialize(rows, "stump")
     model = C.classifier("decision_tree", maxDepth=1, maxBins=64, leafCol="leaf").fit(rows)
     scored = model.transform(rows)
     shares = vector_to_array("probability")
@@ -511,6 +520,15 @@ def cv_grid_dt(spark: SparkSession, directory: str) -> DataFrame:
     return _tuned(I.numeric_vectors(spark, directory), C.classifier("decision_tree", maxBins=64), values)
 
 
+@query
+def tuned_refit(spark: SparkSession, directory: str) -> DataFrame:
+    """Tune on the training part, refit the best point on all of it, score the test part."""
+    training, test = _numeric_split(spark, directory)
+    tree = C.classifier("decision_tree", maxBins=64)
+    tuned = cross_validate(training, tree, grid(tree, {"maxDepth": [2, 3]}), I.LINE_ID, 3, parallelism=6)
+    return _confusion_of(tuned.model, test)
+
+
 @query
 def cv_grid_rf(spark: SparkSession, directory: str) -> DataFrame:
     values = {"maxDepth": [3], "numTrees": [3, 5]}
@@ -640,7 +658,7 @@ def evaluator_params(spark: SparkSession, directory: str) -> DataFrame:
 
 @query
 def feature_importance(spark: SparkSession, directory: str) -> DataFrame:
-    rows = I.numeric_vectors(spark, directory)
+    rows = materialize(I.numeric_vectors(spark, directory).select("label", "features"), "importance")
     model = C.classifier("decision_tree", maxDepth=2, maxBins=64).fit(rows)
     return rounded(tree_importances(rows, model, I.LINE_NUMERIC))
 

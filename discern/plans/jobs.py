@@ -174,8 +174,9 @@ def deep_classifier(
 
     With ``folds`` the training part is also cross-validated at these settings.
     """
-    rows = assembler(features).transform(df.select(*ids, *features, F.col(label).cast("double").alias("label")))
-    training, validation, test = stored_split(rows, ids, weights, seed)
+    rows = df.select(*ids, *features, F.col(label).cast("double").alias("label"))
+    vectors = assembler(features)
+    training, validation, test = (vectors.transform(part) for part in stored_split(rows, ids, weights, seed))
     net = perceptron(training, num_classes, hidden, **params)
     reports: dict[str, DataFrame] = {}
     if folds is not None:

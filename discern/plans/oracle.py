@@ -195,6 +195,10 @@ SELECT l_returnflag, l_linestatus, l_linenumber, a.idx::double AS l_returnflag_i
 FROM lineitem JOIN a ON a.value = l_returnflag JOIN b ON b.value = l_linestatus
      JOIN c ON c.value = l_linenumber::varchar GROUP BY ALL"""
 # The label column is left out of the vector.
+ORACLE["all_categories"] = f"""
+WITH a AS ({_index('documents', 'lang')}), b AS ({_index('documents', 'source')})
+SELECT a.idx::double AS lang, b.idx::double AS source, 0.0::double AS label, count(*) AS n
+FROM documents d JOIN a ON a.value = d.lang JOIN b ON b.value = d.source GROUP BY 1, 2, 3"""
 ORACLE["assembled_feature_sums"] = """
 SELECT vec_id, len(embedding)::int AS width, round(list_sum(embedding::double[]), 6) AS total FROM embeddings"""
 ORACLE["impute_mean"] = "SELECT vec_id, " + ", ".join(
@@ -311,7 +315,7 @@ def _majority(actual: str, predicted: str) -> str:
 SELECT {actual}::double AS actual, {predicted}::double AS predicted, count(*) AS n FROM lines WHERE is_test GROUP BY 1, 2"""
 
 
-for _name in ("lr_multinomial", "mlp_multiclass", "deep_mlp", "dt_multiclass", "rf_multiclass"):
+for _name in ("lr_multinomial", "mlp_multiclass", "deep_mlp", "dt_multiclass", "rf_multiclass", "tuned_refit"):
     ORACLE[_name] = _majority("label", "clean")
 ORACLE["svm_quantity"] = _majority("big", "clean_big")
 # The query string of a URL is one of its tokens, so the label can be read off the features.

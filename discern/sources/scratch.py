@@ -38,14 +38,28 @@ def scratch_root(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the scratch root, deleted when the JVM ends."""
     path = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
-    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    file_system, hadoop_path = _hadoop(spark, path)
     file_system.deleteOnExit(hadoop_path)
     return path
 
 
+def _hadoop(spark: SparkSession, path: str):
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a scratch table before the session ends."""
+    file_system, hadoop_path = _hadoop(spark, path)
+    file_system.delete(hadoop_path, True)
+
+
 def materialize(
-    df: DataFrame, name: str, partition_by: Sequence[str] = (), sort_by: Sequence[str] = ()
+    df: DataFrame,
+    name: str,
+    partition_by: Sequence[str] = (),
+    sort_by: Sequence[str] = (),
+    path: str | None = None,
 ) -> DataFrame:
     """Write ``df`` once and return the table that was written.
 
@@ -55,7 +69,7 @@ def materialize(
     pages without adding files.
     """
     spark = df.sparkSession
-    path = scratch_path(spark, name)
+    path = path or scratch_path(spark, name)
     writer = (df.sortWithinPartitions(*sort_by) if sort_by else df).write
     if partition_by:
         writer = writer.partitionBy(*partition_by)

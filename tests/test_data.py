@@ -2,6 +2,8 @@
 
 import math
 import os
+import subprocess
+import sys
 
 import numpy as np
 import pytest
@@ -162,6 +164,16 @@ def test_fold_width_against_numpy(spark):
         assert r.features.size == 37 and np.allclose(r.features.toArray(), expected)
 
 
+def test_workers_do_not_need_the_package(tmp_path):
+    from pyspark import cloudpickle
+
+    pickled = tmp_path / "fold"
+    pickled.write_bytes(cloudpickle.dumps(features._vector_folder(1, 8)))
+    code = f"import pickle; print(callable(pickle.load(open({str(pickled)!r}, 'rb'))))"
+    run = subprocess.run([sys.executable, "-c", code], cwd="/", capture_output=True, text=True)
+    assert run.stdout.strip() == "True", run.stderr
+
+
 def test_covariance_and_components(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(400, 6)) @ rng.normal(size=(6, 6)) + 1e4
@@ -191,6 +203,8 @@ def test_categories_and_imputer(spark):
     rows = spark.createDataFrame([("a", 1.0, 5), ("b", None, 7), ("a", 3.0, 5)], "s string, x double, y int")
     indexed = {tuple(r) for r in features.index_categories(rows, "y").collect()}
     assert indexed == {(0.0, 1.0, 0.0), (1.0, None, 1.0), (0.0, 3.0, 0.0)}
+    joined = {tuple(r) for r in features.index_categories(rows.union(spark.createDataFrame([(None, 0.0, 9)], rows.schema)), on_driver=0).collect()}
+    assert joined == {(0.0, 1.0, 5), (1.0, None, 7), (0.0, 3.0, 5), (2.0, 0.0, 9)}
     filled = features.imputer(["x"]).fit(rows).transform(rows)
     assert sorted(r.x for r in filled.collect()) == [1.0, 2.0, 3.0]
 
