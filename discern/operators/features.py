@@ -75,9 +75,9 @@ def index_categories(df: DataFrame, label: str | None = None, on_driver: int = 1
         if c in small:
             continue
         index = label_index(df, c, f"{c}_index").select(F.col("value").alias(f"_{c}"), f"{c}_index")
-        unknown = index.agg(F.count("*").alias(f"_{c}_n"))  # one row
-        indexed = indexed.join(index, F.col(c).cast("string") == F.col(f"_{c}"), "left").join(F.broadcast(unknown))
-        indexed = indexed.withColumn(f"{c}_index", F.coalesce(f"{c}_index", f"_{c}_n").cast("double"))
+        missing = F.lit(index.count())  # the index is a written table: no recount of the data
+        indexed = indexed.join(index, F.col(c).cast("string") == F.col(f"_{c}"), "left")
+        indexed = indexed.withColumn(f"{c}_index", F.coalesce(f"{c}_index", missing).cast("double"))
     return indexed.select(*[F.col(f"{c}_index").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
