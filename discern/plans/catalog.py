@@ -444,6 +444,40 @@ def lr_documents(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(result.reports["binary"])
 
 
+@query
+def mlp_folded(spark: SparkSession, directory: str) -> DataFrame:
+    training, test = stored_split(I.folded_vectors(spark, directory), I.LINE_ID, keep=["label", "features"])
+    return _confusion_of(C.perceptron(training, 2, maxIter=40).fit(training), test)
+
+
+@query
+def dense_job_lines(spark: SparkSession, directory: str) -> DataFrame:
+    """The whole dense job: wide table, PCA, tuned logistic regression, full matrix."""
+    values = {"regParam": [0.1, 0.01], "maxIter": [20]}
+    result = dense_multiclass(
+        I.quantity_table(spark, directory),
+        I.LINE_ID,
+        I.QUANTITY_COLUMNS,
+        "label",
+        C.classifier("logistic_regression"),
+        values,
+        components=len(I.QUANTITY_COLUMNS),
+        folds=3,
+        parallelism=6,
+    )
+    return result.reports["matrix"]
+
+
+@query
+def sparse_job_urls(spark: SparkSession, directory: str) -> DataFrame:
+    """The whole sparse job at full width, as a binary report with curve areas."""
+    rows = I.hashed_urls(spark, directory, 1 << 18)
+    result = sparse_binary(rows, ["page_id"], C.classifier("logistic_regression_sparse"))
+    counts = result.reports["binary"].select("total", "correct", "wrong", "tp", "fp", "tn", "fn", "accuracy", "mcc")
+    areas = result.reports["areas"].select("auc_roc", F.lit(1.0).alias("_join"))
+    return rounded(counts.withColumn("_join", F.lit(1.0)).join(areas, "_join").drop("_join"))
+
+
 @query
 def dense_pca_lr(spark: SparkSession, directory: str) -> DataFrame:
     table = I.embedding_table(spark, directory)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.ml.feature import OneHotEncoder
 
 from discern.functions.text import LETTERS, letter_counts
-from discern.operators.features import assembler, hashed_terms
+from discern.operators.features import assembler, fold_width, hashed_terms
 from discern.sources.tables import read_table, spread
 
 LINE_ID = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
@@ -82,7 +82,25 @@ def quantity_vectors(spark: SparkSession, directory: str) -> DataFrame:
     """Line items with the quantity one-hot encoded in ``features``."""
     quantities = read_table(spark, directory, "lineitem").select(F.col("l_quantity").cast("int").alias("quantity"))
     encoder = OneHotEncoder(inputCols=["quantity"], outputCols=["features"], dropLast=False).fit(quantities)
-    return encoder.transform(line_rules(spark, directory)).select(*LINE_ID, "label", "big", "features")
+    return encoder.transform(line_rules(spark, directory)).select(*LINE_ID, "quantity", "label", "big", "features")
+
+
+# One flag less than there are quantities: all of them would add up to a constant.
+QUANTITY_COLUMNS = [f"q_{i}" for i in range(1, 50)]
+
+
+def quantity_table(spark: SparkSession, directory: str) -> DataFrame:
+    """Line items with a flag column per quantity but the last, label last: a wide numeric table."""
+    flags = [(F.col("quantity") == i).cast("double").alias(f"q_{i}") for i in range(1, 50)]
+    return line_rules(spark, directory).select(*LINE_ID, *flags, F.col("label").cast("int").alias("label"))
+
+
+def folded_vectors(spark: SparkSession, directory: str) -> DataFrame:
+    """One-hot quantities folded to 26 entries; ``label`` is 1.0 for the upper half of them, wrong on line 7."""
+    rows = quantity_vectors(spark, directory)
+    upper = (F.col("quantity") % 26 >= 13).cast("int")
+    label = F.when(F.col("l_linenumber") == 7, 1 - upper).otherwise(upper).cast("double")
+    return fold_width(rows.select(*LINE_ID, label.alias("label"), "features"), 26)
 
 
 def step_table(spark: SparkSession, directory: str) -> DataFrame:

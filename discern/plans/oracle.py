@@ -325,6 +325,23 @@ SELECT contains(url, '?')::double AS actual, contains(url, '?')::double AS predi
 FROM pages WHERE {PAGE_TEST} GROUP BY 1, 2"""
 
 
+ORACLE["mlp_folded"] = f"""
+SELECT (CASE WHEN l_linenumber = 7 THEN 1 - upper ELSE upper END)::double AS actual, upper::double AS predicted,
+       count(*) AS n
+FROM (SELECT l_linenumber, (l_quantity::int % 26 >= 13)::int AS upper, {LINE_TEST} AS is_test FROM lineitem)
+WHERE is_test GROUP BY 1, 2"""
+ORACLE["dense_job_lines"] = f"""WITH {LINES},
+i AS ({_index('lines', 'label')}),
+pairs AS (SELECT a.idx AS actual, p.idx AS predicted FROM lines l JOIN i a ON a.value = l.label::varchar
+          JOIN i p ON p.value = l.clean::varchar WHERE is_test)
+SELECT x.idx::double AS actual, y.idx::double AS predicted, count(pairs.actual) AS n
+FROM i x CROSS JOIN i y LEFT JOIN pairs ON pairs.actual = x.idx AND pairs.predicted = y.idx GROUP BY 1, 2"""
+# URLs with a query string are the rarer kind, so they are class 1.
+ORACLE["sparse_job_urls"] = f"""
+SELECT count(*) AS total, count(*) AS correct, 0::bigint AS wrong, count(*) FILTER (contains(url, '?')) AS tp,
+       0::bigint AS fp, count(*) FILTER (NOT contains(url, '?')) AS tn, 0::bigint AS fn, 1.0::double AS accuracy,
+       1.0::double AS mcc, 1.0::double AS auc_roc FROM pages WHERE {PAGE_TEST}"""
+
 STEPS = f"""
 steps AS (
   SELECT CASE WHEN l_quantity = 50 THEN (clean + 1) % 4 ELSE clean END::double AS label, clean::double AS prediction, h

@@ -29,7 +29,7 @@ def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
     """
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    per_partition = int(spark.conf.get("spark.sql.files.maxPartitionBytes").rstrip("b"))
+    per_partition = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     if size >= cores * per_partition:
         return df
