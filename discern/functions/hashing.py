@@ -34,3 +34,11 @@ def hash_bucket(ids: Sequence[str], seed: int, buckets: int) -> Column:
 def hash_unit(ids: Sequence[str], seed: int) -> Column:
     """A number in [0, 1) per row."""
     return hash32(ids, seed) / F.lit(4294967296.0)
+
+
+def content_id(columns: Sequence[str]) -> Column:
+    """An id for rows that have none: a hash of their content, vectors included.
+
+    Exact copies share it and therefore stay on the same side of every split.
+    """
+    return F.xxhash64(*[F.col(f"`{c}`") for c in columns])

@@ -10,6 +10,7 @@ from pyspark.ml.feature import StringIndexer
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from discern.functions.hashing import content_id
 from discern.operators.classifiers import HIDDEN_LAYERS, perceptron
 from discern.operators.curves import auc
 from discern.operators.features import assembler, fold_width, principal_components, with_known_index
@@ -53,6 +54,13 @@ def _tuned(
     return tuned.model, {"tuning": tuned.results}
 
 
+def _identified(df: DataFrame, ids: Sequence[str] | None) -> tuple[DataFrame, Sequence[str]]:
+    """Rows read from CSV or LIBSVM have no id; their content stands in for it."""
+    if ids is not None:
+        return df, ids
+    return df.withColumn("row_id", content_id(df.columns)), ["row_id"]
+
+
 def _labelled(parts: Sequence[DataFrame], index: bool = True) -> list[DataFrame]:
     """Turn the stored ``_raw`` labels into ``label``; rows without one are scored but not trained on."""
     if index:
@@ -69,7 +77,7 @@ def _labelled(parts: Sequence[DataFrame], index: bool = True) -> list[DataFrame]
 
 def dense_multiclass(
     df: DataFrame,
-    ids: Sequence[str],
+    ids: Sequence[str] | None,
     features: Sequence[str],
     label: str,
     estimator: Estimator,
@@ -88,6 +96,7 @@ def dense_multiclass(
     sees training rows only.  Labels are indexed by frequency over all rows, so no
     class number stays empty; ``index_labels=False`` takes them as they are.
     """
+    df, ids = _identified(df, ids)
     columns = df.select(*ids, F.col(label).alias("_raw"), *features)
     rows = assembler(features).transform(columns).select(*ids, "_raw", "features")
     training, test = _labelled(stored_split(rows, ids, weights, seed), index_labels)
@@ -108,7 +117,7 @@ def dense_multiclass(
 
 def sparse_binary(
     df: DataFrame,
-    ids: Sequence[str],
+    ids: Sequence[str] | None,
     estimator: Estimator,
     values: Mapping[str, Sequence[object]] | None = None,
     width: int | None = None,
@@ -125,8 +134,9 @@ def sparse_binary(
     The two labels are indexed by frequency (0 the more frequent).  Linear models
     and naive Bayes keep the full width; give ``width`` for trees and perceptrons.
     ``fraction`` draws rows with replacement first, ``limit`` then keeps that many of
-    them; both are off unless asked for.
+    them; both are off unless asked for.  ``ids`` may be ``None`` for rows without an id.
     """
+    df, ids = _identified(df, ids)
     if fraction is not None:
         df = sample_with_replacement(df, ids, fraction).drop("copy")
     if limit is not None:

@@ -15,7 +15,7 @@ from discern.operators.importance import permutation_importance, tree_importance
 from discern.operators.split import with_fold
 from discern.plans import inputs as I
 from discern.plans.jobs import deep_classifier, dense_multiclass, second_stage, sparse_binary
-from discern.sources import scratch_path, write_split
+from discern.sources import read_libsvm, scratch_path, write_libsvm, write_split
 from discern.streaming.scoring import score_stream, write_scores
 
 
@@ -158,6 +158,17 @@ def test_sparse_job(spark, sf_dir):
     assert narrow.predictions.select("features").first()[0].size == 512
 
 
+def test_files_without_ids(spark, blobs, tmp_path):
+    path = str(tmp_path / "svm")
+    write_libsvm(blobs.withColumn("label", (F.col("label") > 0).cast("double")), path)
+    rows = read_libsvm(spark, path, 4)
+    results = [
+        sparse_binary(part, None, C.classifier("decision_tree")) for part in (rows, rows.repartition(5).unionAll(rows))
+    ]
+    once, twice = (r.reports["binary"].collect()[0].total for r in results)
+    assert twice == 2 * once  # copies fall on the same side
+
+
 def test_rows_without_label_are_scored_but_not_trained_on(blobs):
     gaps = blobs.drop("features").withColumn("label", F.when(F.col("id") % 5 != 0, F.col("label")))
     result = dense_multiclass(gaps, ["id"], ["a", "b", "c", "d"], "label", C.classifier("decision_tree"), components=None)
