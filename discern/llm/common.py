@@ -42,3 +42,30 @@ class stored:
     def drop(self, *names: str) -> None:
         for name in names:
             discard(self.spark, self.paths.pop(name))
+
+
+def per_worker(key: str, make):
+    """A value that a Python worker makes once and keeps for its later tasks."""
+    import sys
+    import types
+
+    home = sys.modules.setdefault("_discern_llm_worker", types.ModuleType("_discern_llm_worker"))
+    if key not in home.__dict__:
+        home.__dict__[key] = make()
+    return home.__dict__[key]
+
+
+def text_slices(batch, most: int = 2_000_000):
+    """An Arrow batch of (id, text, ...) as slices of about ``most`` characters, or one longer text."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+    begin, total = 0, 0
+    for i, n in enumerate(sizes.tolist()):
+        if total and total + n > most:
+            yield batch.slice(begin, i - begin)
+            begin, total = i, 0
+        total += n
+    if begin < batch.num_rows:
+        yield batch.slice(begin)

@@ -16,6 +16,12 @@ URL_RULES = [
 ]
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_mixing(spark: SparkSession, directory: str) -> DataFrame:
     from discern.llm.mixing import mix
 
@@ -41,7 +47,14 @@ def op9_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     return filter_urls(read(spark, directory, "pages"), rules)
 
 
+def op10_packing(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.packing import pack
+
+    return pack(read(spark, directory, "documents"), tokenizer_path())
+
+
 QUERIES = {
+    "op10_packing": op10_packing,
     "op2_mixing": op2_mixing,
     "op5_top_k": op5_top_k,
     "op7_sharding": op7_sharding,
