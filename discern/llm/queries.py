@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discern.llm.common import read
+from discern.llm.sampling import fold
 
 #: The rules of op9: host, path, verdict.
 URL_RULES = [
@@ -16,6 +17,19 @@ URL_RULES = [
 ]
 
 
+def op1_language_id(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.language_id import identify
+
+    return identify(read(spark, directory, "documents"), fold(F.col("doc_id"), 4) == 2)
+
+
+def op6_quality(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.quality import rate_quality
+
+    docs, labels = read(spark, directory, "documents"), read(spark, directory, "labels")
+    return rate_quality(docs, labels, fold(F.col("doc_id"), 3) == 1)
+
+
 def tokenizer_path() -> str:
     import public_tokenizers
 
@@ -54,6 +68,8 @@ def op10_packing(spark: SparkSession, directory: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_language_id": op1_language_id,
+    "op6_quality": op6_quality,
     "op10_packing": op10_packing,
     "op2_mixing": op2_mixing,
     "op5_top_k": op5_top_k,
