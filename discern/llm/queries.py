@@ -42,6 +42,12 @@ def op2_mixing(spark: SparkSession, directory: str) -> DataFrame:
     return mix(read(spark, directory, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
 
 
+def op3_minhash(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.minhash import near_duplicates
+
+    return near_duplicates(read(spark, directory, "documents"), width=4)
+
+
 def op5_top_k(spark: SparkSession, directory: str) -> DataFrame:
     from discern.llm.top_k import top_k
 
@@ -72,6 +78,7 @@ QUERIES = {
     "op6_quality": op6_quality,
     "op10_packing": op10_packing,
     "op2_mixing": op2_mixing,
+    "op3_minhash": op3_minhash,
     "op5_top_k": op5_top_k,
     "op7_sharding": op7_sharding,
     "op9_url_filter": op9_url_filter,
@@ -113,3 +120,27 @@ WITH rules(rh, rp, rv) AS (
 )
 SELECT page_id, host, path, rule, coalesce(rv, 'allow') AS verdict FROM m WHERE k = 1
 """
+
+ORACLE["op3_minhash"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN w IS NULL OR len(w) = 0 THEN []
+    WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] || ' ' || w[i + 3] for i in range(1, len(w) - 2)]) END AS g
+  FROM w
+), e AS (
+  SELECT doc_id, len(g) AS n, unnest(g) AS x FROM s
+), i AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) AS n, any_value(b.n) AS m, count(*) AS c
+  FROM e a JOIN e b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM i WHERE 100 * c >= 80 * (n + m - c)
+), r(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+)
+SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(min(r.b), s.doc_id)) AS component_id,
+       least(s.doc_id, coalesce(min(r.b), s.doc_id)) = s.doc_id AS kept
+FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, g
+"""
