@@ -60,6 +60,12 @@ def op7_sharding(spark: SparkSession, directory: str) -> DataFrame:
     return shard_documents(read(spark, directory, "documents"))
 
 
+def op8_lattice(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.lattice import near_vectors
+
+    return near_vectors(read(spark, directory, "embeddings"))
+
+
 def op9_url_filter(spark: SparkSession, directory: str) -> DataFrame:
     from discern.llm.url_filter import filter_urls
 
@@ -81,6 +87,7 @@ QUERIES = {
     "op3_minhash": op3_minhash,
     "op5_top_k": op5_top_k,
     "op7_sharding": op7_sharding,
+    "op8_lattice": op8_lattice,
     "op9_url_filter": op9_url_filter,
 }
 
@@ -144,3 +151,22 @@ SELECT s.doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least(s.doc_id, coalesce(
        least(s.doc_id, coalesce(min(r.b), s.doc_id)) = s.doc_id AS kept
 FROM s LEFT JOIN r ON r.a = s.doc_id GROUP BY s.doc_id, g
 """
+
+ORACLE["op8_lattice"] = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS w FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.w) = len(b.w)
+  WHERE list_cosine_similarity(a.w, b.w) >= 0.9
+), r(a, b) AS (
+  SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a
+), c AS (
+  SELECT a, min(b) AS m FROM r GROUP BY a
+), d AS (
+  SELECT a, count(*) AS n FROM l GROUP BY a
+)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN d ON d.a = vec_id
+"""
