@@ -12,6 +12,7 @@ __all__ = ["WORD", "discard", "lower_ascii", "materialize", "read", "scratch_pat
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
 
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -36,8 +37,17 @@ class stored:
         self.spark, self.operator, self.paths = spark, operator, {}
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The table as written.  Shuffle files of the job that wrote it are not kept after it."""
         self.paths[name] = scratch_path(self.spark, f"{self.operator}-{name}")
-        return materialize(df, name, path=self.paths[name])
+        before = self.spark.conf.get(_CLEAN_UP, None)
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            return materialize(df, name, path=self.paths[name])
+        finally:
+            if before is None:
+                self.spark.conf.unset(_CLEAN_UP)
+            else:
+                self.spark.conf.set(_CLEAN_UP, before)
 
     def drop(self, *names: str) -> None:
         for name in names:

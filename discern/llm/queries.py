@@ -48,6 +48,19 @@ def op3_minhash(spark: SparkSession, directory: str) -> DataFrame:
     return near_duplicates(read(spark, directory, "documents"), width=4)
 
 
+def op4_suffix(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.suffix import remove_repeats
+
+    cleaned = remove_repeats(read(spark, directory, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op5_top_k(spark: SparkSession, directory: str) -> DataFrame:
     from discern.llm.top_k import top_k
 
@@ -85,6 +98,7 @@ QUERIES = {
     "op10_packing": op10_packing,
     "op2_mixing": op2_mixing,
     "op3_minhash": op3_minhash,
+    "op4_suffix": op4_suffix,
     "op5_top_k": op5_top_k,
     "op7_sharding": op7_sharding,
     "op8_lattice": op8_lattice,
@@ -170,3 +184,28 @@ WITH RECURSIVE v AS (
 SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, least(vec_id, coalesce(m, vec_id)) = vec_id AS kept
 FROM embeddings LEFT JOIN c ON c.a = vec_id LEFT JOIN d ON d.a = vec_id
 """
+
+ORACLE["op4_suffix"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n FROM documents
+), w AS (
+  SELECT doc_id, p, substr(h, 2 * p + 1, 200) AS w FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS p FROM d WHERE n >= 100)
+), f AS (
+  SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY w ORDER BY doc_id, p) AS k FROM w) WHERE k > 1
+), g AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM f
+), i AS (
+  SELECT doc_id, p, sum(CASE WHEN before IS NULL OR p - before > 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS s FROM g
+), s AS (
+  SELECT doc_id, s, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, s
+), k AS (
+  SELECT d.doc_id, h, n, a, b, lag(b, 1, 0) OVER (PARTITION BY d.doc_id ORDER BY s) AS prior FROM d JOIN s ON s.doc_id = d.doc_id
+), c AS (
+  SELECT doc_id, string_agg(substr(h, CAST(2 * prior + 1 AS BIGINT), CAST(2 * (a - prior) AS BIGINT)), '' ORDER BY a)
+           || substr(any_value(h), CAST(2 * max(b) + 1 AS BIGINT)) AS kept,
+         CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans
+  FROM k GROUP BY doc_id
+)
+SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN c ON c.doc_id = d.doc_id
+"""
