@@ -3,13 +3,77 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-STAGES = []
+from discern.llm.common import WORD, stored
+from discern.llm.language_id import UNKNOWN, predict, train
+from discern.llm.minhash import near_duplicates
+from discern.llm.mixing import mix
+from discern.llm.packing import pack
+from discern.llm.queries import tokenizer_path
+from discern.llm.suffix import remove_repeats
+
+#: Below this value of the language's regression a text is in no known language.
+LEAST_SCORE = 0.3
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in one of the languages of the collection; texts without a letter go."""
+    model = train(docs, F.col("doc_id").isNotNull())
+    found = predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
+    return found.select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document, that of the least id, of each group of near copies; rows without id stay."""
+    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without strings of 100 bytes that also occur earlier.
+
+    A character that a cut leaves incomplete goes with the cut.
+    """
+    cleaned = remove_repeats(docs, carry=tuple(docs.columns), as_text=True)
+    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("kept"))
+    return cleaned.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The words that the mix takes: a row for the first pass over a document and one for the second."""
+    mixed = mix(docs, carry=tuple(docs.columns))
+    passes = F.explode(F.array(F.lit(1), F.lit(2)))
+    rows = mixed.withColumn("_pass", passes).withColumn("_own", F.filter("spans", lambda s: s["times"] >= F.col("_pass")))
+    count = F.aggregate("_own", F.lit(0), lambda n, s: n + (s["to"] - s["from"]).cast("int"))
+    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("_own", lambda s: F.slice(words, s["from"] + 1, s["to"] - s["from"]))), " ")
+    rows = rows.withColumn("_taken", count).where(F.col("_taken") > 0)
+    rows = rows.withColumn("text", F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(cut))
+    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of 1024 tokens."""
+    return pack(docs, tokenizer_path())
+
+
+STAGES = [
+    ("language ID", language_id),
+    ("MinHash near-dedup", near_dedup),
+    ("suffix-array dedup", suffix_dedup),
+    ("mixing sources to target weights", mixing),
+    ("best-fit packing", packing),
+]
+
+#: SQL has neither the tokenizer nor the kernel; tests/llm holds the stages against plain versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; each one's result is written before the next reads it."""
+    kept = stored(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for k, (_, stage) in enumerate(STAGES[:-1]):
+        docs = kept.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -65,12 +65,12 @@ def per_worker(key: str, make):
     return home.__dict__[key]
 
 
-def text_slices(batch, most: int = 2_000_000):
-    """An Arrow batch of (id, text, ...) as slices of about ``most`` characters, or one longer text."""
+def text_slices(batch, most: int = 2_000_000, column: int = 1):
+    """An Arrow batch as slices of about ``most`` bytes of the text in ``column``, or one longer text."""
     import numpy as np
     import pyarrow.compute as pc
 
-    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(1)), 0))
+    sizes = np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0))
     begin, total = 0, 0
     for i, n in enumerate(sizes.tolist()):
         if total and total + n > most:

@@ -134,14 +134,12 @@ def train(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str
     return pickle.loads(found[0]["model"]) if found else None
 
 
-def _predictor(model: dict | None):
-    schema = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("lang_pred", pa.string()), ("score", pa.float64())])
-
+def _predictor(model: dict | None, column: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         presence = Presence(model["vocabulary"]) if model else None
         for batch in batches:
-            for rows in text_slices(batch):
-                texts = rows.column(1).to_pylist()
+            for rows in text_slices(batch, column=column):
+                texts = rows.column(column).to_pylist()
                 names, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
                 there = [i for i, t in enumerate(texts) if has_letter(t)]
                 if model and there:
@@ -149,12 +147,20 @@ def _predictor(model: dict | None):
                     for i, k, v in zip(there, values.argmax(axis=1).tolist(), values.max(axis=1).tolist()):
                         names[i], scores[i] = model["names"][k], min(1.0, max(0.0, v))
                 yield pa.RecordBatch.from_arrays(
-                    [rows.column(0), rows.column(2), pa.array(names, pa.string()), pa.array(scores, pa.float64())], schema=schema
+                    [*rows.columns, pa.array(names, pa.string()), pa.array(scores, pa.float64())],
+                    names=[*rows.schema.names, "lang_pred", "score"],
                 )
 
     return run
 
 
+def predict(docs: DataFrame, model: dict | None, text_col: str = "text") -> DataFrame:
+    """All columns of ``docs``, and lang_pred and score, which replace columns of these names."""
+    docs = docs.drop("lang_pred", "score")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(_predictor(model, docs.columns.index(text_col)), f"{fields}, lang_pred string, score double")
+
+
 def identify(
     docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", model: dict | None = None
 ) -> DataFrame:
@@ -168,4 +174,4 @@ def identify(
     if model is None:
         model = train(docs, F.coalesce(~held_out, F.lit(False)), id_col, text_col, lang_col)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
-    return rows.mapInArrow(_predictor(model), "doc_id long, held_out boolean, lang_pred string, score double")
+    return predict(rows, model).select("doc_id", "held_out", "lang_pred", "score")

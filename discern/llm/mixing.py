@@ -107,26 +107,26 @@ def _quotas_of_shards(rows: pd.DataFrame) -> pd.DataFrame:
     return rows[["source", "shard", "start", "first", "count", "quota", "step", "shift"]]
 
 
-def mix(docs: DataFrame, share: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+def mix(
+    docs: DataFrame, share: float = 1.5, seed: int = 11, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    carry: tuple[str, ...] = (),
+) -> DataFrame:
     """What a mix of the sources takes of every row.
 
     Size of a row: its words (null: 0).  Returns the id, source, size, source_size, target (both of
-    the row's source), taken (words the mix takes, repeats counted, at most twice the size), and
-    ``passes``: the words taken in whole passes (0, 1 or 2 times the row), plus ``spans``, word
-    ranges [from, to) taken once more.  Rows with a null source form one source, weighed last.
+    the row's source), taken (words the mix takes, repeats counted, at most twice the size), spans
+    (word ranges [from, to) with the times each is taken) and the columns named in ``carry``.  Rows with a null source form one source, weighed last.
     Rows without words take nothing.  Repeated rows count as often as they occur.  Order within a
     source follows a seeded hash of the id and text, so reruns agree.
     """
     spark = docs.sparkSession
     kept = stored(spark, "mixing")
     key = F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(F.col(text_col)))
-    rows = kept.keep(
-        docs.select(
-            F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"),
-            F.pmod(F.shiftrightunsigned(key, 17), F.lit(SHARDS)).cast("int").alias("shard"),
-        ),
-        "sizes",
-    )
+    columns = [
+        F.col(id_col).alias("_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), key.alias("_key"),
+        F.pmod(F.shiftrightunsigned(key, 17), F.lit(SHARDS)).cast("int").alias("shard"),
+    ]
+    rows = kept.keep(docs.select(*columns), "sizes")
     cells = rows.groupBy("source", "shard").agg(F.sum("size").alias("size"))
     targets = source_targets(cells.groupBy("source").agg(F.sum("size").alias("source_size")), share)
     seats = (
@@ -149,7 +149,9 @@ def mix(docs: DataFrame, share: float = 1.5, seed: int = 11, id_col: str = "doc_
     quotas = quotas.join(seats.withColumnRenamed("source", "_s"), quotas["source"].eqNullSafe(F.col("_s"))).drop("_s", "seats")
     quotas = kept.keep(_with_prior(quotas), "quotas")
     inside = Window.partitionBy("source", "shard").orderBy("_key", "_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    laid = rows.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
+    carried = [f"_carry_{c}" for c in carry]
+    whole = docs.select(*columns, *[F.col(c).alias(x) for c, x in zip(carry, carried)]) if carry else rows
+    laid = whole.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0).cast("long")))
     q = quotas.withColumnsRenamed({"source": "_qs", "shard": "_qshard"})
     laid = laid.join(q, laid["source"].eqNullSafe(q["_qs"]) & (laid["shard"] == q["_qshard"]))
     laid = laid.withColumn("_at", F.col("start") + F.col("_before"))
@@ -169,6 +171,7 @@ def mix(docs: DataFrame, share: float = 1.5, seed: int = 11, id_col: str = "doc_
         "source_size",
         "target",
         F.expr(f"if(size = 0, {empty}, filter({spans}, x -> x.times > 0))").alias("spans"),
+        *[F.col(x).alias(c) for c, x in zip(carry, carried) if c not in (id_col, source_col)],
     ).withColumn("taken", F.expr("aggregate(spans, 0L, (n, x) -> n + (x.to - x.from) * x.times)"))
 
 

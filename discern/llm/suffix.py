@@ -317,12 +317,12 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(row's own columns, text, intervals) to the kept bytes and the removed spans."""
+def _removed(as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(text, intervals, carried columns) to the kept bytes and the removed spans."""
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
     for batch in batches:
-        kept, spans = [], []
-        for text, found in zip(batch.column(1), batch.column(2)):
+        sizes, kept, spans = [], [], []
+        for text, found in zip(batch.column(0), batch.column(1)):
             raw, own, pieces, at = (text.as_py() or "").encode(), [], [], 0
             for first, last in sorted((f["first"], f["last"]) for f in found.as_py() or ()):
                 if own and first <= own[-1]["to"]:
@@ -332,22 +332,28 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for s in own:
                 pieces.append(raw[at : s["from"]])
                 at = s["to"]
-            kept.append(b"".join([*pieces, raw[at:]]))
+            sizes.append(len(raw))
+            left = b"".join([*pieces, raw[at:]])
+            kept.append(left.decode("utf-8", "ignore") if as_text else left)
             spans.append(own)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([len((t.as_py() or "").encode()) for t in batch.column(1)], pa.int64()), pa.array(kept, pa.binary()), pa.array(spans, span)],
-            names=["doc_id", "n_bytes", "kept", "removed"],
-        )
+            [pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, span), *batch.columns[2:]],
+            names=["n_bytes", "kept", "removed", *batch.schema.names[2:]],
+        )
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
+    as_text: bool = False,
+) -> DataFrame:
     """Every text without the bytes of 100-byte strings that also start earlier.
 
     Earlier: in a document with a smaller id, or sooner in the same one; strings are judged on the
     input.  Texts are UTF-8 bytes (null: none), and strings never cross texts.  Rows without id,
     and rows whose id is on several rows, have no place in that order: they are left whole and make
-    nothing else a repeat.  Every row gives one row: doc_id, n_bytes, kept (the bytes that stay),
-    removed (the maximal removed runs as [from, to) in bytes).
+    nothing else a repeat.  Every row gives one row: n_bytes, kept (the bytes that stay), removed
+    (the maximal removed runs as [from, to) in bytes), and the input's columns named in ``carry``.
+    With ``as_text`` kept is a string; a character that a cut has left incomplete is not in it.
     """
     kept = stored(docs.sparkSession, "suffix")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -379,5 +385,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     found = kept.keep(found, "found")
     kept.drop("cut", "judged", "runs", "contexts", "keys")
-    spans = rows.join(found, "doc_id", "left").select("doc_id", "text", "found")
-    return spans.mapInArrow(_removed, "doc_id long, n_bytes long, kept binary, removed array<struct<from: long, to: long>>")
+    own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), *carry)
+    spans = own.join(found.select(F.col("doc_id").alias("_id"), "found"), "_id", "left").select("_text", "found", *carry)
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
+    kind = "string" if as_text else "binary"
+    return spans.mapInArrow(lambda it: _removed(as_text, it), f"n_bytes long, kept {kind}, removed array<struct<from: long, to: long>>, {fields}")
