@@ -119,10 +119,9 @@ def fit(texts: list[str], languages: list[str], seed: int = 3) -> dict:
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
-    rows = rows[[has_letter(t) for t in rows["text"]]] if len(rows) else rows
-    if len(rows):
-        rows = rows.sort_values(["label", "id", "text"])
+    parts = [b[[has_letter(t) for t in b["text"]]] for b in batches if len(b)]
+    if any(map(len, parts)):
+        rows = pd.concat(parts, ignore_index=True).sort_values(["label", "id", "text"])
         yield pd.DataFrame({"model": [pickle.dumps(fit(rows["text"].tolist(), rows["label"].tolist()))]})
 
 

@@ -121,8 +121,9 @@ def score(model: dict, texts: list[bytes]) -> np.ndarray:
 
 
 def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    rows = pd.concat(list(batches), ignore_index=True)
-    if len(rows):
+    parts = [b for b in batches if len(b)]
+    if parts:
+        rows = pd.concat(parts, ignore_index=True)
         rows = rows.sort_values(["id", "label", "text"], na_position="first")
         texts = [(t or "").encode() for t in rows["text"]]
         yield pd.DataFrame({"model": [pickle.dumps(fit(texts, rows["label"].to_numpy(np.int64)))]})
