@@ -22,6 +22,10 @@ def hash_hex(ids: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), row_key(ids)))
 
 
+#: Number of values of :func:`hash32`.
+HASHES = 1 << 32
+
+
 def hash32(ids: Sequence[str], seed: int) -> Column:
     """First 32 bits of the md5 of ``seed:id`` as a non-negative bigint."""
     return F.conv(F.substring(hash_hex(ids, seed), 1, 8), 16, 10).cast("bigint")
@@ -33,7 +37,7 @@ def hash_bucket(ids: Sequence[str], seed: int, buckets: int) -> Column:
 
 def hash_unit(ids: Sequence[str], seed: int) -> Column:
     """A number in [0, 1) per row."""
-    return hash32(ids, seed) / F.lit(4294967296.0)
+    return hash32(ids, seed) / F.lit(float(HASHES))
 
 
 def content_id(columns: Sequence[str]) -> Column:

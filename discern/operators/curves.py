@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from discern.operators.ranking import SINGLE_TASK_ROWS, prefix_sums
+from discern.operators.ranking import prefix_sums
 
 
 def score_counts(scored: DataFrame, label: str, score: str, positive: float = 1.0) -> DataFrame:
@@ -22,7 +22,6 @@ def auc(
     label: str = "label",
     score: str = "score",
     positive: float = 1.0,
-    single_task_rows: int = SINGLE_TASK_ROWS,
 ) -> DataFrame:
     """``auc_roc, auc_pr_first, auc_pr_one`` in one row.
 
@@ -32,7 +31,7 @@ def auc(
     areas null.
     """
     counts = score_counts(scored, label, score, positive)
-    curve = prefix_sums(counts, [F.col("score").desc()], ["tp", "fp"], single_task_rows)
+    curve = prefix_sums(counts, [F.col("score").desc()], ["tp", "fp"])
     tp, fp = F.col("tp").cast("double"), F.col("fp").cast("double")
     tp_before, fp_before = F.col("before_tp").cast("double"), F.col("before_fp").cast("double")
     precision = (tp_before + tp) / (tp_before + tp + fp_before + fp)

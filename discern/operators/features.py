@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discern.functions.text import url_tokens, word_tokens
-from discern.operators.ranking import SINGLE_TASK_ROWS, global_row_number
+from discern.operators.ranking import global_row_number
 
 # Fixed value: the dense solver keeps a (columns x columns) triangle on the driver
 # and accepts no more columns than this.
@@ -23,16 +23,14 @@ def assembler(columns: Sequence[str], out: str = "features", invalid: str = "err
     return VectorAssembler(inputCols=list(columns), outputCol=out, handleInvalid=invalid)
 
 
-def label_index(
-    df: DataFrame, column: str, out: str = "label_index", single_task_rows: int = SINGLE_TASK_ROWS
-) -> DataFrame:
+def label_index(df: DataFrame, column: str, out: str = "label_index") -> DataFrame:
     """``value, n, label_index``: values by falling frequency, ties by ascending text."""
     counts = (
         df.filter(F.col(column).isNotNull())
         .groupBy(F.col(column).cast("string").alias("value"))
         .agg(F.count("*").alias("n"))
     )
-    return global_row_number(counts, [F.col("n").desc(), F.col("value")], out, single_task_rows)
+    return global_row_number(counts, [F.col("n").desc(), F.col("value")], out)
 
 
 def with_known_index(df: DataFrame, column: str, labels: Sequence[str], out: str = "label") -> DataFrame:
@@ -55,29 +53,25 @@ def string_columns(df: DataFrame) -> list[str]:
     return [name for name, dtype in df.dtypes if dtype == "string"]
 
 
-def index_categories(df: DataFrame, label: str | None = None, on_driver: int = 10_000) -> DataFrame:
+def index_categories(df: DataFrame, label: str | None = None) -> DataFrame:
     """Replace every string column, and the label if named, by its category index.
 
-    Missing values get the index after the last category.  Columns with few categories
-    go through one indexer, which holds its categories on the driver.  A column with
-    more than about ``on_driver`` of them is joined with its :func:`label_index`
-    instead, which stays distributed.
+    Missing values get the index after the last category.  Each column is joined with its
+    :func:`label_index`, so no list of categories reaches the driver; the join broadcasts an
+    index that the session's threshold allows and shuffles otherwise.  The columns are marked
+    as categorical with their number of values.
     """
     columns = string_columns(df)
     if label is not None and label not in columns:
         columns.append(label)
-    if not columns:
-        return df
-    sizes = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    small = [c for c in columns if sizes[c] <= on_driver]
-    indexed = categorical(small).fit(df).transform(df) if small else df
+    indexed = df
     for c in columns:
-        if c in small:
-            continue
         index = label_index(df, c, f"{c}_index").select(F.col("value").alias(f"_{c}"), f"{c}_index")
-        missing = F.lit(index.count())  # the index is a written table: no recount of the data
+        known = index.count()  # the index is a written table: no recount of the data
         indexed = indexed.join(index, F.col(c).cast("string") == F.col(f"_{c}"), "left")
-        indexed = indexed.withColumn(f"{c}_index", F.coalesce(f"{c}_index", missing).cast("double"))
+        indexed = indexed.withColumn(f"{c}_index", F.coalesce(f"{c}_index", F.lit(known)).cast("double"))
+        metadata = {"ml_attr": {"type": "nominal", "name": c, "num_vals": known + 1}}
+        indexed = indexed.withColumn(f"{c}_index", F.col(f"{c}_index").alias(f"{c}_index", metadata=metadata))
     return indexed.select(*[F.col(f"{c}_index").alias(c) if c in columns else F.col(c) for c in df.columns])
 
 
@@ -135,16 +129,19 @@ def _vector_folder(position: int, width: int):
     """The function that workers run; all it needs is inside it, so they need not have this package."""
 
     def fold_vectors(vectors: pa.StructArray) -> pa.StructArray:
+        import pyarrow.compute as pc
+
         stored = vectors.field("values")
-        lengths = np.diff(stored.offsets.to_numpy())
+        lengths = pc.fill_null(pc.list_value_length(stored), 0).to_numpy(zero_copy_only=False)
         values = stored.flatten().to_numpy(zero_copy_only=False)
         rows = np.repeat(np.arange(len(vectors)), lengths)
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        sparse = np.repeat(vectors.field("type").to_numpy(zero_copy_only=False) == 0, lengths)
+        sparse = np.repeat(pc.fill_null(vectors.field("type"), 0).to_numpy(zero_copy_only=False) == 0, lengths)
         indices = np.arange(len(values)) - starts  # dense rows: entry number
         indices[sparse] = vectors.field("indices").flatten().to_numpy(zero_copy_only=False)
         keys, inverse = np.unique(rows * width + indices % width, return_inverse=True)
-        folded = np.bincount(inverse, weights=values, minlength=len(keys))
+        # without any stored entry bincount gives integers
+        folded = np.bincount(inverse, weights=values, minlength=len(keys)).astype(np.float64)
         offsets = pa.array(np.searchsorted(keys, np.arange(len(vectors) + 1) * width).astype(np.int32))
         fields = list(vectors.type)
         arrays = [
@@ -153,7 +150,7 @@ def _vector_folder(position: int, width: int):
             pa.ListArray.from_arrays(offsets, pa.array((keys % width).astype(np.int32)), type=fields[2].type),
             pa.ListArray.from_arrays(offsets, pa.array(folded), type=fields[3].type),
         ]
-        return pa.StructArray.from_arrays(arrays, fields=fields)
+        return pa.StructArray.from_arrays(arrays, fields=fields, mask=vectors.is_null())
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,52 +159,70 @@ def _vector_folder(position: int, width: int):
     return fold
 
 
-def covariance(df: DataFrame, column: str = "features") -> DataFrame:
+def covariance(df: DataFrame, column: str = "features", merges: int = 64) -> DataFrame:
     """``i, j, covariance`` (sample, i <= j) of an array-of-double column.
 
-    Each task reduces its rows to one co-moment matrix; only those entries are
-    shuffled, so the exchange does not grow with the rows.  The co-moments are taken
-    around the task's own mean and joined by the parallel update rule.
+    Each task reduces its rows to one packed row: count, means, co-moments around them.  These
+    are joined pairwise by the parallel update rule, in ``merges`` tasks and then in one, so no
+    digits are lost at large means and the exchange has one row a task.  Rows of unequal length
+    are an error; null rows are left out.
     """
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, mean, comoment = 0, None, None
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            batch_mean = x.mean(axis=0)
-            centred = x - batch_mean
-            product = centred.T @ centred
-            if mean is None:
-                n, mean, comoment = len(x), batch_mean, product
-                continue
-            shift, total = batch_mean - mean, n + len(x)
-            comoment += product + np.outer(shift, shift) * (n * len(x) / total)
-            mean = mean + shift * (len(x) / total)
-            n = total
-        if mean is None:
-            return
-        i, j = np.triu_indices(len(mean))
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(i.astype(np.int32)),
-                pa.array(j.astype(np.int32)),
-                pa.array(np.full(len(i), n, dtype=np.int64)),
-                pa.array(mean[i]),
-                pa.array(mean[j]),
-                pa.array(comoment[i, j]),
-            ],
-            names=["i", "j", "n", "mean_i", "mean_j", "comoment"],
-        )
-
+    packed = "n long, mean array<double>, comoment array<double>"
+    reduce_rows, merge_rows = _moments()
     parts = (
         df.filter(F.col(column).isNotNull())
         .select(F.col(column).cast("array<double>"))
-        .mapInArrow(moments, "i int, j int, n long, mean_i double, mean_j double, comoment double")
+        .mapInArrow(reduce_rows, packed)
+        .repartition(merges)
+        .mapInArrow(merge_rows, packed)
+        .repartition(1)
+        .mapInArrow(merge_rows, packed)
     )
-    n = F.sum("n")
-    between = F.sum(F.col("n") * F.col("mean_i") * F.col("mean_j")) - F.sum(F.col("n") * F.col("mean_i")) * F.sum(
-        F.col("n") * F.col("mean_j")
-    ) / n
-    return parts.groupBy("i", "j").agg(F.try_divide(F.sum("comoment") + between, n - 1).alias("covariance"))
+    width = F.size("mean")
+    cells = parts.select("n", "comoment", width.alias("d"), F.explode(F.sequence(F.lit(0), width - 1)).alias("i"))
+    cells = cells.select("n", "comoment", "d", "i", F.explode(F.sequence("i", F.col("d") - 1)).alias("j"))
+    value = F.get("comoment", F.col("i") * F.col("d") + F.col("j"))
+    return cells.select("i", "j", F.try_divide(value, (F.col("n") - 1).cast("double")).alias("covariance"))
+
+
+def _moments():
+    """The functions that workers run; all they need is inside, so they need not have this package."""
+
+    def joined(a, b):
+        (n, mean, comoment), (m, other, product) = a, b
+        if len(mean) != len(other):
+            raise ValueError(f"rows of {len(mean)} and of {len(other)} entries have no covariance")
+        shift, total = other - mean, n + m
+        return total, mean + shift * (m / total), comoment + product + np.outer(shift, shift) * (n * m / total)
+
+    def packed(state) -> pa.RecordBatch:
+        n, mean, comoment = state
+        arrays = [pa.array([n], pa.int64()), pa.array([mean.tolist()]), pa.array([comoment.ravel().tolist()])]
+        return pa.RecordBatch.from_arrays(arrays, names=["n", "mean", "comoment"])
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            widths = set(np.diff(batch.column(0).offsets.to_numpy()).tolist())
+            if len(widths) > 1:
+                raise ValueError(f"rows of {min(widths)} and of {max(widths)} entries have no covariance")
+            x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            mean = x.mean(axis=0)
+            own = (len(x), mean, (x - mean).T @ (x - mean))
+            state = own if state is None else joined(state, own)
+        if state is not None:
+            yield packed(state)
+
+    def merge_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state = None
+        for batch in batches:
+            for n, mean, comoment in zip(*(batch.column(k) for k in range(3))):
+                mean = np.array(mean.as_py())
+                own = (n.as_py(), mean, np.array(comoment.as_py()).reshape(len(mean), -1))
+                state = own if state is None else joined(state, own)
+        if state is not None:
+            yield packed(state)
+
+    return reduce_rows, merge_rows

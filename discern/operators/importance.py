@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml import Model
+from pyspark.ml import Model, PipelineModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,11 +13,21 @@ from discern.functions.hashing import hash_bucket, hash_hex
 from discern.operators.classifiers import last_stage
 
 PERMUTE_SEED = 31337
-ROWS_PER_BUCKET = 100_000
+# Rows exchange values within buckets, each sorted by one task: about one for 100,000 rows, and several rows in each.
+BUCKETS = 32
+
+
+def after_assembling(model: Model, features: str = "features") -> list[Model]:
+    """The stages of a fitted model that follow the one that makes ``features``."""
+    stages = list(model.stages) if isinstance(model, PipelineModel) else [model]
+    made = [i for i, s in enumerate(stages) if s.hasParam("outputCol") and s.getOrDefault("outputCol") == features]
+    return stages[made[-1] + 1 :] if made else stages
 
 
 def tree_importances(df: DataFrame, model: Model, names: Sequence[str]) -> DataFrame:
     """``feature, importance`` of a fitted tree or forest, with the rows it was scored for."""
+    if len(after_assembling(model)) > 1:
+        raise ValueError("the importances belong to the outputs of earlier stages, not to the columns")
     values = last_stage(model).featureImportances.toArray()
     pairs = F.array(
         *[F.struct(F.lit(n).alias("feature"), F.lit(float(v)).alias("importance")) for n, v in zip(names, values)]
@@ -29,16 +39,16 @@ def with_donor(
     df: DataFrame,
     columns: Sequence[str],
     ids: Sequence[str],
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = BUCKETS,
     seed: int = PERMUTE_SEED,
 ) -> DataFrame:
     """Add ``donor_<c>``: the values of another row, so that each row gives its values once.
 
     Rows fall into hash buckets of their (unique) id; inside a bucket each row takes
-    from the row before it in hash order, the first one from the last.  The number
-    of buckets follows the number of rows, so the sort of a bucket stays small.
+    from the row before it in hash order, the first one from the last.  The permutation
+    depends on the ids, the seed and the number of ``buckets`` alone.
     """
-    bucket = hash_bucket(ids, seed, max(1, -(-df.count() // rows_per_bucket)))
+    bucket = hash_bucket(ids, seed, buckets)
     keyed = df.withColumns({"_bucket": bucket, "_order": hash_hex(ids, seed)})
     order = [F.col("_order"), *[F.col(c) for c in ids]]
     window = Window.partitionBy("_bucket").orderBy(*order)
@@ -79,16 +89,19 @@ def permutation_importance(
     columns: Sequence[str],
     ids: Sequence[str],
     label: str = "label",
-    rows_per_bucket: int = ROWS_PER_BUCKET,
+    buckets: int = BUCKETS,
+    features: str = "features",
 ) -> DataFrame:
     """Loss of accuracy of a fitted classifier when one feature column is permuted.
 
-    ``columns`` are the numeric columns that make up the feature vector, in order.
+    ``columns`` are the numeric columns that make up the feature vector, in order.  Of a
+    pipeline all stages after the one that assembles ``features`` are applied.
     One shuffle provides the donors.  Each row is then scored as it is and once per
     column inside the same stage, and only one hit count per column leaves a task.
     """
-    head = last_stage(model)
-    rows = with_donor(df.select(*ids, F.col(label), *columns), columns, ids, rows_per_bucket)
+    stages = after_assembling(model, features)
+    head = stages[-1]
+    rows = with_donor(df.select(*ids, F.col(label), *columns), columns, ids, buckets)
     own = F.array(*[F.col(c).cast("double") for c in columns])
     donor = F.array(*[F.col(f"donor_{c}").cast("double") for c in columns])
     variants = rows.select(
@@ -101,9 +114,12 @@ def permutation_importance(
         F.arrays_zip("_own", "_donor"),
         lambda pair, i: F.when(i == F.col("_changed"), pair["_donor"]).otherwise(pair["_own"]),
     )
-    extra = {head.getParam("featuresCol"): "_x", head.getParam("predictionCol"): "_prediction"}
+    scored = variants.select("_label", "_changed", array_to_vector(mixed).alias(features))
+    for stage in stages[:-1]:
+        scored = stage.transform(scored)
+    extra = {head.getParam("predictionCol"): "_prediction"}
     extra |= {head.getParam(p): "" for p in ("rawPredictionCol", "probabilityCol") if head.hasParam(p)}
-    scored = head.copy(extra).transform(variants.select("_label", "_changed", array_to_vector(mixed).alias("_x")))
+    scored = head.copy(extra).transform(scored)
     hits = scored.groupBy("_changed").agg(F.avg((F.col("_prediction") == F.col("_label")).cast("double")).alias("a"))
     by_column = hits.agg(F.map_from_entries(F.collect_list(F.struct("_changed", "a"))).alias("a"))  # one entry per column
     names = F.array(*[F.lit(c) for c in columns])

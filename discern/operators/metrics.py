@@ -7,6 +7,9 @@ Figures without a value (no rows, one class only) are null, never an error.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Sequence
+
 from pyspark.ml.evaluation import Evaluator
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -71,6 +74,29 @@ def multiclass_report(counts: DataFrame, *keys: str) -> DataFrame:
     )
 
 
+def class_figures(classes: Sequence[tuple[int, int, int]]) -> dict[str, float | None]:
+    """The figures of :func:`multiclass_report` from (actual, predicted, correct) counts in class order.
+
+    Sums are exact up to the last rounding, so equal counts give equal figures.
+    """
+    n = sum(a for a, _, _ in classes)
+    if n == 0:
+        return dict.fromkeys(("accuracy", "weighted_precision", "weighted_recall", "weighted_f1", "balanced_accuracy"))
+
+    def weighted(part: Callable[[int, int, int], tuple[int, int]]) -> float:
+        pairs = [(a, *part(a, p, c)) for a, p, c in classes]
+        return math.fsum(a * (top / below) for a, top, below in pairs if below) / n
+
+    recalls = [c / a for a, _, c in classes if a]
+    return {
+        "accuracy": sum(c for _, _, c in classes) / n,
+        "weighted_precision": weighted(lambda a, p, c: (c, p)),
+        "weighted_recall": weighted(lambda a, p, c: (c, a)),
+        "weighted_f1": weighted(lambda a, p, c: (2 * c, a + p)),
+        "balanced_accuracy": math.fsum(recalls) / len(recalls),
+    }
+
+
 def macro_report(counts: DataFrame, num_classes: int | None = None) -> DataFrame:
     """Unweighted averages over the classes for which a figure is defined.
 
@@ -103,21 +129,20 @@ def mean_class_error(counts: DataFrame) -> DataFrame:
 def confusion_matrix(counts: DataFrame, num_classes: int | None = None) -> DataFrame:
     """Every cell of the matrix, empty ones as 0.
 
-    Without ``num_classes`` the classes are those seen on either side.  The cells
-    are generated from the one class list, not by a join of the rows.
+    Without ``num_classes`` the classes are those seen on either side.  The counts are
+    read once: the cells, as many as the result has rows, come together in one row.
     """
-    if num_classes is None:
-        seen = counts.select(F.explode(F.array("actual", "predicted")).alias("class"))
-        classes = seen.agg(F.array_sort(F.collect_set("class")).alias("classes"))
-    else:
-        ids = F.array([F.lit(float(i)) for i in range(num_classes)])
-        classes = counts.agg(F.count("*")).select(ids.alias("classes"))
-    cells = classes.select("classes", F.explode("classes").alias("actual")).select(
-        "actual", F.explode("classes").alias("predicted")
-    )
-    return cells.join(counts, ["actual", "predicted"], "left").select(
-        "actual", "predicted", F.coalesce("n", F.lit(0)).cast("bigint").alias("n")
+    cell = F.struct("actual", "predicted")
+    seen = F.flatten(F.collect_list(F.array("actual", "predicted")))
+    classes = F.array_sort(F.array_distinct(seen))
+    if num_classes is not None:
+        classes = F.array([F.lit(float(i)) for i in range(num_classes)])
+        counts = counts.filter(F.col("actual").isin(*range(num_classes)) & F.col("predicted").isin(*range(num_classes)))
+    whole = counts.agg(F.map_from_entries(F.collect_list(F.struct(cell, F.col("n")))).alias("found"), classes.alias("classes"))
+    cells = whole.select("found", "classes", F.explode("classes").alias("actual")).select(
+        "found", "actual", F.explode("classes").alias("predicted")
     )
+    return cells.select("actual", "predicted", F.coalesce(F.try_element_at("found", cell), F.lit(0)).cast("bigint").alias("n"))
 
 
 def confusion_wide(cells: DataFrame, num_classes: int) -> DataFrame:
@@ -155,10 +180,12 @@ def binary_report(
 ) -> DataFrame:
     """Counts, their share of the total, rates and Matthews correlation, from one scan.
 
+    Rows without a label or prediction are left out, as in :func:`confusion`.
     ``auc_roc_hard`` is the ROC area of the hard predictions, which is the balanced
     accuracy.
     """
-    counts = scored.agg(*binary_counts(label, prediction, positive))
+    known = F.col(label).isNotNull() & F.col(prediction).isNotNull()
+    counts = scored.filter(known).agg(*binary_counts(label, prediction, positive))
     share = {f"{c}_ratio": F.try_divide(F.col(c), F.col("total")) for c in ("correct", "wrong", "tp", "fp", "tn", "fn")}
     sensitivity = F.try_divide(F.col("tp"), F.col("tp") + F.col("fn"))
     specificity = F.try_divide(F.col("tn"), F.col("tn") + F.col("fp"))

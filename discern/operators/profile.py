@@ -16,6 +16,8 @@ def _comparable(field: T.StructField) -> Column:
         return F.md5(column)
     if isinstance(field.dataType, (T.ArrayType, T.StructType, T.MapType)):
         return F.md5(F.to_json(column))
+    if isinstance(field.dataType, T.FractionalType):
+        column = F.when(column == 0, F.lit(0).cast(field.dataType)).otherwise(column)  # -0.0 equals 0.0
     return column.cast("string")
 
 

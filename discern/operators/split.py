@@ -8,15 +8,16 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from discern.functions.hashing import hash_bucket, hash_hex, hash_unit
+from discern.functions.hashing import HASHES, hash32, hash_bucket, hash_hex, hash_unit
 from discern.sources.scratch import materialize
 
 # Seeds of the published experiments.
 SPLIT_SEED = 5043
 SPARSE_SPLIT_SEED = 12345
-SPLIT_RESOLUTION = 10_000
 FOLD_SEED = 7919
 SAMPLE_SEED = 104729
+# Each number of copies is one literal in the plan.
+MOST_COPIES = 1000
 
 
 def split_number(ids: Sequence[str], weights: Sequence[float], seed: int = SPLIT_SEED) -> Column:
@@ -25,8 +26,8 @@ def split_number(ids: Sequence[str], weights: Sequence[float], seed: int = SPLIT
     cuts, running = [], 0.0
     for weight in weights[:-1]:
         running += weight
-        cuts.append(round(running / total * SPLIT_RESOLUTION))
-    bucket = hash_bucket(ids, seed, SPLIT_RESOLUTION)
+        cuts.append(round(running / total * HASHES))
+    bucket = hash32(ids, seed)
     if len(cuts) == 1:
         return (bucket >= cuts[0]).cast("int")
 
@@ -87,13 +88,19 @@ def shuffled_top(df: DataFrame, ids: Sequence[str], n: int, seed: int = SAMPLE_S
 
 
 def poisson_cuts(rate: float) -> list[float]:
-    """Upper ends of the cumulative Poisson distribution, to the 32-bit hash resolution."""
-    cuts, term, total, k = [], math.exp(-rate), 0.0, 0
-    while total < 1 - 2.0**-33 and k < 200:
-        total += term
-        cuts.append(total)
+    """Upper ends of the cumulative Poisson distribution, to the 32-bit hash resolution.
+
+    Terms come from their logarithms, so that large rates start above zero.
+    """
+    if not 0 < rate <= MOST_COPIES:
+        raise ValueError(f"a rate between 0 and {MOST_COPIES} copies a row is needed, not {rate}")
+    cuts, terms, k = [], [], 0
+    while not cuts or cuts[-1] < 1 - 2.0**-33:
+        terms.append(math.exp(k * math.log(rate) - rate - math.lgamma(k + 1)))
+        cuts.append(math.fsum(terms))
         k += 1
-        term *= rate / k
+        if k > rate and terms[-1] < 2.0**-60:
+            break
     return cuts[:-1]
 
 
@@ -106,10 +113,11 @@ def sample_with_replacement(
     with partitioning or on a retry, and no shuffle is needed.
     """
     first, *more = poisson_cuts(fraction)
+    more = more or [math.inf]
     unit = hash_unit(ids, seed)
 
     def copies(u: Column) -> Column:
-        return sum((F.when(u >= F.lit(cut), 1).otherwise(0) for cut in more), F.lit(1))
+        return F.size(F.filter(F.array(*[F.lit(cut) for cut in more]), lambda cut: cut <= u)) + 1
 
     number = _bound(unit, copies)
     return df.filter(unit >= F.lit(first)).withColumn(copy, F.explode(F.sequence(F.lit(1), number)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -14,7 +15,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discern.operators.metrics import multiclass_report
+from discern.operators.metrics import class_figures, per_class
 from discern.operators.split import with_fold
 from discern.sources.scratch import discard, materialize, scratch_path
 
@@ -66,6 +67,8 @@ METRICS = {
     "weightedPrecision": "weighted_precision",
     "weightedRecall": "weighted_recall",
 }
+# Means are compared to this many digits; equal ones go to the first point of the grid.
+DIGITS = 12
 
 
 @dataclass(frozen=True)
@@ -114,9 +117,12 @@ def fold_scores(models: Sequence[Model], rows: DataFrame, label: str, metric: st
             .groupBy("model", F.col("label").cast("double").alias("actual"), F.col("prediction").alias("predicted"))
             .agg(F.count("*").alias("n"))
         )
-        report = multiclass_report(counts, "model").select("model", METRICS[metric]).collect()  # one row per model
-        found = {row[0]: row[1] for row in report}
-        scores += [found.get(i) for i in range(len(chunk))]
+        # whole counts, one row per model and class: the figure does not depend on the order of a shuffle
+        totals = per_class(counts, "model").select("model", "class", "n_actual", "n_predicted", "n_correct").collect()
+        found: dict[int, list[tuple[int, int, int]]] = {}
+        for model, _, *whole in sorted(tuple(row) for row in totals):
+            found.setdefault(model, []).append(tuple(whole))
+        scores += [class_figures(found[i])[METRICS[metric]] if i in found else None for i in range(len(chunk))]
     return scores
 
 
@@ -128,15 +134,15 @@ def cross_validate(
     k: int = DEFAULT_FOLDS,
     label: str = "label",
     metric: str = "f1",
-    parallelism: int = 4,
+    parallelism: int = 1,
     refit: bool = True,
 ) -> TunedModel:
     """Pick the grid point with the best mean ``metric`` over ``k`` folds.
 
     The rows are written once, sorted by fold inside each file, so that a validation
     fold is read without the pages of the others.  Stages before the last are fitted once per fold, on its
-    training rows.  Fits of a fold run side by side; all its models are then scored
-    in shared scans.  Folds follow from the row ids, so another partitioning or a
+    training rows.  ``parallelism`` fits of a fold run side by side, each with its own copy
+    of the fold in memory; all its models are then scored in shared scans.  Folds follow from the row ids, so another partitioning or a
     retry gives the same ones.
     """
     if metric not in METRICS:
@@ -150,7 +156,7 @@ def cross_validate(
     try:
         folded = materialize(with_fold(df, ids, k), "folds", sort_by=["fold"], path=path)
         means, folds = _mean_scores(folded, before, head, param_maps, label, metric, parallelism)
-        best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, means[i] or 0.0, -i))
+        best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, round(means[i] or 0.0, DIGITS), -i))
         model = None
         if refit:
             model = Pipeline(stages=[*before, head.copy(param_maps[best])]).fit(folded.drop("fold"))
@@ -201,4 +207,4 @@ def _describe(point: Mapping[str, object]) -> str:
 
 def _mean(scores: Sequence[float | None]) -> float | None:
     known = [score for score in scores if score is not None]
-    return sum(known) / len(known) if known else None
+    return math.fsum(known) / len(known) if known else None

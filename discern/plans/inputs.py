@@ -17,14 +17,16 @@ LETTER_COLUMNS = [f"n_{letter}" for letter in LETTERS]
 
 
 def embedding_width(spark: SparkSession, directory: str) -> int:
-    """Length of the embedding vectors, read off one row."""
-    return read_table(spark, directory, "embeddings").select(F.size("embedding")).first()[0]
+    """Length of the longest embedding vector."""
+    return read_table(spark, directory, "embeddings").agg(F.max(F.size("embedding"))).first()[0]
 
 
 def embedding_table(spark: SparkSession, directory: str) -> DataFrame:
-    """``vec_id, f0 .. fN, label``: a wide numeric table with the label last."""
+    """``vec_id, f0 .. fN, label``: a wide numeric table with the label last; vectors of another width are an error."""
     width = embedding_width(spark, directory)
-    values = [F.get("embedding", F.lit(i)).cast("double").alias(f"f{i}") for i in range(width)]
+    known = F.col("embedding").isNull() | (F.size("embedding") == width)
+    checked = F.when(known, F.col("embedding")).otherwise(F.raise_error(F.lit(f"an embedding is not {width} wide")))
+    values = [F.get(checked, F.lit(i)).cast("double").alias(f"f{i}") for i in range(width)]
     return spread(read_table(spark, directory, "embeddings"), ["vec_id"]).select("vec_id", *values, "label")
 
 
@@ -80,8 +82,9 @@ def line_rules(spark: SparkSession, directory: str) -> DataFrame:
 
 def quantity_vectors(spark: SparkSession, directory: str) -> DataFrame:
     """Line items with the quantity one-hot encoded in ``features``."""
-    quantities = read_table(spark, directory, "lineitem").select(F.col("l_quantity").cast("int").alias("quantity"))
-    encoder = OneHotEncoder(inputCols=["quantity"], outputCols=["features"], dropLast=False).fit(quantities)
+    # quantities are whole numbers up to 50, so the encoder needs no pass over the data
+    every = spark.range(51).select(F.col("id").cast("int").alias("quantity"))
+    encoder = OneHotEncoder(inputCols=["quantity"], outputCols=["features"], dropLast=False).fit(every)
     return encoder.transform(line_rules(spark, directory)).select(*LINE_ID, "quantity", "label", "big", "features")
 
 

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -54,6 +55,11 @@ def _tuned(
     return tuned.model, {"tuning": tuned.results}
 
 
+def _stored_counts(predictions: DataFrame) -> DataFrame:
+    """The confusion counts, written once: all reports of a job come from one scan of its scored rows."""
+    return materialize(confusion(predictions), "counts")
+
+
 def _identified(df: DataFrame, ids: Sequence[str] | None) -> tuple[DataFrame, Sequence[str]]:
     """Rows read from CSV or LIBSVM have no id; their content stands in for it."""
     if ids is not None:
@@ -87,7 +93,7 @@ def dense_multiclass(
     weights: Sequence[float] = (80, 20),
     seed: int = SPLIT_SEED,
     metric: str = "f1",
-    parallelism: int = 4,
+    parallelism: int = 1,
     index_labels: bool = True,
 ) -> JobResult:
     """Wide numeric table to a tuned multi-class model and its reports.
@@ -106,7 +112,7 @@ def dense_multiclass(
         estimator = estimator.copy({estimator.getParam("featuresCol"): "pca_features"})
     model, reports = _tuned(training, Pipeline(stages=[*stages, estimator]), values, ids, folds, metric, parallelism)
     predictions = model.transform(test)
-    counts = confusion(predictions)
+    counts = _stored_counts(predictions)
     reports |= {
         "multiclass": multiclass_report(counts),
         "macro": macro_report(counts),
@@ -125,7 +131,7 @@ def sparse_binary(
     weights: Sequence[float] = (80, 20),
     seed: int = SPARSE_SPLIT_SEED,
     metric: str = "balancedAccuracy",
-    parallelism: int = 4,
+    parallelism: int = 1,
     fraction: float | None = None,
     limit: int | None = None,
 ) -> JobResult:
@@ -145,7 +151,14 @@ def sparse_binary(
     training, test = _labelled(stored_split(fold_width(rows, width) if width else rows, ids, weights, seed))
     model, reports = _tuned(training, Pipeline(stages=[estimator]), values, ids, folds, metric, parallelism)
     predictions = model.transform(test)
-    reports |= {"binary": binary_report(predictions), "areas": auc(predictions, score="prediction")}
+    margin = "probability" if "probability" in predictions.columns else "rawPrediction"
+    scored = predictions.select("label", "prediction", F.get(vector_to_array(margin), F.lit(1)).alias("score"))
+    scored = materialize(scored, "scored")
+    reports |= {
+        "binary": binary_report(scored),
+        "areas": auc(scored, score="prediction"),
+        "score_areas": auc(scored),
+    }
     return JobResult(model, predictions, reports)
 
 
@@ -164,7 +177,7 @@ def second_stage(
     rows = read_split(spark, path, test, n_features, num_classes)
     model = perceptron(training, num_classes, hidden, **params).fit(training)
     predictions = model.transform(rows)
-    counts = confusion(predictions)
+    counts = _stored_counts(predictions)
     return JobResult(model, predictions, {"macro": macro_report(counts, num_classes), "counts": counts})
 
 
@@ -195,10 +208,11 @@ def deep_classifier(
         ).results
     model = net.fit(training)
     predictions = model.transform(test)
+    counts = _stored_counts(predictions)
     reports |= {
-        "validation": multiclass_report(confusion(model.transform(validation))),
-        "test": multiclass_report(confusion(predictions)),
-        "matrix": confusion_matrix(confusion(predictions), num_classes),
+        "validation": multiclass_report(_stored_counts(model.transform(validation))),
+        "test": multiclass_report(counts),
+        "matrix": confusion_matrix(counts, num_classes),
         "importance": permutation_importance(test, model, features, ids),
     }
     return JobResult(model, predictions, reports)

@@ -31,9 +31,11 @@ def hash32(key: str, seed: int) -> str:
     return f"('0x' || substr({md5_of(key, seed)}, 1, 8))::bigint"
 
 
-DOC_TEST = f"({hash32('doc_id::varchar', SPLIT_SEED)} % 10000 >= 8000)"
-PAGE_TEST = f"({hash32('page_id::varchar', SPARSE_SPLIT_SEED)} % 10000 >= 8000)"
-LINE_TEST = f"({hash32(LINE_KEY, SPLIT_SEED)} % 10000 >= 8000)"
+# Where the parts of a split end, as 32-bit hashes.
+CUT_60, CUT_80 = round(0.6 * 2**32), round(0.8 * 2**32)
+DOC_TEST = f"({hash32('doc_id::varchar', SPLIT_SEED)} >= {CUT_80})"
+PAGE_TEST = f"({hash32('page_id::varchar', SPARSE_SPLIT_SEED)} >= {CUT_80})"
+LINE_TEST = f"({hash32(LINE_KEY, SPLIT_SEED)} >= {CUT_80})"
 
 # Line items with the quantity classes and their noisy labels.
 LINES = f"""
@@ -112,7 +114,7 @@ SELECT (lang = 'en')::double AS label, count(DISTINCT doc_id) AS n,
 FROM letter_rows GROUP BY 1"""
 
 ORACLE["split_handoff_counts"] = f"""
-SELECT CASE WHEN {hash32('vec_id::varchar', SPLIT_SEED)} % 10000 < 8000 THEN 0 ELSE 1 END AS split,
+SELECT CASE WHEN {hash32('vec_id::varchar', SPLIT_SEED)} < {CUT_80} THEN 0 ELSE 1 END AS split,
        label::double AS label, count(*) AS n, round(sum(list_sum(embedding::double[])), 6) AS total
 FROM embeddings GROUP BY 1, 2"""
 
@@ -161,8 +163,8 @@ FROM documents LEFT JOIN b USING (doc_id) ORDER BY doc_id LIMIT 10"""
 
 ORACLE["hash_split_2way"] = f"SELECT doc_id, {DOC_TEST}::int AS split FROM documents"
 ORACLE["hash_split_3way"] = f"""
-SELECT CASE WHEN h < 6000 THEN 0 WHEN h < 8000 THEN 1 ELSE 2 END AS split, count(*) AS n, sum(l_quantity) AS quantity
-FROM (SELECT l_quantity, {hash32(LINE_KEY, SPLIT_SEED)} % 10000 AS h FROM lineitem) GROUP BY 1"""
+SELECT CASE WHEN h < {CUT_60} THEN 0 WHEN h < {CUT_80} THEN 1 ELSE 2 END AS split, count(*) AS n, sum(l_quantity) AS quantity
+FROM (SELECT l_quantity, {hash32(LINE_KEY, SPLIT_SEED)} AS h FROM lineitem) GROUP BY 1"""
 ORACLE["hash_folds"] = f"""
 SELECT ({hash32(LINE_KEY, FOLD_SEED)} % 10)::int AS fold, count(*) AS n, sum(l_quantity) AS quantity
 FROM lineitem GROUP BY 1"""
@@ -345,9 +347,9 @@ SELECT count(*) AS total, count(*) AS correct, 0::bigint AS wrong, count(*) FILT
 STEPS = f"""
 steps AS (
   SELECT CASE WHEN l_quantity = 50 THEN (clean + 1) % 4 ELSE clean END::double AS label, clean::double AS prediction, h
-  FROM (SELECT l_quantity, l_linenumber // 2 AS clean, {hash32(LINE_KEY, SPLIT_SEED)} % 10000 AS h FROM lineitem))"""
+  FROM (SELECT l_quantity, l_linenumber // 2 AS clean, {hash32(LINE_KEY, SPLIT_SEED)} AS h FROM lineitem))"""
 ORACLE["second_stage_lines"] = f"""WITH {STEPS}
-SELECT label AS actual, prediction AS predicted, count(*) AS n FROM steps WHERE h >= 8000 GROUP BY 1, 2"""
+SELECT label AS actual, prediction AS predicted, count(*) AS n FROM steps WHERE h >= {CUT_80} GROUP BY 1, 2"""
 
 
 def _layers(hidden: tuple[int, ...], net: str) -> str:
@@ -379,17 +381,18 @@ _QUANTITY_FOLDS = f"{LINES}, b AS (SELECT fold, label, clean AS prediction FROM
 ORACLE["cv_grid_lr"] = _tuning(
     ["maxIter=20, regParam=0.1", "maxIter=20, regParam=0.01"], _QUANTITY_FOLDS, WEIGHTED_F1, "f1"
 )
-ORACLE["cv_grid_dt"] = _tuning(
-    [
-        "impurity=gini, maxDepth=3",
-        "impurity=entropy, maxDepth=3",
-        "impurity=gini, maxDepth=4",
-        "impurity=entropy, maxDepth=4",
-    ],
-    _QUANTITY_FOLDS,
-    WEIGHTED_F1,
-    "f1",
-)
+# A tree that may not split predicts the most frequent label of its training rows.
+ORACLE["cv_grid_dt"] = f"""WITH {LINES},
+majority AS (SELECT f.fold, l.label, count(*) AS n FROM (SELECT DISTINCT fold FROM lines) f JOIN lines l ON l.fold <> f.fold GROUP BY 1, 2),
+flat AS (SELECT fold, arg_max(label, n) AS prediction FROM majority GROUP BY fold),
+b AS (SELECT fold, label, clean AS prediction FROM lines
+      UNION ALL SELECT 100 + fold, label, flat.prediction FROM lines JOIN flat USING (fold)),
+{class_totals('b', 'fold')},
+per_fold AS (SELECT fold >= 100 AS flat, {WEIGHTED_F1} AS v FROM k GROUP BY fold)
+SELECT point, params, 'f1' AS metric, round(avg(v), 6) AS avg_metric, count(*)::int AS folds, point = 1 AS best
+FROM per_fold JOIN (VALUES (0, 'maxDepth=3, minInfoGain=10.0', true), (1, 'maxDepth=3, minInfoGain=0.0', false),
+  (2, 'maxDepth=4, minInfoGain=10.0', true), (3, 'maxDepth=4, minInfoGain=0.0', false)) AS p(point, params, flat) USING (flat)
+GROUP BY point, params"""
 ORACLE["cv_grid_rf"] = _tuning(
     ["maxDepth=3, numTrees=3", "maxDepth=3, numTrees=5"], _QUANTITY_FOLDS, WEIGHTED_F1, "f1"
 )
@@ -424,7 +427,7 @@ ORACLE["multiclass_report"] = f"WITH {RULE_LINES}, {class_totals('b')} " + round
     "test_error",
 )
 ORACLE["deep_lines"] = f"""WITH {STEPS},
-b AS (SELECT CASE WHEN h < 8000 THEN 'validation' ELSE 'test' END AS part, label, prediction FROM steps WHERE h >= 6000),
+b AS (SELECT CASE WHEN h < {CUT_80} THEN 'validation' ELSE 'test' END AS part, label, prediction FROM steps WHERE h >= {CUT_60}),
 {class_totals('b', 'part')} """ + rounds(
     f"SELECT part, {_WEIGHTED} FROM k GROUP BY part",
     "accuracy",
@@ -521,7 +524,7 @@ def _donors(source: str, columns: list[str]) -> str:
     )
     return f"""
 picked AS (SELECT *, {md5_of(LINE_KEY, PERMUTE_SEED)} AS h,
-  {hash32(LINE_KEY, PERMUTE_SEED)} % (SELECT greatest(1, ceil(count(*) / 10000.0)::bigint) FROM {source}) AS b FROM {source}),
+  {hash32(LINE_KEY, PERMUTE_SEED)} % 8 AS b FROM {source}),
 donors AS (SELECT *, {donor} FROM picked)"""
 
 

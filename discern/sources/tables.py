@@ -17,20 +17,15 @@ def register_tables(spark: SparkSession, directory: str, names: Iterable[str]) -
         read_table(spark, directory, name).createOrReplaceTempView(name)
 
 
-# A small table gets one partition for so many bytes, up to one per core.
-BYTES_PER_SMALL_PARTITION = 128 * 1024
+PARTITIONS = "spark.discern.input.partitions"
 
 
-def spread(df: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Give a table that is smaller than the cluster more partitions before an iterative fit.
+def spread(df: DataFrame, ids: Sequence[str], partitions: int | None = None) -> DataFrame:
+    """Give a table ``partitions`` partitions by id before an iterative fit.
 
-    A table that already fills a scan partition per core (by the optimizer's size
-    estimate) is returned as it is, so large inputs are never shuffled for this.
+    Without the argument the session's ``spark.discern.input.partitions`` counts; without that the
+    table stays as it was scanned.  It is for tables of fewer files than the cluster has cores: the
+    caller knows them, and figures of a fit do not change with a table's size by themselves.
     """
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    per_partition = spark._jsparkSession.sessionState().conf().filesMaxPartitionBytes()
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    if size >= cores * per_partition:
-        return df
-    return df.repartition(min(cores, -(-size // BYTES_PER_SMALL_PARTITION)), *ids)
+    partitions = partitions or int(df.sparkSession.conf.get(PARTITIONS, "0"))
+    return df.repartition(partitions, *ids) if partitions else df

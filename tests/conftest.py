@@ -17,6 +17,7 @@ def spark():
         spark__sql__shuffle__partitions=8,
         spark__driver__memory="8g",
         spark__ui__enabled="false",
+        spark__discern__input__partitions=8,
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session

@@ -144,7 +144,7 @@ def test_label_index_is_the_stock_indexers(spark):
 
 def test_global_row_number_over_ranges(spark):
     rows = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v"))
-    numbered = global_row_number(rows, [F.col("v").desc()], single_task_rows=0).collect()
+    numbered = global_row_number(rows, [F.col("v").desc()]).collect()
     assert [r.row_number for r in sorted(numbered, key=lambda r: -r.v)] == list(range(5000))
 
 
@@ -203,7 +203,7 @@ def test_categories_and_imputer(spark):
     rows = spark.createDataFrame([("a", 1.0, 5), ("b", None, 7), ("a", 3.0, 5)], "s string, x double, y int")
     indexed = {tuple(r) for r in features.index_categories(rows, "y").collect()}
     assert indexed == {(0.0, 1.0, 0.0), (1.0, None, 1.0), (0.0, 3.0, 0.0)}
-    joined = {tuple(r) for r in features.index_categories(rows.union(spark.createDataFrame([(None, 0.0, 9)], rows.schema)), on_driver=0).collect()}
+    joined = {tuple(r) for r in features.index_categories(rows.union(spark.createDataFrame([(None, 0.0, 9)], rows.schema))).collect()}
     assert joined == {(0.0, 1.0, 5), (1.0, None, 7), (0.0, 3.0, 5), (2.0, 0.0, 9)}
     filled = features.imputer(["x"]).fit(rows).transform(rows)
     assert sorted(r.x for r in filled.collect()) == [1.0, 2.0, 3.0]

@@ -121,7 +121,7 @@ def test_stages_before_the_model_are_fitted_per_fold(blobs):
 
 
 def test_donor_is_a_permutation(blobs):
-    rows = with_donor(blobs.select("id", "a", "b"), ["a", "b"], ["id"], rows_per_bucket=50).collect()
+    rows = with_donor(blobs.select("id", "a", "b"), ["a", "b"], ["id"], buckets=4).collect()
     assert sorted((r.a, r.b) for r in rows) == sorted((r.donor_a, r.donor_b) for r in rows)
     assert sum(r.a == r.donor_a for r in rows) < 5
 
