@@ -6,6 +6,7 @@ which adds in another order, prints the same figures.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml import Pipeline
@@ -291,6 +292,20 @@ def pca_explained_variance(spark: SparkSession, directory: str) -> DataFrame:
     return rows.agg(F.count("*").alias("n_rows")).select(F.posexplode(shares).alias("component", "share"), "n_rows")
 
 
+@query
+def pca_spectrum(spark: SparkSession, directory: str) -> DataFrame:
+    """Sum and sum of squares of all variance shares: the trace and the squared norm of the covariance, scaled."""
+    rows = I.embedding_vectors(spark, directory)
+    shares = [float(v) for v in X.principal_components(rows, X.vector_width(rows)).fit(rows).explainedVariance]
+    figures = rows.agg(F.count("*").alias("n_rows")).select(
+        "n_rows",
+        F.lit(len(shares)).alias("n_components"),
+        F.lit(math.fsum(shares)).alias("share_sum"),
+        F.lit(math.fsum(v * v for v in shares)).alias("share_squares"),
+    )
+    return rounded(figures)
+
+
 # --- naive Bayes and trees with a closed form ---------------------------------
 
 

@@ -544,3 +544,9 @@ r AS (SELECT avg((clean = label)::int) AS base,
 SELECT feature, round(base, 6) AS accuracy, round(p, 6) AS permuted_accuracy, round(base - p, 6) AS importance
 FROM (SELECT 'l_quantity' AS feature, base, q AS p FROM r UNION ALL SELECT 'l_extendedprice', base, base FROM r
       UNION ALL SELECT 'l_discount', base, base FROM r UNION ALL SELECT 'l_tax', base, base FROM r)"""
+
+# The eigenvalues of a symmetric matrix sum to its trace, their squares to the sum of its squared entries.
+ORACLE["pca_spectrum"] = f"""WITH {EMBEDDING_CELLS},
+c AS (SELECT a.i AS i, b.i AS j, covar_samp(a.x, b.x) AS v FROM cells a JOIN cells b USING (vec_id) GROUP BY 1, 2)
+SELECT (SELECT count(*) FROM embeddings) AS n_rows, (SELECT max(len(embedding)) FROM embeddings)::int AS n_components,
+       1.0::double AS share_sum, round(sum(v * v) / pow(sum(v) FILTER (WHERE i = j), 2), 6) AS share_squares FROM c"""
