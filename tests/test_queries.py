@@ -17,6 +17,8 @@ SLOW = {
 
 
 SLOW_DIR = "/root/testdata/sf0.01"
+# Of these, run by default: every kind of grid search and the choice of its winner.
+ALWAYS = {"cv_grid_dt", "cv_grid_lr", "cv_grid_rf", "cv_grid_svm", "tuned_refit", "sparse_job_urls"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +32,7 @@ def test_every_sql_has_its_query():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, sf_dir, con, name):
-    if name in SLOW and not os.environ.get("DISCERN_SLOW"):
+    if name in SLOW - ALWAYS and not os.environ.get("DISCERN_SLOW"):
         pytest.skip("long fit")
     directory = SLOW_DIR if name in SLOW else sf_dir
     columns, rows, types = spark_side(spark, name, directory)
