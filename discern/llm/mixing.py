@@ -115,8 +115,8 @@ def mix(
 
     Size of a row: its words (null: 0).  Returns the id, source, size, source_size, target (both of
     the row's source), taken (words the mix takes, repeats counted, at most twice the size), spans
-    (word ranges [from, to) with the times each is taken) and the columns named in ``carry``.  Rows with a null source form one source, weighed last.
-    Rows without words take nothing.  Repeated rows count as often as they occur.  Order within a
+    (word ranges [from, to) with the times each is taken) and the columns named in ``carry``.
+    Rows with a null source form one source, weighed last.  Rows without words take nothing.  Repeated rows count as often as they occur.  Order within a
     source follows a seeded hash of the id and text, so reruns agree.
     """
     spark = docs.sparkSession

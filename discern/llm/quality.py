@@ -23,7 +23,7 @@ from discern.llm.sampling import balanced_sample
 CHUNK, HOP, WIDTH, STRIDE = 1024, 896, 8, 4
 EMBED, FILTERS = 8, 32
 #: Training rows of each label, at most about this many.
-PER_LABEL = 2000
+PER_LABEL = 5000
 EPOCHS, BATCH, RATE, CHUNKS_A_STEP = 12, 64, 0.01, 4
 
 
