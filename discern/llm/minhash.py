@@ -5,9 +5,13 @@ Texts with the same words are one class and are compared once.  A class represen
 are packed into three integers.  Within a band's bucket everybody is first compared with one
 member; a pair goes on if its similarity, estimated from the packed bits by bit counts and
 corrected for chance agreement, is near the threshold, and is then confirmed on full shingle sets.
-Buckets whose members are not all connected by then get a second member, and what still is not
-connected is compared in blocks of the bucket.  So a large group of copies costs a few comparisons
-a document, and no link that could join two components is left out.
+Buckets whose members are not all connected by then get a second member.  What still is not
+connected is filed again under its rarest shingles, as many as a link must share one of (prefix
+filter).  Shingles that no other open text has bound the similarity of any pair, so copies with many
+changes of their own are ruled out by counting.  Each key is compared with the text that has the
+fewest such shingles, and only what can still be a link between components is compared in pairs.  So
+a large group of copies costs a few comparisons a document, and no link that could join two
+components is left out.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discern.llm.common import stored, text_slices
@@ -26,7 +30,7 @@ from discern.llm.graph import components
 HASHES, ROWS, BITS = 96, 4, 2
 #: A pair is confirmed on its sets if the estimate is at least this: six deviations below 0.8.
 ESTIMATE = 0.5
-#: Members of a block of a bucket that is not yet connected.
+#: Members of a block of a key that several components share.
 BLOCK = 1024
 _LOWER = bytes(b + 32 if 0x41 <= b <= 0x5A else b for b in range(256))
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -110,7 +114,7 @@ def bands_and_bits(least: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _signatures(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, 500_000):
                 sequences = [words_of(t) for t in rows.column(1).to_pylist()]
                 sets = shingles(sequences, width)
                 there = [i for i, s in enumerate(sets) if len(s)]
@@ -135,7 +139,7 @@ def _signatures(width: int):
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, 500_000):
                 sets = shingles([words_of(t) for t in rows.column(1).to_pylist()], width)
                 yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "set"])
 
@@ -159,6 +163,33 @@ def _confirm(percent: int):
     return run
 
 
+def _grams(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_slices(batch, 200_000):
+                sets = shingles([words_of(t) for t in rows.column(1).to_pylist()], width)
+                sizes = np.array([len(s) for s in sets], np.int64)
+                ids = np.repeat(rows.column(0).to_numpy(zero_copy_only=False), sizes)
+                flat = np.concatenate(sets or [np.zeros(0, np.uint64)]).view(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(flat), pa.array(np.repeat(sizes, sizes))], names=["id", "gram", "n"])
+
+    return run
+
+
+def rarest_shingles(grams: DataFrame, common: DataFrame, percent: int) -> DataFrame:
+    """``grams(id, gram, n)`` to (id, n, common, bucket): each set's prefix in the order of frequency.
+
+    Two linked sets share one of the first size - needed + 1 shingles of each, needed being the
+    least overlap of a link; shingles of one set only are counted but not returned.  ``common`` has
+    the frequency of the others.
+    """
+    found = grams.join(common, "gram", "left").withColumn("f", F.coalesce("f", F.lit(1)))
+    own = Window.partitionBy("id")
+    found = found.withColumn("place", F.row_number().over(own.orderBy("f", "gram"))).withColumn("common", F.sum((F.col("f") > 1).cast("long")).over(own))
+    prefix = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1
+    return found.where((F.col("f") > 1) & (F.col("place") <= prefix)).select("id", "n", "common", F.col("gram").alias("bucket"))
+
+
 def estimate(left: Column, right: Column) -> Column:
     """Similarity from packed bits: the share of equal slots, corrected for chance agreement."""
     differ = F.lit(0)
@@ -199,6 +230,7 @@ def near_duplicates(
     links, labels = None, None
 
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
+        """Of the pairs (x, y) those that are links on their full shingle sets."""
         pairs = kept.keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"pairs-{name}")
         wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
         sets = kept.keep(rows.join(wanted, "doc_id").mapInArrow(_full_sets(width), "id long, set binary"), f"sets-{name}")
@@ -214,8 +246,8 @@ def near_duplicates(
             return members.withColumn("label", F.col("id"))
         now = members.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         now = kept.keep(now, "labelled")
-        open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo < hi")
-        return now.join(open_.select("band", "n"), "band")
+        open_ = now.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi")
+        return now.join(open_.select("band"), "band")
 
     for turn in range(2):
         open_ = kept.keep(unconnected(), f"open-{turn}")
@@ -231,18 +263,41 @@ def near_duplicates(
         if turn:
             kept.drop("labelled")
         kept.drop(f"open-{turn}")
-    # What is left is compared block by block, wherever the components still differ.
-    open_ = unconnected().withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
-    open_ = open_.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "id"), F.col("blocks")).cast("int"))
-    open_ = kept.keep(open_, "open")
-    left = open_.select("band", F.col("id").alias("x"), F.col("bits").alias("bx"), F.col("label").alias("lx"), F.col("block").alias("i"),
-                        F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("j"))
-    right = open_.select("band", F.col("id").alias("y"), F.col("bits").alias("by"), F.col("label").alias("ly"), F.col("block").alias("j"),
-                         F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    rest = left.join(right, ["band", "i", "j"]).where(
-        (F.col("lx") != F.col("ly")) & ((F.col("i") < F.col("j")) | (F.col("x") < F.col("y"))) & (estimate(F.col("bx"), F.col("by")) >= ESTIMATE)
-    )
-    links = links.unionByName(confirmed(rest.select("x", "y"), "rest"))
+    # What is left is filed under its rarest shingles.
+    open_ = unconnected().select(F.col("id").alias("doc_id")).distinct()
+    grams = kept.keep(rows.join(kept.keep(open_, "open"), "doc_id").mapInArrow(_grams(width), "id long, gram long, n long").distinct(), "grams")
+    kept.drop("labelled", "members")
+    common = kept.keep(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "common")
+    filed = rarest_shingles(grams, common, percent).join(first.select("id", "bits"), "id")
+    filed = kept.keep(filed, "filed")
+    kept.drop("grams", "common")
+
+    def possible(x: str, y: str) -> Column:
+        """The labels differ, the common shingles suffice for a link, and the estimate does."""
+        most = F.least(F.col(f"{x}.common"), F.col(f"{y}.common"))
+        enough = 100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
+        return (F.col(f"{x}.label") != F.col(f"{y}.label")) & enough & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= ESTIMATE)
+
+    def mixed(name: str) -> DataFrame:
+        """The keys that hold more than one component: (bucket, row of a member, members)."""
+        now = filed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
+        now = kept.keep(now.select("bucket", "label", F.struct("id", "n", "common", "bits", "label").alias("x")), f"{name}-now")
+        both = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        return kept.keep(now.join(both.select("bucket", "size"), "bucket").select("bucket", "x", "size"), name)
+
+    open_ = mixed("mixed")
+    purest = F.struct(F.col("x.common") / F.col("x.n"), -F.col("x.id"))
+    pairs = open_.join(open_.groupBy("bucket").agg(F.max_by("x", purest).alias("y")), "bucket").where(possible("x", "y"))
+    links = links.unionByName(confirmed(pairs.select("x.id", "y.id").toDF("x", "y"), "purest"))
+    labels = components(links, kept, "components-purest")
+    # What may still be a link between components, in blocks of the members of a key.
+    open_ = mixed("rest").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_ = open_.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "x.id"), F.col("blocks")).cast("int"))
+    left = open_.select("bucket", "x", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
+    right = open_.select("bucket", F.col("x").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
+    rest = left.join(right, ["bucket", "i", "j"]).where(possible("x", "y") & ((F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id"))))
+    rest = rest.select("x.id", "y.id").toDF("x", "y")
+    links = links.unionByName(confirmed(rest, "pairs"))
     labels = components(links, kept, "components")
     whole = classes.join(labels, classes["id"] == labels["node"], "left").select("key", F.coalesce("label", "id").alias("component"))
     whole = kept.keep(whole, "whole")
