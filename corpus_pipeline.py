@@ -35,7 +35,7 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A character that a cut leaves incomplete goes with the cut.
     """
-    cleaned = remove_repeats(docs, carry=tuple(docs.columns), as_text=True)
+    cleaned = remove_repeats(docs, carry=tuple(docs.columns), as_text=True, repeated_ids=True)
     text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("kept"))
     return cleaned.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 

@@ -51,7 +51,7 @@ def op3_minhash(spark: SparkSession, directory: str) -> DataFrame:
 def op4_suffix(spark: SparkSession, directory: str) -> DataFrame:
     from discern.llm.suffix import remove_repeats
 
-    cleaned = remove_repeats(read(spark, directory, "documents"))
+    cleaned = remove_repeats(read(spark, directory, "documents"), repeated_ids=True)
     return cleaned.select(
         "doc_id",
         "n_bytes",

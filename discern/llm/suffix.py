@@ -24,6 +24,8 @@ WINDOW, GRAM = 100, 24
 REACH = WINDOW - GRAM + 1
 #: Contexts of one anchor in one shard; bytes of a suffix array.
 SHARD_CONTEXTS, SHARD_BYTES = 4096, 1 << 22
+#: Repeated ids that are broadcast, the most frequent first; no other is on more than one row in as many.
+HOT_IDS = 1000
 
 _MIX = np.uint64(0xC6A4A7935BD1E995)
 _BY = 0x9E3779B97F4A7C15
@@ -79,7 +81,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _runs(keys_only: bool):
-    names = ["key"] if keys_only else ["key", "context", "doc_id", "run"]
+    names = ["key"] if keys_only else ["key", "context", "doc_id", "tie", "run"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -88,9 +90,9 @@ def _runs(keys_only: bool):
                 if keys_only:
                     yield pa.RecordBatch.from_arrays([pa.array(key)], names=names)
                     continue
-                ids = rows.column(0).to_numpy(zero_copy_only=False)[owner]
+                ids, ties = (rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in (0, 2))
                 packed = (first << 16) | ((last - first) << 8) | at
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(ids), pa.array(packed)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(ids), pa.array(ties), pa.array(packed)], names=names)
 
     return run
 
@@ -192,28 +194,40 @@ def _intervals(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return doc[heads], start[heads], start[np.append(heads[1:], len(doc)) - 1] if len(heads) else start
 
 
-_JUDGED = "doc_id long, first long, last long, key long, part long, windows binary, docs binary, starts binary"
+_JUDGED = "doc_id long, tie long, first long, last long, key long, part long, windows binary, docs binary, ties binary, starts binary"
+_FOUND = "doc_id long, tie long, first long, last long"
 
 
-def _judged(doc, first, last) -> pa.RecordBatch:
+def _numbered(doc: np.ndarray, tie: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each document in the order of (id, tie), and the id and tie of each number."""
+    by = np.lexsort((tie, doc))
+    new = np.append(True, (doc[by][1:] != doc[by][:-1]) | (tie[by][1:] != tie[by][:-1])) if len(by) else np.zeros(0, bool)
+    number = np.empty(len(by), np.int64)
+    number[by] = np.cumsum(new) - 1
+    return number, doc[by][new], tie[by][new]
+
+
+def _judged(doc, tie, first, last) -> pa.RecordBatch:
     n = len(doc)
-    blank = [pa.nulls(n, pa.int64())] * 2 + [pa.nulls(n, pa.binary())] * 3
+    blank = [pa.nulls(n, pa.int64())] * 2 + [pa.nulls(n, pa.binary())] * 4
     return pa.RecordBatch.from_arrays(
-        [pa.array(doc, pa.int64()), pa.array(first, pa.int64()), pa.array(last, pa.int64()), *blank],
-        names=["doc_id", "first", "last", "key", "part", "windows", "docs", "starts"],
+        [*(pa.array(c, pa.int64()) for c in (doc, tie, first, last)), *blank],
+        names=["doc_id", "tie", "first", "last", "key", "part", "windows", "docs", "ties", "starts"],
     )
 
 
 def _judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
     """One shard: later occurrences as intervals, and sorted windows of the anchors dealt over several shards."""
     contexts = [b.as_buffer().to_pybytes() for chunk in rows["bytes"].chunks for b in chunk]
-    key, doc, start, shards = (rows[c].to_numpy() for c in ("key", "doc_id", "start", "shards"))
+    key, doc, tie, start, shards = (rows[c].to_numpy() for c in ("key", "doc_id", "tie", "start", "shards"))
+    doc, ids, ties = _numbered(doc, tie)
     counts = np.array([len(c) for c in contexts], np.int64) - WINDOW + 1
     owner, inside, group = shared_windows(contexts, counts)
     window_doc, window_start = doc[owner], start[owner] + inside
     by = np.lexsort((window_start, window_doc, group))
     first = np.append(True, group[by][1:] != group[by][:-1])
-    yield _judged(*_intervals(window_doc[by][~first], window_start[by][~first]))
+    late, since, until = _intervals(window_doc[by][~first], window_start[by][~first])
+    yield _judged(ids[late], ties[late], since, until)
     lead = np.sort(by[first])  # the first of each class, in the order of the suffixes
     lead = lead[shards[owner[lead]] > 1]
     if not len(lead):
@@ -228,13 +242,14 @@ def _judge(rows: pa.Table) -> Iterator[pa.RecordBatch]:
         own = by[a:b]
         yield pa.RecordBatch.from_arrays(
             [
-                pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()),
+                *[pa.nulls(1, pa.int64())] * 4,
                 pa.array([lead_key[own[0]]], pa.int64()), pa.array([part[own[0]]], pa.int64()),
                 pa.array([b"".join(text[i] for i in own)], pa.binary()),
-                pa.array([window_doc[lead][own].astype("<i8").tobytes()], pa.binary()),
+                pa.array([ids[window_doc[lead][own]].astype("<i8").tobytes()], pa.binary()),
+                pa.array([ties[window_doc[lead][own]].astype("<i8").tobytes()], pa.binary()),
                 pa.array([window_start[lead][own].astype("<i8").tobytes()], pa.binary()),
             ],
-            names=["doc_id", "first", "last", "key", "part", "windows", "docs", "starts"],
+            names=["doc_id", "tie", "first", "last", "key", "part", "windows", "docs", "ties", "starts"],
         )
 
 
@@ -289,31 +304,34 @@ def merge_sorted(slices: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tup
 
 
 def _merge(rows: pa.Table) -> pa.Table:
-    slices = []
-    for w, d, s in zip(*(rows[c].to_pylist() for c in ("windows", "docs", "starts"))):
+    slices, begin = [], 0
+    docs, ties = (np.frombuffer(b"".join(rows[c].to_pylist()), "<i8") for c in ("docs", "ties"))
+    number, ids, ties = _numbered(docs, ties)
+    for w, s in zip(*(rows[c].to_pylist() for c in ("windows", "starts"))):
         # one more byte keeps zero bytes at a window's end
         plain = np.frombuffer(w, np.uint8).reshape(-1, WINDOW)
         ended = np.ascontiguousarray(np.hstack([plain, np.ones((len(plain), 1), np.uint8)])).view(f"S{WINDOW + 1}").ravel()
         by = np.argsort(ended, kind="stable")
-        slices.append((ended[by], np.frombuffer(d, "<i8")[by], np.frombuffer(s, "<i8")[by]))
+        slices.append((ended[by], number[begin : begin + len(by)][by], np.frombuffer(s, "<i8")[by]))
+        begin += len(by)
     doc, first, last = _intervals(*merge_sorted(slices))
-    return pa.table({"doc_id": pa.array(doc, pa.int64()), "first": pa.array(first, pa.int64()), "last": pa.array(last, pa.int64())})
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in (("doc_id", ids[doc]), ("tie", ties[doc]), ("first", first), ("last", last))})
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted runs) to contexts with their bytes."""
+    """(doc_id, tie, text, wanted runs) to contexts with their bytes."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], []]
-        for doc_id, text, wanted in zip(*(batch.column(i) for i in range(3))):
-            raw, doc_id = text.as_py().encode(), doc_id.as_py()
+        out: list[list] = [[], [], [], [], [], [], []]
+        for doc_id, tie, text, wanted in zip(*(batch.column(i) for i in range(4))):
+            raw, doc_id, tie = text.as_py().encode(), doc_id.as_py(), tie.as_py()
             for w in wanted.as_py():
                 first = w["run"] >> 16
                 last = first + (w["run"] >> 8 & 0xFF)
-                for column, value in zip(out, (w["key"], w["shard"], w["shards"], doc_id, first, raw[first : last + WINDOW])):
+                for column, value in zip(out, (w["key"], w["shard"], w["shards"], doc_id, tie, first, raw[first : last + WINDOW])):
                     column.append(value)
-        types = [pa.int64()] * 5 + [pa.binary()]
+        types = [pa.int64()] * 6 + [pa.binary()]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, types)], names=["key", "shard", "shards", "doc_id", "start", "bytes"]
+            [pa.array(c, t) for c, t in zip(out, types)], names=["key", "shard", "shards", "doc_id", "tie", "start", "bytes"]
         )
 
 
@@ -342,51 +360,84 @@ def _removed(as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
         )
 
 
+def _documents(rows: DataFrame, kept: stored) -> tuple[DataFrame, DataFrame | None]:
+    """Each (doc_id, text) once with its tie, and the ids that are on different texts, if any.
+
+    The tie orders different texts under one id; it is 0 where an id has one text.
+    """
+    rows, text = rows.where("doc_id IS NOT NULL"), F.xxhash64(F.coalesce("text", F.lit("")))
+    counted = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), (F.min(text) < F.max(text)).alias("differ"))
+    repeats = kept.keep(counted.where("n > 1"), "repeats")
+    if repeats.isEmpty():
+        return rows.withColumn("tie", F.lit(0).cast("long")), None
+    # the most frequent ids are found without moving their texts; their copies meet map-side
+    hot = kept.keep(repeats.orderBy(F.desc("n"), "doc_id").limit(HOT_IDS), "hot")
+    rest = repeats.join(F.broadcast(hot.select("doc_id")), "doc_id", "left_anti")
+    again = rows.join(F.broadcast(hot), "doc_id").unionByName(rows.join(rest, "doc_id"))
+    again = again.withColumn("tie", F.when(F.col("differ"), text).otherwise(F.lit(0).cast("long")))
+    again = again.groupBy("doc_id", "tie").agg(F.first("text").alias("text")).select("doc_id", "text", "tie")
+    lone = rows.join(repeats, "doc_id", "left_anti").select("doc_id", "text", F.lit(0).cast("long").alias("tie"))
+    several = repeats.where("differ").select("doc_id")
+    return kept.keep(lone.unionByName(again), "documents"), None if several.isEmpty() else several
+
+
 def remove_repeats(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
-    as_text: bool = False,
+    as_text: bool = False, repeated_ids: bool = False,
 ) -> DataFrame:
     """Every text without the bytes of 100-byte strings that also start earlier.
 
     Earlier: in a document with a smaller id, or sooner in the same one; strings are judged on the
-    input.  Texts are UTF-8 bytes (null: none), and strings never cross texts.  Rows without id,
-    and rows whose id is on several rows, have no place in that order: they are left whole and make
-    nothing else a repeat.  Every row gives one row: n_bytes, kept (the bytes that stay), removed
+    input.  Texts are UTF-8 bytes (null: none), and strings never cross texts.  Rows without id
+    have no place in that order: they are left whole and make nothing else a repeat.  So are rows
+    whose id is on several rows, unless ``repeated_ids``: then rows with one id and text are one
+    document, judged once, whose copies all get its answer; different texts under one id follow
+    each other by a hash.  Every row gives one row: n_bytes, kept (the bytes that stay), removed
     (the maximal removed runs as [from, to) in bytes), and the input's columns named in ``carry``.
     With ``as_text`` kept is a string; a character that a cut has left incomplete is not in it.
     """
     kept = stored(docs.sparkSession, "suffix")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    rows, several = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
+    if repeated_ids:
+        rows, several = _documents(rows, kept)
+    else:
+        rows = rows.withColumn("tie", F.lit(0).cast("long"))
     keys = rows.mapInArrow(_runs(True), "key long")
     repeated = kept.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    unclear = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-    unclear = kept.keep(unclear, "unclear")
-    runs = rows.mapInArrow(_runs(False), "key long, context long, doc_id long, run long").join(repeated, "key")
-    runs = kept.keep(runs.join(unclear, "doc_id", "left_anti").select("key", "context", "doc_id", "run"), "runs")
-    contexts = runs.groupBy("key", "context").agg(F.min(F.struct("doc_id", "run")).alias("lead"))
+    runs = rows.mapInArrow(_runs(False), "key long, context long, doc_id long, tie long, run long").join(repeated, "key")
+    if not repeated_ids:
+        unclear = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+        runs = runs.join(kept.keep(unclear, "unclear"), "doc_id", "left_anti")
+    runs = kept.keep(runs.select("key", "context", "doc_id", "tie", "run"), "runs")
+    contexts = runs.groupBy("key", "context").agg(F.min(F.struct("doc_id", "tie", "run")).alias("lead"))
     contexts = kept.keep(contexts, "contexts")
     # equal contexts: all but the first repeat with every window
-    led = contexts.select("key", "context", F.col("lead.doc_id").alias("lead_doc"), F.col("lead.run").alias("lead_run"))
-    same = runs.join(led, ["key", "context"]).where((F.col("doc_id") != F.col("lead_doc")) | (F.col("run") != F.col("lead_run")))
+    led = contexts.select("key", "context", "lead")
+    same = runs.join(led, ["key", "context"]).where(F.struct("doc_id", "tie", "run") != F.col("lead"))
     first = F.shiftright("run", 16)
-    same = same.select("doc_id", first.alias("first"), (first + F.shiftright("run", 8).bitwiseAND(F.lit(0xFF))).alias("last"))
+    same = same.select("doc_id", "tie", first.alias("first"), (first + F.shiftright("run", 8).bitwiseAND(F.lit(0xFF))).alias("last"))
     # different contexts of one anchor: their bytes go to the suffix arrays
-    several = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = several.select("key", F.ceil(F.col("n") / SHARD_CONTEXTS).cast("long").alias("shards"))
-    wanted = contexts.select("key", "context", "lead.*").join(kept.keep(several, "several"), "key")
+    several_contexts = contexts.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several_contexts = several_contexts.select("key", F.ceil(F.col("n") / SHARD_CONTEXTS).cast("long").alias("shards"))
+    wanted = contexts.select("key", "context", "lead.*").join(kept.keep(several_contexts, "several"), "key")
     wanted = wanted.withColumn("shard", F.pmod("context", F.col("shards")))
-    lists = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "shard", "shards", "run")).alias("wanted"))
-    cut = rows.join(lists, "doc_id").select("doc_id", "text", "wanted")
-    cut = kept.keep(cut.mapInArrow(_cut, "key long, shard long, shards long, doc_id long, start long, bytes binary"), "cut")
-    dealt = cut.repartition("key", "shard").sortWithinPartitions("key", "shard", "doc_id", "start")
+    lists = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("key", "shard", "shards", "run")).alias("wanted"))
+    cut = rows.join(lists, ["doc_id", "tie"]).select("doc_id", "tie", "text", "wanted")
+    cut = kept.keep(cut.mapInArrow(_cut, "key long, shard long, shards long, doc_id long, tie long, start long, bytes binary"), "cut")
+    dealt = cut.repartition("key", "shard").sortWithinPartitions("key", "shard", "doc_id", "tie", "start")
     judged = kept.keep(dealt.mapInArrow(_shards, _JUDGED), "judged")
-    merged = judged.where("key IS NOT NULL").groupBy("key", "part").applyInArrow(_merge, "doc_id long, first long, last long")
-    found = same.unionByName(judged.where("doc_id IS NOT NULL").select("doc_id", "first", "last")).unionByName(merged)
-    found = found.groupBy("doc_id").agg(F.collect_list(F.struct("first", "last")).alias("found"))
+    merged = judged.where("key IS NOT NULL").groupBy("key", "part").applyInArrow(_merge, _FOUND)
+    found = same.unionByName(judged.where("doc_id IS NOT NULL").select("doc_id", "tie", "first", "last")).unionByName(merged)
+    found = found.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("first", "last")).alias("found"))
     found = kept.keep(found, "found")
-    kept.drop("cut", "judged", "runs", "contexts", "keys")
+    kept.drop("cut", "judged", "runs", "contexts", "keys", *(["documents"] if "documents" in kept.paths else []))
     own = docs.select(F.col(text_col).alias("_text"), F.col(id_col).cast("long").alias("_id"), *carry)
-    spans = own.join(found.select(F.col("doc_id").alias("_id"), "found"), "_id", "left").select("_text", "found", *carry)
+    tie = F.lit(0).cast("long")
+    if several is not None:
+        own = own.join(several.select(F.col("doc_id").alias("_several")), F.col("_id") == F.col("_several"), "left")
+        tie = F.when(F.col("_several").isNotNull(), F.xxhash64(F.coalesce("_text", F.lit("")))).otherwise(tie)
+    found = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "found")
+    spans = own.withColumn("_tie", tie).join(found, ["_id", "_tie"], "left").select("_text", "found", *carry)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
     kind = "string" if as_text else "binary"
     return spans.mapInArrow(lambda it: _removed(as_text, it), f"n_bytes long, kept {kind}, removed array<struct<from: long, to: long>>, {fields}")

@@ -236,6 +236,33 @@ def test_suffix(spark, docs, no_docs):
     assert all(isinstance(r.kept, str) for r in decoded)
 
 
+@pytest.mark.parametrize("contexts", [4096, 2])
+def test_suffix_judges_repeated_ids(spark, docs, monkeypatch, contexts):
+    """Copies are one document; different texts under one id follow each other."""
+    from discern.llm import suffix as S
+
+    monkeypatch.setattr(S, "SHARD_CONTEXTS", contexts)
+    want = plain_removed({(i, t or "") for i, t, *_ in awkward() if i is not None})
+    got = S.remove_repeats(docs, carry=("doc_id", "text"), repeated_ids=True).collect()
+    assert Counter(r.doc_id for r in got) == Counter(r[0] for r in awkward()) and len(want[13]) < 600
+    assert all(r.kept == (want[r.doc_id] if r.doc_id is not None else (r.text or "").encode()) for r in got)
+
+    line = "this line of about one hundred and ten bytes is found in every document of the table and repeats again"
+    rows = [(k, f"{prose(k, 12)} {line} {prose(k % 5, 9)} {prose(99, 4)}") for k in range(20)]
+    twice = spark.createDataFrame(rows + rows, "doc_id long, text string").repartition(3)
+    once = plain_removed(rows)
+    assert Counter((r.doc_id, bytes(r.kept)) for r in S.remove_repeats(twice, repeated_ids=True).collect()) == Counter({x: 2 for x in once.items()})
+
+    rows += [(3, f"other words {line} and {prose(98, 30)}"), (3, f"third {prose(98, 30)}"), (3, rows[3][1]), (3, None), (30, prose(98, 30))]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = {(i, t or "") for i, t in rows}
+    tie = {tuple(r[:2]): r[2] for r in spark.createDataFrame(sorted(texts), "doc_id long, text string").select("doc_id", "text", F.xxhash64("text")).collect()}
+    order = sorted(texts, key=lambda x: (x[0], tie[x]))
+    want = {x: kept for x, kept in zip(order, plain_removed([(n, t) for n, (_, t) in enumerate(order)]).values())}
+    got = S.remove_repeats(table, carry=("doc_id", "text"), repeated_ids=True).collect()
+    assert len(got) == len(rows) and all(r.kept == want[r.doc_id, r.text or ""] for r in got)
+
+
 def test_suffix_with_a_frequent_line_over_several_shards(spark, monkeypatch):
     from discern.llm import suffix as S
 
