@@ -2,8 +2,9 @@
 
 Nodes are visited by their upper bound, query x centre + |query| x radius.  A first round asks
 only one shard for each query; its kth score is shared with all shards in the second round, where
-most subtrees fall below it at once.  Every shard answers with its own best k, and the best k of
-those answers are the result, whatever the sharding.
+most subtrees fall below it at once.  Every shard answers with its own best k ids, and the best k of
+those answers are the result, whatever the sharding.  Equal rows of one id are one row; an id's
+different vectors may lie in several shards.
 """
 
 from __future__ import annotations
@@ -59,11 +60,12 @@ class BallTree:
         return node
 
     def best(self, query: np.ndarray, own_id: int, ids: np.ndarray, k: int, floor: float) -> list[tuple[int, int]]:
-        """(score, -id) of the best ``k`` rows that are not below ``floor``; ties to the smaller id."""
+        """(score, -id) of the best ``k`` ids with a row not below ``floor``, by their best row; ties to the smaller id."""
         bounds = self.centre @ query + np.sqrt(query @ query) * self.radius
         bounds += 1e-9 * (np.abs(bounds) + 1)  # never prune by rounding
         exact = np.abs(query).sum() * max(1.0, np.abs(self.rows).max()) < _EXACT
         found: list[tuple[int, int]] = []
+        held: dict[int, int] = {}  # the best score of each id in found
         queue = [(-bounds[0], 0)]
         while queue:
             bound, node = heapq.heappop(queue)
@@ -83,10 +85,17 @@ class BallTree:
             for score, i in zip(scores.tolist(), ids[at].tolist()):
                 if i == own_id or score < floor:
                     continue
-                if len(found) < k:
+                if i in held:
+                    if score > held[i]:
+                        found[found.index((held[i], -i))] = (score, -i)
+                        heapq.heapify(found)
+                        held[i] = score
+                elif len(found) < k:
                     heapq.heappush(found, (score, -i))
+                    held[i] = score
                 elif (score, -i) > found[0]:
-                    heapq.heapreplace(found, (score, -i))
+                    del held[-heapq.heapreplace(found, (score, -i))[1]]
+                    held[i] = score
             if len(found) == k:
                 floor = max(floor, found[0][0])
         return found
@@ -152,14 +161,14 @@ def top_k(
             F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("vector"),
             F.size(vector_col).alias("width"),
             queries.alias("asks"),
-        ),
+        ).groupBy("id", "vector", "width").agg(F.max("asks").alias("asks")),
         "rows",
     )
     widths = rows.groupBy("width").count().collect()  # as many rows as vector lengths
     if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     shards = max(1, -(-max(w["count"] for w in widths) // shard_rows))
-    hashed = rows.withColumn("home", F.pmod(F.xxhash64(F.lit("shard"), "id"), F.lit(shards)).cast("int"))
+    hashed = rows.withColumn("home", F.pmod(F.xxhash64(F.lit("shard"), "id", "vector"), F.lit(shards)).cast("int"))
     hashed = hashed.withColumn("floor", F.lit(float("-inf")))
     packed = kept.keep(_blocks(hashed, ["home"]).drop("floors"), "shards")
     asks = hashed.where("asks").select("id", "vector", "width", "home", "floor").dropDuplicates(["id", "width"])

@@ -325,6 +325,28 @@ def test_top_k(spark):
     assert top_k(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+@pytest.mark.parametrize("shard_rows", [8, 1024])
+def test_top_k_with_repeated_ids_among_the_best(spark, shard_rows):
+    """Equal and different vectors under the best ids take one place each."""
+    from discern.llm.top_k import top_k
+
+    rng = np.random.default_rng(8)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(60)]
+    best = [3.0 * x for x in rows[0][1]]
+    rows += [(70, best)] * 9 + [(71, [x * (1 + k / 10) for x in best]) for k in range(9)] + [(72, best)] * 6
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").repartition(4)
+    whole = [(i, [int(np.floor(256 * float(np.float32(x)))) for x in v]) for i, v in rows]
+    want = []
+    for q in (0, 50):
+        query, scores = next(v for i, v in whole if i == q), {}
+        for i, v in whole:
+            if i != q:
+                scores[i] = max(scores.get(i, -(1 << 62)), sum(a * b for a, b in zip(query, v)))
+        want += [(q, k, i, s) for k, (i, s) in enumerate(sorted(scores.items(), key=lambda x: (-x[1], x[0]))[:5], 1)]
+    got = top_k(table, F.col("vec_id").isin(0, 50), shard_rows=shard_rows)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
 # ---- quality
 
 
