@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discern.llm.common import WORD, stored
+from discern.llm.common import WORD, lower_ascii, stored
 from discern.llm.language_id import UNKNOWN, predict, train
 from discern.llm.minhash import near_duplicates
 from discern.llm.mixing import mix
@@ -25,9 +25,32 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each group of near copies; rows without id stay."""
-    gone = near_duplicates(docs).where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One row of each group of near copies, that of the least id; a row without id only if no copy has one.
+
+    Rows are judged by their words, not by their ids: rows with the same words are one class, and one
+    row stands for it.  Rows without words stay.
+    """
+    kept = stored(spark, "near-dedup")
+    words = F.array_join(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0)), " ")
+    keyed = docs.withColumn("_key", F.when(F.length(words) > 0, F.sha2(words, 256)))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*docs.columns))
+    one = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
+    one = kept.keep(one.select("_key", "row.*"), "classes")
+    # a class without an id, or whose id stands for several classes, goes by a hash of its key
+    several = one.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = kept.keep(several.select(F.col("doc_id").alias("_several")), "several")
+    named = one
+    if several.isEmpty():
+        named = named.withColumn("_several", F.lit(None).cast("long"))
+    else:
+        named = named.join(several, F.col("doc_id") == F.col("_several"), "left")
+    own = F.col("doc_id").isNotNull() & F.col("_several").isNull()
+    named = named.withColumn("_id", F.when(own, F.col("doc_id").cast("long")).otherwise(F.xxhash64("_key")))
+    found = near_duplicates(named, id_col="_id").select(F.col("doc_id").alias("_id"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
+    first = named.select("_id", "_key", "doc_id").join(found, "_id").groupBy("component_id").agg(F.min_by("_key", rank).alias("_key"))
+    rows = one.join(first.select("_key"), "_key", "left_semi").select(*docs.columns)
+    return rows.unionByName(keyed.where("_key IS NULL").select(*docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,6 +61,19 @@ def test_near_dedup_keeps_one_of_each_group(stages):
     assert {r.doc_id for r in after} == {i for i, (_, c) in found.items() if c == i} | {None}
 
 
+def test_near_dedup_judges_rows_not_ids(spark):
+    """A table loaded twice, copies and near copies without ids, one id on two texts."""
+    near = sentence(600, 60)
+    rows = [(k, sentence(k, 60)) for k in range(4)]
+    rows += rows + [(None, rows[1][1]), (None, near), (None, near + " more"), (None, near)]
+    rows += [(9, rows[0][1] + " more"), (9, sentence(700, 60)), (10, sentence(701, 60)), (10, sentence(702, 60)), (11, sentence(702, 60).upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], COLUMNS).repartition(3)
+    after = Counter((r.doc_id, r.text) for r in P.near_dedup(spark, docs, "").collect())
+    left = [x for x in after if x[0] is None]
+    assert len(left) == 1 and left[0][1] in (near, near + " more") and set(after.values()) == {1}
+    assert set(after) - set(left) == {*rows[:4], (9, sentence(700, 60)), (10, sentence(701, 60)), (10, sentence(702, 60))}
+
+
 def test_suffix_stage_cuts_repeated_passages(stages):
     _, before, after, _ = stages[2]
     want = plain_removed([(r.doc_id, r.text) for r in before if r.doc_id is not None])
