@@ -209,3 +209,48 @@ WITH d AS (
 SELECT d.doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
 FROM d LEFT JOIN c ON c.doc_id = d.doc_id
 """
+
+
+def op13_quality_rules(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.quality_rules import quality_rules
+
+    return quality_rules(read(spark, directory, "documents"))
+
+
+QUERIES["op13_quality_rules"] = op13_quality_rules
+
+ORACLE["op13_quality_rules"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents
+), w AS (
+  SELECT r, doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM d
+), p AS (
+  SELECT r, i, w[i : i + 2] AS g FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM w WHERE len(w) > 2)
+), a AS (
+  SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM p) WHERE n > 1
+), c AS (
+  SELECT r, count(DISTINCT k) AS n_repeat_words FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM a) GROUP BY r
+), m AS (
+  SELECT w.r, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+         CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+         CAST(len(l) AS BIGINT) AS n_lines,
+         CAST(len(list_filter(w, lambda x: regexp_matches(x, '[^\x00-\x40\x5B-\x60\x7B-\x7F]'))) AS BIGINT) AS n_letter_words,
+         CAST(length(regexp_replace(t, '[^A-Z]', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(t, '[^a-z]', '', 'g')) AS BIGINT) AS n_lower
+  FROM w LEFT JOIN c ON c.r = w.r
+), b AS (
+  SELECT *, CAST(
+    CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
+    + CASE WHEN word_chars < 3 * n_words THEN 4 ELSE 0 END + CASE WHEN word_chars > 12 * n_words THEN 8 ELSE 0 END
+    + CASE WHEN 10 * n_symbols > n_words THEN 16 ELSE 0 END
+    + CASE WHEN n_dup_lines > 4 AND 100 * n_dup_lines > 30 * n_lines THEN 32 ELSE 0 END
+    + CASE WHEN 100 * n_letter_words < 80 * n_words THEN 64 ELSE 0 END + CASE WHEN n_upper > n_lower THEN 128 ELSE 0 END AS BIGINT) AS fail_bits
+  FROM m
+)
+SELECT * EXCLUDE (r), fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
+       CASE fail_bits WHEN 1 THEN 'few_words' WHEN 2 THEN 'repeated_words' WHEN 4 THEN 'short_words' WHEN 8 THEN 'long_words' WHEN 16 THEN 'symbols'
+         WHEN 32 THEN 'duplicate_lines' WHEN 64 THEN 'few_letter_words' WHEN 128 THEN 'upper_case' END AS only_rule
+FROM b
+"""
