@@ -254,3 +254,55 @@ SELECT * EXCLUDE (r), fail_bits & 3 <> 0 AS base_failed, fail_bits = 0 AS kept,
          WHEN 32 THEN 'duplicate_lines' WHEN 64 THEN 'few_letter_words' WHEN 128 THEN 'upper_case' END AS only_rule
 FROM b
 """
+
+
+def op11_source_audit(spark: SparkSession, directory: str) -> DataFrame:
+    from discern.llm.source_audit import source_audit
+
+    return source_audit(read(spark, directory, "documents"))
+
+
+QUERIES["op11_source_audit"] = op11_source_audit
+
+ORACLE["op11_source_audit"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), o AS (
+  SELECT r, lang, source, unnest(w) AS term FROM d
+), v AS (
+  SELECT lang, term FROM o GROUP BY lang, term HAVING count(DISTINCT r) >= 3
+), g AS (
+  SELECT DISTINCT lang, source FROM d
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN v USING (lang, term) GROUP BY ALL
+), s AS (
+  SELECT lang, count(*) AS size FROM v GROUP BY lang
+), gt AS (
+  SELECT g.lang, g.source, coalesce(sum(n), 0) AS total FROM g LEFT JOIN c ON c.lang = g.lang AND c.source = g.source GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, v.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 1)) // (total + size) AS p
+  FROM gt g JOIN v ON v.lang = g.lang JOIN s ON s.lang = g.lang LEFT JOIN c ON c.lang = g.lang AND c.source = g.source AND c.term = v.term
+), l AS (
+  SELECT lang, sum(total) AS total FROM gt GROUP BY lang
+), q AS (
+  SELECT c.lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 1)) // (any_value(total) + any_value(size)) AS q
+  FROM c JOIN l ON l.lang = c.lang JOIN s ON s.lang = c.lang GROUP BY c.lang, term
+), f AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(f.value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+       LEFT JOIN f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), term AS (
+  SELECT p.lang, source, 'term' AS part, p.term AS item, CAST(((p - q) * (p - q)) // q AS BIGINT) AS value
+  FROM p JOIN q ON q.lang = p.lang AND q.term = p.term WHERE n > 0 AND p > q
+), u AS (
+  SELECT * FROM pair UNION ALL SELECT * FROM term
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM u QUALIFY part = 'pair' OR row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) <= 200
+"""
