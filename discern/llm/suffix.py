@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
 from discern.llm.common import stored, text_slices
 
@@ -80,21 +81,16 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return owner[begins], begins - base, stops - base, at[begins] - begins, value[at[begins]].view(np.int64), context.view(np.int64)
 
 
-def _runs(keys_only: bool):
-    names = ["key"] if keys_only else ["key", "context", "doc_id", "tie", "run"]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for rows in text_slices(batch.filter(batch.column(0).is_valid()), 1_000_000):
-                owner, first, last, at, key, context = anchors([(t or "").encode() for t in rows.column(1).to_pylist()])
-                if keys_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(key)], names=names)
-                    continue
-                ids, ties = (rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in (0, 2))
-                packed = (first << 16) | ((last - first) << 8) | at
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(context), pa.array(ids), pa.array(ties), pa.array(packed)], names=names)
-
-    return run
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, text, tie) to the runs of windows: anchor, context, document and the run as one number."""
+    for batch in batches:
+        for rows in text_slices(batch.filter(batch.column(0).is_valid()), 1_000_000):
+            owner, first, last, at, key, context = anchors([(t or "").encode() for t in rows.column(1).to_pylist()])
+            ids, ties = (rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in (0, 2))
+            packed = (first << 16) | ((last - first) << 8) | at
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key), pa.array(context), pa.array(ids), pa.array(ties), pa.array(packed)], names=["key", "context", "doc_id", "tie", "run"]
+            )
 
 
 def suffix_array(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -382,33 +378,26 @@ def _documents(rows: DataFrame, kept: stored) -> tuple[DataFrame, DataFrame | No
 
 
 def remove_repeats(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",),
-    as_text: bool = False, repeated_ids: bool = False,
-) -> DataFrame:
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ("doc_id",), as_text: bool = False
+) -> DataFrame:
     """Every text without the bytes of 100-byte strings that also start earlier.
 
     Earlier: in a document with a smaller id, or sooner in the same one; strings are judged on the
     input.  Texts are UTF-8 bytes (null: none), and strings never cross texts.  Rows without id
-    have no place in that order: they are left whole and make nothing else a repeat.  So are rows
-    whose id is on several rows, unless ``repeated_ids``: then rows with one id and text are one
-    document, judged once, whose copies all get its answer; different texts under one id follow
-    each other by a hash.  Every row gives one row: n_bytes, kept (the bytes that stay), removed
-    (the maximal removed runs as [from, to) in bytes), and the input's columns named in ``carry``.
+    have no place in that order: they are left whole and make nothing else a repeat.  Rows with one
+    id and text are one document, judged once, whose copies all get its answer; different texts
+    under one id follow each other by a hash.  Every row gives one row: n_bytes, kept (the bytes
+    that stay), removed (the maximal removed runs as [from, to) in bytes), and the input's columns
+    named in ``carry``.
     With ``as_text`` kept is a string; a character that a cut has left incomplete is not in it.
     """
     kept = stored(docs.sparkSession, "suffix")
-    rows, several = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), None
-    if repeated_ids:
-        rows, several = _documents(rows, kept)
-    else:
-        rows = rows.withColumn("tie", F.lit(0).cast("long"))
-    keys = rows.mapInArrow(_runs(True), "key long")
-    repeated = kept.keep(keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
-    runs = rows.mapInArrow(_runs(False), "key long, context long, doc_id long, tie long, run long").join(repeated, "key")
-    if not repeated_ids:
-        unclear = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
-        runs = runs.join(kept.keep(unclear, "unclear"), "doc_id", "left_anti")
-    runs = kept.keep(runs.select("key", "context", "doc_id", "tie", "run"), "runs")
+    rows, several = _documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), kept)
+    # every text is hashed once; the table is read for the anchors that repeat, then for their runs
+    every = kept.keep(rows.mapInArrow(_runs, "key long, context long, doc_id long, tie long, run long"), "every")
+    repeated = kept.keep(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
+    runs = kept.keep(every.join(repeated, "key").select("key", "context", "doc_id", "tie", "run"), "runs")
+    kept.drop("every")
     contexts = runs.groupBy("key", "context").agg(F.min(F.struct("doc_id", "tie", "run")).alias("lead"))
     contexts = kept.keep(contexts, "contexts")
     # equal contexts: all but the first repeat with every window
@@ -438,6 +427,6 @@ def remove_repeats(
         tie = F.when(F.col("_several").isNotNull(), F.xxhash64(F.coalesce("_text", F.lit("")))).otherwise(tie)
     found = found.select(F.col("doc_id").alias("_id"), F.col("tie").alias("_tie"), "found")
     spans = own.withColumn("_tie", tie).join(found, ["_id", "_tie"], "left").select("_text", "found", *carry)
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    kind = "string" if as_text else "binary"
-    return spans.mapInArrow(lambda it: _removed(as_text, it), f"n_bytes long, kept {kind}, removed array<struct<from: long, to: long>>, {fields}")
+    span = ArrayType(StructType([StructField("from", LongType()), StructField("to", LongType())]))
+    made = [StructField("n_bytes", LongType()), StructField("kept", StringType() if as_text else BinaryType()), StructField("removed", span)]
+    return spans.mapInArrow(lambda it: _removed(as_text, it), StructType([*made, *docs.select(*carry).schema.fields]))
