@@ -9,8 +9,9 @@ Buckets whose members are not all connected by then get a second member.  What s
 connected is filed again under its rarest shingles, as many as a link must share one of (prefix
 filter).  Shingles that no other open text has bound the similarity of any pair, so copies with many
 changes of their own are ruled out by counting.  Each key is compared with the text that has the
-fewest such shingles, and only what can still be a link between components is compared in pairs.  So
-a large group of copies costs a few comparisons a document, and no link that could join two
+fewest such shingles, and only what can still be a link between components is compared in pairs: each
+pair under the first key that both have, and only if counts and a longer signature allow a link.
+So a large group of copies costs a few comparisons a document, and no link that could join two
 components is left out.
 """
 
@@ -28,6 +29,9 @@ from discern.llm.common import stored, text_slices
 from discern.llm.graph import components
 
 HASHES, ROWS, BITS = 96, 4, 2
+#: Minima of one bit each that texts get which the buckets leave open, and the least estimate from
+#: them of a pair that is looked at: six deviations below 0.8.
+WIDE, WIDE_ESTIMATE = 1024, 0.6875
 #: A pair is confirmed on its sets if the estimate is at least this: six deviations below 0.8.
 ESTIMATE = 0.5
 #: Members of a block of a key that several components share.
@@ -51,16 +55,17 @@ def shingles(sequences: list[bytes], width: int) -> list[np.ndarray]:
     if not filled:
         return out
     joined = np.frombuffer(b" ".join(sequences[i] for i in filled), np.uint8)
-    # the hash of a word: its bytes times powers of an odd number, taken back to the word's start
-    by = 0x9E3779B97F4A7C15
-    powers = np.cumprod(np.full(len(joined), by, np.uint64), dtype=np.uint64)
-    undo = np.cumprod(np.full(len(joined), pow(by, -1, 1 << 64), np.uint64), dtype=np.uint64)
-    value = (joined.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-    value ^= value >> np.uint64(29)
-    total = np.append(np.uint64(0), np.cumsum(value * powers, dtype=np.uint64))
     gaps = np.flatnonzero(joined == 0x20)
     starts, ends = np.append(0, gaps + 1), np.append(gaps, len(joined))
-    word = (total[ends] - total[starts]) * undo[starts]
+    # a word is the sum of its bytes mixed with their places in it: unlike a polynomial modulo 2**64
+    # this gives no two words the same value by their pattern
+    place = np.arange(len(joined)) - np.repeat(starts, np.diff(np.append(starts, len(joined))))
+    value = (place.astype(np.uint64) << np.uint64(8) | joined) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93)
+    for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        value = (value ^ (value >> np.uint64(shift))) * np.uint64(by)
+    value ^= value >> np.uint64(31)
+    total = np.append(np.uint64(0), np.cumsum(value, dtype=np.uint64))
+    word = total[ends] - total[starts] + (ends - starts).astype(np.uint64)
     word = (word ^ (word >> np.uint64(32))) * _MIX
     counts = np.array([sequences[i].count(b" ") + 1 for i in filled])
     first = np.cumsum(counts) - counts
@@ -82,15 +87,15 @@ def shingles(sequences: list[bytes], width: int) -> list[np.ndarray]:
     return out
 
 
-def minima(sets: list[np.ndarray], seed: int = 1) -> np.ndarray:
-    """``HASHES`` minima of each set, none of which is empty."""
-    draw = np.random.default_rng(seed).integers(0, 1 << 32, (2, HASHES), np.uint32)
+def minima(sets: list[np.ndarray], seed: int = 1, hashes: int = HASHES) -> np.ndarray:
+    """``hashes`` minima of each set, none of which is empty."""
+    draw = np.random.default_rng(seed).integers(0, 1 << 32, (2, hashes), np.uint32)
     merged = np.concatenate(sets)
     merged = ((merged ^ (merged >> np.uint64(33))) * _MIX >> np.uint64(32)).astype(np.uint32)
     sizes = np.array([len(s) for s in sets])
     starts = np.cumsum(sizes) - sizes
-    out = np.empty((len(sets), HASHES), np.uint32)
-    for k in range(HASHES):
+    out = np.empty((len(sets), hashes), np.uint32)
+    for k in range(hashes):
         out[:, k] = np.minimum.reduceat(merged * (draw[0, k] | np.uint32(1)) + draw[1, k], starts)
     return out
 
@@ -136,6 +141,19 @@ def _signatures(width: int):
     return run
 
 
+def _wide_bits(width: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_slices(batch, 200_000):
+                sets = shingles([words_of(t) for t in rows.column(1).to_pylist()], width)
+                least = minima(sets, 2, WIDE)
+                bits = (least * np.uint32(0x9E3779B1) >> np.uint32(31)).astype(np.uint8)
+                packed = np.packbits(bits, axis=1).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(list(packed), pa.list_(pa.int64()))], names=["id", "wide"])
+
+    return run
+
+
 def _full_sets(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -204,6 +222,14 @@ def estimate(left: Column, right: Column) -> Column:
     return ((1 - differ / F.lit(float(HASHES))) - chance) / (1 - chance)
 
 
+def wide_estimate(left: Column, right: Column) -> Column:
+    """Similarity from one bit of each of ``WIDE`` minima: half of the slots agree by chance."""
+    differ = F.lit(0)
+    for w in range(WIDE // 64):
+        differ = differ + F.bit_count(left[w].bitwiseXOR(right[w]))
+    return 1 - 2 * differ / F.lit(float(WIDE))
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80
 ) -> DataFrame:
@@ -264,26 +290,31 @@ def near_duplicates(
             kept.drop("labelled")
         kept.drop(f"open-{turn}")
     # What is left is filed under its rarest shingles.
-    open_ = unconnected().select(F.col("id").alias("doc_id")).distinct()
-    grams = kept.keep(rows.join(kept.keep(open_, "open"), "doc_id").mapInArrow(_grams(width), "id long, gram long, n long").distinct(), "grams")
+    open_ = kept.keep(unconnected().select(F.col("id").alias("doc_id")).distinct(), "open")
+    grams = kept.keep(rows.join(open_, "doc_id").mapInArrow(_grams(width), "id long, gram long, n long").distinct(), "grams")
+    wide = rows.join(open_, "doc_id").mapInArrow(_wide_bits(width), "id long, wide array<long>").dropDuplicates(["id"])
+    wide = kept.keep(wide, "wide")
     kept.drop("labelled", "members")
     common = kept.keep(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "common")
-    filed = rarest_shingles(grams, common, percent).join(first.select("id", "bits"), "id")
-    filed = kept.keep(filed, "filed")
-    kept.drop("grams", "common")
+    # a text carries all its keys, so that a pair is made under the first one that both have
+    filed = rarest_shingles(grams, common, percent).groupBy("id", "n", "common").agg(F.array_sort(F.collect_list("bucket")).alias("keys"))
+    filed = kept.keep(filed.join(wide, "id"), "filed")
+    kept.drop("grams", "common", "wide")
 
     def possible(x: str, y: str) -> Column:
         """The labels differ, the common shingles suffice for a link, and the estimate does."""
         most = F.least(F.col(f"{x}.common"), F.col(f"{y}.common"))
         enough = 100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
-        return (F.col(f"{x}.label") != F.col(f"{y}.label")) & enough & (estimate(F.col(f"{x}.bits"), F.col(f"{y}.bits")) >= ESTIMATE)
+        return (F.col(f"{x}.label") != F.col(f"{y}.label")) & enough & (wide_estimate(F.col(f"{x}.wide"), F.col(f"{y}.wide")) >= WIDE_ESTIMATE)
 
     def mixed(name: str) -> DataFrame:
         """The keys that hold more than one component: (bucket, row of a member, members)."""
         now = filed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
-        now = kept.keep(now.select("bucket", "label", F.struct("id", "n", "common", "bits", "label").alias("x")), f"{name}-now")
-        both = now.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        return kept.keep(now.join(both.select("bucket", "size"), "bucket").select("bucket", "x", "size"), name)
+        now = kept.keep(now, f"{name}-now")
+        by_key = now.select("id", "label", F.explode("keys").alias("bucket"))
+        both = by_key.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
+        members = by_key.select("id", "bucket").join(both.select("bucket", "size"), "bucket")
+        return kept.keep(members.join(now.select("id", F.struct("id", "n", "common", "wide", "keys", "label").alias("x")), "id").select("bucket", "x", "size"), name)
 
     open_ = mixed("mixed")
     purest = F.struct(F.col("x.common") / F.col("x.n"), -F.col("x.id"))
@@ -295,7 +326,8 @@ def near_duplicates(
     open_ = open_.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "x.id"), F.col("blocks")).cast("int"))
     left = open_.select("bucket", "x", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = open_.select("bucket", F.col("x").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    rest = left.join(right, ["bucket", "i", "j"]).where(possible("x", "y") & ((F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id"))))
+    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("bucket")
+    rest = left.join(right, ["bucket", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id"))) & possible("x", "y") & once)
     rest = rest.select("x.id", "y.id").toDF("x", "y")
     links = links.unionByName(confirmed(rest, "pairs"))
     labels = components(links, kept, "components")
