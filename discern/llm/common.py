@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from discern.sources.scratch import discard, materialize, scratch_path
 
-__all__ = ["WORD", "discard", "lower_ascii", "materialize", "read", "scratch_path", "stored", "word_count"]
+__all__ = ["WORD", "discard", "fresh", "lower_ascii", "materialize", "read", "scratch_path", "stored", "word_count"]
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -30,6 +30,17 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each with underscores until no column of ``df`` is called so."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 class stored:
     """Scratch tables of one operator: each is written once, and dropped when no longer needed."""
 

@@ -22,7 +22,7 @@ from discern.llm.sampling import balanced_sample
 #: Bytes of a chunk and from one chunk to the next; of a filter and from one place to the next.
 CHUNK, HOP, WIDTH, STRIDE = 1024, 896, 8, 4
 EMBED, FILTERS = 8, 32
-#: Training rows of each label, at most about this many.
+#: Training rows of each label, at most.
 PER_LABEL = 5000
 EPOCHS, BATCH, RATE, CHUNKS_A_STEP = 12, 64, 0.01, 4
 
@@ -130,12 +130,12 @@ def _train(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_col: str, label_col: str) -> dict | None:
-    """A model of at most about PER_LABEL rows of each label; None without any labelled row."""
-    marked = labels.where(learn & F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
-    sample = balanced_sample(marked.dropDuplicates(["id"]), "label", "id", PER_LABEL)
+    """A model of up to PER_LABEL distinct rows of each label; None without any labelled row."""
+    marked = labels.where(learn & F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id"))
+    marked = marked.agg(F.min(F.col(label_col).cast("int")).alias("label"), F.max(F.col(label_col).cast("int")).alias("other"))
+    marked = marked.where("id IS NOT NULL AND label = other").select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    # 2 * PER_LABEL ids: the bound of this broadcast is a parameter
-    found = texts.join(F.broadcast(sample), "id").repartition(1).mapInPandas(_train, "model binary").collect()
+    found = balanced_sample(texts.join(marked, "id"), PER_LABEL, 2 * PER_LABEL).repartition(1).mapInPandas(_train, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 
@@ -161,7 +161,7 @@ def rate_quality(
     """The probability that each whole text has label 1.
 
     Labels are learned only from rows that are not ``held_out``; labels other than 0 and 1 are
-    ignored, a repeated id is learned once.  Null and empty texts are scored as an empty chunk;
+    ignored, and so are ids that have both; equal rows are learned once.  Null and empty texts are scored as an empty chunk;
     without any label the score is 0.5.  Rows with a null id are scored, never learned from; every
     row of the input gives one row.  Returns doc_id, held_out, score, predicted.
     """

@@ -2,25 +2,27 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SPAN = 1 << 31
-
 
 def fold(id_col: Column, parts: int) -> Column:
     """Remainder of the CRC-32 of the id as text; null for a null id."""
     return F.pmod(F.crc32(id_col.cast("string").cast("binary")), F.lit(parts))
 
 
-def balanced_sample(rows: DataFrame, label: str, id_col: str, per_label: int, seed: int = 5) -> DataFrame:
-    """About ``per_label`` rows of each label, by a seeded hash of the id; all, where there are fewer.
+def balanced_sample(rows: DataFrame, per_label: int, most: int, seed: int = 5) -> DataFrame:
+    """``per_label`` distinct rows of each label, drawn by a seeded hash; all of them, where there are fewer.
 
-    ``per_label`` is the documented bound of what a classifier is fitted on.
+    ``rows(id, text, label)``: equal rows are one, so neither a repeated row nor a repeated id changes
+    who else is drawn.  With so many labels that ``most`` rows would be passed, every label gives
+    its first drawn row before any gives its second, and so on.  ``per_label`` and ``most`` are the
+    documented bounds of what a classifier is fitted on.  Returns id, text, label.
     """
-    counts = {r[label]: r["count"] for r in rows.where(F.col(label).isNotNull()).groupBy(label).count().collect()}
-    draw = F.pmod(F.xxhash64(F.lit(seed), F.col(id_col)), F.lit(_SPAN))
-    parts = [(F.col(label) == k) & (draw < int(_SPAN * min(1.0, per_label / n))) for k, n in counts.items()]
-    return rows.where(reduce(lambda a, b: a | b, parts, F.lit(False)))
+    keyed = rows.where(F.col("label").isNotNull()).withColumn("_key", F.xxhash64(F.lit(seed), "id", "text"))
+    order = Window.partitionBy("label").orderBy("_key")
+    drawn = keyed.select("label", "_key").distinct().withColumn("_place", F.row_number().over(order))
+    drawn = drawn.where(F.col("_place") <= per_label).orderBy("_place", "_key", "label").limit(most)
+    # at most ``most`` keys: the bound of this broadcast is a parameter; copies meet map-side
+    chosen = keyed.join(F.broadcast(drawn.select("label", "_key")), ["label", "_key"])
+    return chosen.groupBy("label", "_key").agg(F.first("id").alias("id"), F.first("text").alias("text")).select("id", "text", "label")
