@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
-A source's documents are laid end to end in a seeded order and cut into blocks of ``block``
-words.  The mix is a number of blocks; each block is a seat, and seats go to the highest
-quotients target / (2 k + 1), first over the sources, then over the shards of each source.
+Words are seats: they go to the sources by the highest quotients target / (2 k + 1).  A source's
+documents are laid end to end in a seeded order and cut into equal blocks, of ``BLOCK`` words or, in
+a small source, of a ``BLOCK``-th of it; the blocks that its words make up go to its shards by
+the same rule.
 Within a shard a seeded permutation picks the blocks that are taken once more than the others,
 so no list of blocks is ever built: each document finds its own taken words by arithmetic.
 """
@@ -82,10 +83,11 @@ def source_targets(sizes: DataFrame, share: float = 1.5, limit: float = 2.0, wei
 
 def _seats_of_sources(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("source", na_position="last", kind="stable").reset_index(drop=True)
-    blocks = -(-rows["source_size"].to_numpy() // BLOCK)
-    seats = round(float(rows["target"].sum()) / BLOCK)
-    rows["seats"] = sainte_lague(rows["target"].to_numpy(), seats, 2 * blocks)
-    return rows[["source", "source_size", "target", "seats"]]
+    size = rows["source_size"].to_numpy(np.int64)
+    words = sainte_lague(rows["target"].to_numpy(), round(float(rows["target"].sum())), 2 * size)
+    rows["block"] = np.clip(size // BLOCK, 1, BLOCK)
+    rows["seats"] = (2 * words + rows["block"]) // (2 * rows["block"])
+    return rows[["source", "source_size", "target", "block", "seats"]]
 
 
 def _quotas_of_shards(rows: pd.DataFrame) -> pd.DataFrame:
@@ -93,8 +95,9 @@ def _quotas_of_shards(rows: pd.DataFrame) -> pd.DataFrame:
     rows = rows.sort_values("shard").reset_index(drop=True)
     ends = rows["size"].cumsum().to_numpy()
     starts = ends - rows["size"].to_numpy()
-    first = -(-starts // BLOCK)  # a block belongs to the shard it starts in
-    count = -(-ends // BLOCK) - first
+    block = int(rows["block"].iloc[0])
+    first = -(-starts // block)  # a block belongs to the shard it starts in
+    count = -(-ends // block) - first
     rows["start"], rows["first"], rows["count"] = starts, first, count
     rows["quota"] = sainte_lague(count, int(rows["seats"].iloc[0]), 2 * count)
     steps = []
@@ -132,14 +135,14 @@ def mix(
     seats = (
         targets.withColumn("_all", F.lit(0))
         .groupBy("_all")
-        .applyInPandas(lambda p: _seats_of_sources(p), "source string, source_size long, target double, seats long")
+        .applyInPandas(lambda p: _seats_of_sources(p), "source string, source_size long, target double, block long, seats long")
     )
     seats = kept.keep(seats, "seats")
     drawn = cells.withColumn("draw", F.xxhash64(F.lit(seed), F.lit("step"), "source", "shard").bitwiseAND(F.lit((1 << 40) - 1)))
     drawn = drawn.withColumn("shift", F.xxhash64(F.lit(seed), F.lit("shift"), "source", "shard").bitwiseAND(F.lit((1 << 40) - 1)))
     quotas = (
         drawn.join(seats, drawn["source"].eqNullSafe(seats["source"]))
-        .select(drawn["source"], "shard", "size", "draw", "shift", "seats")
+        .select(drawn["source"], "shard", "size", "draw", "shift", "block", "seats")
         .groupBy("source")
         .applyInPandas(
             lambda p: _quotas_of_shards(p),
@@ -160,8 +163,8 @@ def mix(
         " if(p_count = 0 OR p_count IS NULL, 0, p_quota div p_count + if(pmod((b - p_first) * p_step + p_shift, p_count) < p_quota % p_count, 1, 0)))"
     )
     spans = (
-        f"transform(sequence(_at div {BLOCK}, (_at + size - 1) div {BLOCK}), b -> struct("
-        f"int(greatest(b * {BLOCK}, _at) - _at) AS from, int(least((b + 1) * {BLOCK}, _at + size) - _at) AS to, int({times}) AS times))"
+        "transform(sequence(_at div block, (_at + size - 1) div block), b -> struct("
+        f"int(greatest(b * block, _at) - _at) AS from, int(least((b + 1) * block, _at + size) - _at) AS to, int({times}) AS times))"
     )
     empty = "cast(array() AS array<struct<from: int, to: int, times: int>>)"
     return laid.select(
