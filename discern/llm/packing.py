@@ -86,9 +86,6 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.classes = _classes()
-        # an odd multiplier has an inverse modulo 2**64
-        self.by = np.uint64(0x9E3779B97F4A7C15)
-        self.back = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
         self._forget()
 
     def _forget(self) -> None:
@@ -116,13 +113,14 @@ class Encoder:
         ends = np.cumsum([len(texts[i]) for i in plain])
         starts = word_starts(code, np.append(0, ends[:-1]), self.classes)
         lengths = np.diff(np.append(starts, len(code)))
-        powers = np.full(len(code), self.by)
-        mixed = (code.astype(np.uint64) + np.uint64(1)) * np.uint64(0xD6E8FEB86659FD93)
-        mixed ^= mixed >> np.uint64(29)
-        total = np.append(np.uint64(0), np.cumsum(mixed * np.cumprod(powers, dtype=np.uint64), dtype=np.uint64))
-        powers[:] = self.back
-        undo = np.cumprod(powers, dtype=np.uint64)
-        hashes = (total[starts + lengths] - total[starts]) * undo[starts]
+        # the sum of a word's characters mixed with their places: no pattern gives two words one value
+        place = np.arange(len(code)) - np.repeat(starts, lengths)
+        mixed = (place.astype(np.uint64) << np.uint64(21) | code) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93)
+        for shift, by in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            mixed = (mixed ^ (mixed >> np.uint64(shift))) * np.uint64(by)
+        mixed ^= mixed >> np.uint64(31)
+        total = np.append(np.uint64(0), np.cumsum(mixed, dtype=np.uint64))
+        hashes = total[starts + lengths] - total[starts]
         hashes ^= (hashes >> np.uint64(31)) + lengths.astype(np.uint64) * np.uint64(0xA24BAED4963EE407)
         codes, distinct = pd.factorize(hashes)
         if len(self.known) + len(distinct) > REMEMBERED:
@@ -261,7 +259,9 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, shard_pieces: int =
     kept = stored(docs.sparkSession, "packing")
     pieces = kept.keep(tokenized_pieces(docs, tokenizer, size, **columns), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
-    shard = F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "piece", "ids_crc32"), F.lit(shards)).cast("long")
+    # the row's place in the written table takes part, so copies of one row spread over all shards
+    place = F.monotonically_increasing_id()
+    shard = F.pmod(F.xxhash64(F.lit("pack"), "doc_id", "piece", "ids_crc32", place), F.lit(shards)).cast("long")
     return (
         pieces.withColumn("shard", shard)
         .groupBy("shard")
