@@ -117,3 +117,29 @@ def test_run_follows_the_stages(spark, tmp_path):
     spark.createDataFrame(planted(), COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     found = P.run(spark, str(tmp_path))
     assert found.agg(F.sum("length")).first()[0] > 0 and "sequence_id" in found.columns
+
+
+def test_clashing_columns_and_no_language(spark):
+    """Columns named like anything the stages make keep their values; without a language all documents stay."""
+    from tests.llm.test_operators import prose
+
+    names = ["score", "lang_pred", "_key", "key", "row", "id", "kept", "removed", "n_bytes", "size", "spans", "taken", "pass", "own", "several", "target"]
+    rows = [(k, prose(k, 60) + f" word{k}", ("en", "de")[k % 2], "ab"[k % 2], 1, *[f"{n} {k}" for n in names]) for k in range(24)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in P.STAGES[:-1]:
+        got = stage(spark, docs, "")
+        assert got.columns == docs.columns, name
+        found = got.collect()
+        assert found and all(r[n] == f"{n} {r.doc_id}" for r in found for n in names), name
+    none = docs.withColumn("lang", F.lit(None).cast("string"))
+    assert P.language_id(spark, none, "").count() == 24
+
+
+def test_language_stage_keeps_clean_documents(spark):
+    """Of the labelled documents of good quality with a letter none is lost."""
+    directory = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{directory}/documents.parquet")
+    good = docs.join(spark.read.parquet(f"{directory}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
+    stays = P.language_id(spark, docs, directory).select("doc_id")
+    assert good.where(F.regexp_like("text", F.lit("[A-Za-z]"))).join(stays, "doc_id", "left_anti").count() == 0
