@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discern.llm.common import WORD, lower_ascii, stored
+from discern.llm.common import WORD, fresh, lower_ascii, stored
 from discern.llm.language_id import UNKNOWN, predict, train
 from discern.llm.minhash import near_duplicates
 from discern.llm.mixing import mix
@@ -13,44 +13,63 @@ from discern.llm.packing import pack
 from discern.llm.queries import tokenizer_path
 from discern.llm.suffix import remove_repeats
 
-#: Below this value of the language's regression a text is in no known language.
-LEAST_SCORE = 0.3
+#: Below this value of the language's regression a text is in no known language.  The values of all
+#: languages sum to about 1, so among many languages the limit follows their number.
+LEAST_SCORE, LEAST_SHARE = 0.3, 1.15
+
+
+def _boxed(docs: DataFrame, **own: Column) -> DataFrame:
+    """The columns of ``docs`` in one column ``row`` and the named ones beside it: no name can clash."""
+    return docs.select(*[c.alias(name) for name, c in own.items()], F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+
+
+def _unboxed(rows: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The boxed columns again, some of them changed."""
+    return rows.select(*[changed.get(c, F.col("row").getField(c)).alias(c) for c in columns])
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages of the collection; texts without a letter go."""
+    """Documents in one of the languages of the collection; texts without a letter go.
+
+    Where no document has a language there is nothing to judge by, and all documents stay.
+    """
     model = train(docs, F.col("doc_id").isNotNull())
-    found = predict(docs, model).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= LEAST_SCORE))
-    return found.select(*docs.columns)
+    if model is None:
+        return docs
+    least = min(LEAST_SCORE, LEAST_SHARE / len(model["names"]))
+    lang, score = fresh(docs, "lang_pred", "score")
+    found = predict(docs, model, names=(lang, score))
+    return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the least id; a row without id only if no copy has one.
 
-    Rows are judged by their words, not by their ids: rows with the same words are one class, and one
-    row stands for it.  Rows without words stay.
+    Near copies share four fifths of their shingles of five words.  Rows are judged by their words, not
+    by their ids: rows with the same words are one class, and one row stands for it.  Rows without
+    words stay.
     """
     kept = stored(spark, "near-dedup")
     words = F.array_join(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0)), " ")
-    keyed = docs.withColumn("_key", F.when(F.length(words) > 0, F.sha2(words, 256)))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64(*docs.columns))
-    one = keyed.where("_key IS NOT NULL").groupBy("_key").agg(F.min_by(F.struct(*docs.columns), order).alias("row"))
-    one = kept.keep(one.select("_key", "row.*"), "classes")
+    keyed = _boxed(docs, key=F.when(F.length(words) > 0, F.sha2(words, 256)), doc_id=F.col("doc_id"), text=F.col("text"))
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("row"))
+    one = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("doc_id", "text", "row"), order).alias("one"))
+    one = kept.keep(one.select("key", "one.*"), "classes")
     # a class without an id, or whose id stands for several classes, goes by a hash of its key
     several = one.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    several = kept.keep(several.select(F.col("doc_id").alias("_several")), "several")
+    several = kept.keep(several.select(F.col("doc_id").alias("several")), "several")
     named = one
     if several.isEmpty():
-        named = named.withColumn("_several", F.lit(None).cast("long"))
+        named = named.withColumn("several", F.lit(None).cast("long"))
     else:
-        named = named.join(several, F.col("doc_id") == F.col("_several"), "left")
-    own = F.col("doc_id").isNotNull() & F.col("_several").isNull()
-    named = named.withColumn("_id", F.when(own, F.col("doc_id").cast("long")).otherwise(F.xxhash64("_key")))
-    found = near_duplicates(named, id_col="_id").select(F.col("doc_id").alias("_id"), "component_id")
-    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_key"))
-    first = named.select("_id", "_key", "doc_id").join(found, "_id").groupBy("component_id").agg(F.min_by("_key", rank).alias("_key"))
-    rows = one.join(first.select("_key"), "_key", "left_semi").select(*docs.columns)
-    return rows.unionByName(keyed.where("_key IS NULL").select(*docs.columns))
+        named = named.join(several, F.col("doc_id") == F.col("several"), "left")
+    own = F.col("doc_id").isNotNull() & F.col("several").isNull()
+    named = named.withColumn("id", F.when(own, F.col("doc_id").cast("long")).otherwise(F.xxhash64("key")))
+    found = near_duplicates(named, id_col="id").select(F.col("doc_id").alias("id"), "component_id")
+    rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
+    first = named.select("id", "key", "doc_id").join(found, "id").groupBy("component_id").agg(F.min_by("key", rank).alias("key"))
+    rows = one.join(first.select("key"), "key", "left_semi")
+    return _unboxed(rows, docs.columns).unionByName(_unboxed(keyed.where("key IS NULL"), docs.columns))
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,22 +77,21 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A character that a cut leaves incomplete goes with the cut.
     """
-    cleaned = remove_repeats(docs, carry=tuple(docs.columns), as_text=True, repeated_ids=True)
-    text = F.when(F.size("removed") == 0, F.col("text")).otherwise(F.col("kept"))
-    return cleaned.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    cleaned = remove_repeats(_boxed(docs, doc_id=F.col("doc_id"), text=F.col("text")), carry=("row",), as_text=True)
+    text = F.when(F.size("removed") == 0, F.col("row.text")).otherwise(F.col("kept"))
+    return _unboxed(cleaned, docs.columns, text=text, n_chars=F.length(text).cast("long"))
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The words that the mix takes: a row for the first pass over a document and one for the second."""
-    mixed = mix(docs, carry=tuple(docs.columns))
-    passes = F.explode(F.array(F.lit(1), F.lit(2)))
-    rows = mixed.withColumn("_pass", passes).withColumn("_own", F.filter("spans", lambda s: s["times"] >= F.col("_pass")))
-    count = F.aggregate("_own", F.lit(0), lambda n, s: n + (s["to"] - s["from"]).cast("int"))
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
-    cut = F.array_join(F.flatten(F.transform("_own", lambda s: F.slice(words, s["from"] + 1, s["to"] - s["from"]))), " ")
-    rows = rows.withColumn("_taken", count).where(F.col("_taken") > 0)
-    rows = rows.withColumn("text", F.when(F.col("_taken") == F.col("size"), F.col("text")).otherwise(cut))
-    return rows.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    mixed = mix(_boxed(docs, doc_id=F.col("doc_id"), text=F.col("text"), source=F.col("source")), carry=("row",))
+    rows = mixed.withColumn("pass", F.explode(F.array(F.lit(1), F.lit(2)))).withColumn("own", F.filter("spans", lambda s: s["times"] >= F.col("pass")))
+    count = F.aggregate("own", F.lit(0), lambda n, s: n + (s["to"] - s["from"]).cast("int"))
+    words = F.regexp_extract_all("row.text", F.lit(WORD), F.lit(0))
+    cut = F.array_join(F.flatten(F.transform("own", lambda s: F.slice(words, s["from"] + 1, s["to"] - s["from"]))), " ")
+    rows = rows.withColumn("some", count).where(F.col("some") > 0)
+    text = F.when(F.col("some") == F.col("size"), F.col("row.text")).otherwise(cut)
+    return _unboxed(rows, docs.columns, text=text, n_chars=F.length(text).cast("long"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -99,4 +117,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES[:-1]):
         docs = kept.keep(stage(spark, docs, sf_dir), f"stage-{k}")
+        if k:
+            kept.drop(f"stage-{k - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
