@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 import math
+import re
+import uuid
 from collections.abc import Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -12,10 +16,11 @@ from pyspark import inheritable_thread_target
 from pyspark.ml import Estimator, Model, Pipeline
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discern.operators.metrics import class_figures, per_class
+from discern.operators.nested import Group, depth_groups, stopped_predictions
 from discern.operators.split import with_fold
 from discern.sources.scratch import discard, materialize, scratch_path
 
@@ -93,6 +98,19 @@ def preset_grid(estimator: Estimator, name: str, preset: str = "small") -> list[
     return grid(estimator, PRESETS[preset][name])
 
 
+def preset_of(estimator: Estimator, preset: str, sparse: bool = False) -> tuple[dict[str, list[object]], int]:
+    """The values and the number of folds of a named preset for a classifier."""
+    if preset not in PRESETS:
+        raise ValueError(f"unknown preset {preset!r}; choose from {sorted(PRESETS)}")
+    kinds = {"LogisticRegression": "logistic_regression", "DecisionTreeClassifier": "decision_tree", "RandomForestClassifier": "random_forest", "LinearSVC": "linear_svm"}
+    name = kinds.get(type(estimator).__name__)
+    if name is not None and sparse and f"{name}_sparse" in PRESETS[preset]:
+        name += "_sparse"
+    if name not in PRESETS[preset]:
+        raise ValueError(f"no grid {preset!r} for {type(estimator).__name__}")
+    return dict(PRESETS[preset][name]), REFERENCE_FOLDS.get(name, DEFAULT_FOLDS)
+
+
 def predictions_side_by_side(models: Sequence[Model], rows: DataFrame, label: str) -> DataFrame:
     """``label, model, prediction``: every model applied to the same scan of ``rows``."""
     scored = rows
@@ -106,26 +124,87 @@ def predictions_side_by_side(models: Sequence[Model], rows: DataFrame, label: st
     return scored.select(F.col(label).alias("label"), F.inline(pairs))
 
 
+def _class_counts(predictions: DataFrame) -> dict[int, list[tuple]]:
+    """``label, model, prediction`` to (class, rows, predictions, hits) of every model, in class order."""
+    counts = (
+        predictions.filter(F.col("label").isNotNull())
+        .groupBy("model", F.col("label").cast("double").alias("actual"), F.col("prediction").alias("predicted"))
+        .agg(F.count("*").alias("n"))
+    )
+    # whole counts, one row per model and class: the figure does not depend on the order of a shuffle
+    totals = per_class(counts, "model").select("model", "class", "n_actual", "n_predicted", "n_correct").collect()
+    found: dict[int, list[tuple]] = {}
+    for model, *whole in sorted(tuple(row) for row in totals):
+        found.setdefault(model, []).append(tuple(whole))
+    return found
+
+
+def _figure(classes: list[tuple], metric: str) -> float | None:
+    return class_figures([c[1:] for c in classes])[METRICS[metric]] if classes else None
+
+
 def fold_scores(models: Sequence[Model], rows: DataFrame, label: str, metric: str) -> list[float | None]:
     """One figure per model; at most ``MODELS_PER_SCAN`` models share a scan."""
     scores: list[float | None] = []
     for start in range(0, len(models), MODELS_PER_SCAN):
         chunk = models[start : start + MODELS_PER_SCAN]
-        counts = (
-            predictions_side_by_side(chunk, rows, label)
-            .filter(F.col("label").isNotNull())
-            .groupBy("model", F.col("label").cast("double").alias("actual"), F.col("prediction").alias("predicted"))
-            .agg(F.count("*").alias("n"))
-        )
-        # whole counts, one row per model and class: the figure does not depend on the order of a shuffle
-        totals = per_class(counts, "model").select("model", "class", "n_actual", "n_predicted", "n_correct").collect()
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for model, _, *whole in sorted(tuple(row) for row in totals):
-            found.setdefault(model, []).append(tuple(whole))
-        scores += [class_figures(found[i])[METRICS[metric]] if i in found else None for i in range(len(chunk))]
+        found = _class_counts(predictions_side_by_side(chunk, rows, label))
+        scores += [_figure(found.get(i, []), metric) for i in range(len(chunk))]
     return scores
 
 
+class Ledger:
+    """Whole counts of finished (fold, point) pairs, kept between runs below ``path``.
+
+    A search is known by its grid, its estimators' settings, its folds and a fingerprint of its
+    rows; another one has a folder of its own.  Each record is a table that counts once its writer
+    has finished, so a driver that dies leaves nothing half done.
+    """
+
+    _SCHEMA = "point int, class double, n_actual long, n_predicted long, n_correct long"
+
+    def __init__(self, spark: SparkSession, path: str, key: str):
+        self.spark, self.path = spark, f"{path.rstrip('/')}/{key}"
+
+    def known(self) -> dict[int, dict[int, list[tuple]]]:
+        """Counts by fold and point."""
+        found: dict[int, dict[int, list[tuple]]] = {}
+        for fold, folder in finished_tables(self.spark, self.path):
+            for point, name, *whole in sorted(map(tuple, self.spark.read.schema(self._SCHEMA).parquet(folder).collect()), key=str):
+                own = found.setdefault(fold, {}).setdefault(point, [])
+                if name is not None:  # a point without any row to be scored has one record without a class
+                    own.append((name, *whole))
+        return {f: {p: sorted(c) for p, c in points.items()} for f, points in found.items()}
+
+    def add(self, fold: int, counts: Mapping[int, list[tuple]]) -> None:
+        rows = [(p, *c) for p, own in counts.items() for c in own or [(None, None, None, None)]]
+        name = f"fold-{fold}-{'-'.join(map(str, sorted(counts)[:3]))}-{uuid.uuid4().hex[:8]}"
+        self.spark.createDataFrame(rows, self._SCHEMA).coalesce(1).write.parquet(f"{self.path}/{name}")
+
+
+def finished_tables(spark: SparkSession, path: str) -> list[tuple[int, str]]:
+    """(fold, folder) of the records below ``path`` whose writers have finished."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    root = hadoop(path)
+    files = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = [status.getPath() for status in files.listStatus(root)]
+    return [(int(p.getName().split("-")[1]), p.toString()) for p in found if files.exists(hadoop(p, "_SUCCESS"))]
+
+
+def search_key(folded: DataFrame, stages: Sequence[Estimator], param_maps: Sequence[Mapping[Param, object]], k: int, label: str, share: bool | None) -> str:
+    """A fingerprint of a search: settings, grid, folds, and the rows in any order."""
+    settings = [[type(s).__name__, sorted((p.name, repr(v)) for p, v in s.extractParamMap().items())] for s in stages]
+    # a default output name holds the stage's own number
+    settings = re.sub(r"_[0-9a-f]{12}(__)?", "_", json.dumps(settings))
+    grid_ = [sorted((p.name, repr(v)) for p, v in point.items()) for point in param_maps]
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in sorted(folded.columns)]).cast("decimal(38,0)")
+    n, total = folded.agg(F.count("*"), F.sum(row)).first()
+    text = json.dumps([settings, grid_, k, label, share, sorted(folded.dtypes), n, str(total)])
+    return hashlib.sha256(text.encode()).hexdigest()[:32]
+
+
 def cross_validate(
     df: DataFrame,
     estimator: Estimator,
@@ -136,6 +215,8 @@ def cross_validate(
     metric: str = "f1",
     parallelism: int = 1,
     refit: bool = True,
+    ledger: str | None = None,
+    share_depths: bool | None = None,
 ) -> TunedModel:
     """Pick the grid point with the best mean ``metric`` over ``k`` folds.
 
@@ -144,6 +225,12 @@ def cross_validate(
     training rows.  ``parallelism`` fits of a fold run side by side, each with its own copy
     of the fold in memory; all its models are then scored in shared scans.  Folds follow from the row ids, so another partitioning or a
     retry gives the same ones.
+
+    Tree points that differ in depth only share one fit of the deepest, stopped at each depth
+    (``discern.operators.nested``): always where that changes nothing, with ``share_depths=True`` also
+    in forests that draw columns for each node, with ``False`` never.  With ``ledger``, a folder that
+    outlives the driver, the counts of every finished fold and point are kept there, and a search
+    that is run again fits only what is not there.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose from {sorted(METRICS)}")
@@ -155,7 +242,9 @@ def cross_validate(
     path = scratch_path(spark, "folds")
     try:
         folded = materialize(with_fold(df, ids, k), "folds", sort_by=["fold"], path=path)
-        means, folds = _mean_scores(folded, before, head, param_maps, label, metric, parallelism)
+        book = Ledger(spark, ledger, search_key(folded, stages, param_maps, k, label, share_depths)) if ledger else None
+        groups = depth_groups(head, param_maps, share_depths)
+        means, folds = _mean_scores(folded, before, head, groups, len(param_maps), label, metric, parallelism, book)
         best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, round(means[i] or 0.0, DIGITS), -i))
         model = None
         if refit:
@@ -172,33 +261,52 @@ def _mean_scores(
     folded: DataFrame,
     before: Sequence[Estimator],
     head: Estimator,
-    param_maps: Sequence[dict[Param, object]],
+    groups: Sequence[Group],
+    n_points: int,
     label: str,
     metric: str,
     parallelism: int,
+    book: Ledger | None,
 ) -> tuple[list[float | None], int]:
     """Mean score per grid point, and the number of folds that have rows."""
     present = [row[0] for row in folded.select("fold").distinct().collect()]  # at most k rows
     if len(present) < 2:
         raise ValueError("cross-validation needs rows in at least two folds")
     on_thread = inheritable_thread_target(folded.sparkSession)
+    known = book.known() if book else {}
 
     def score_fold(fold: int) -> list[float | None]:
-        training = folded.filter(F.col("fold") != fold).drop("fold")
-        validation = folded.filter(F.col("fold") == fold).drop("fold")
-        if before:
-            with _ONE_SOLVER:
-                fixed = Pipeline(stages=before).fit(training)
-            training, validation = fixed.transform(training), fixed.transform(validation)
-        models = list(fits.map(on_thread(lambda point: head.fit(training, point)), param_maps))
-        return fold_scores(models, validation, label, metric)
+        counts = dict(known.get(fold, {}))
+        missing = [g for g in groups if not set(g.depths) <= set(counts)]
+        if missing:
+            training = folded.filter(F.col("fold") != fold).drop("fold")
+            validation = folded.filter(F.col("fold") == fold).drop("fold")
+            if before:
+                with _ONE_SOLVER:
+                    fixed = Pipeline(stages=before).fit(training)
+                training, validation = fixed.transform(training), fixed.transform(validation)
+        for start in range(0, len(missing), MODELS_PER_SCAN):
+            chunk = missing[start : start + MODELS_PER_SCAN]
+            models = list(fits.map(on_thread(lambda g: head.fit(training, dict(g.deepest))), chunk))
+            plain = [i for i, g in enumerate(chunk) if len(g.depths) == 1]
+            nested = [i for i, g in enumerate(chunk) if len(g.depths) > 1]
+            fresh: dict[int, list[tuple]] = {p: [] for g in chunk for p in g.depths}
+            if plain:
+                found = _class_counts(predictions_side_by_side([models[i] for i in plain], validation, label))
+                fresh |= {next(iter(chunk[plain[i]].depths)): c for i, c in found.items()}
+            if nested:
+                fresh |= _class_counts(stopped_predictions([models[i] for i in nested], [chunk[i] for i in nested], validation, label, fits))
+            if book:
+                book.add(fold, fresh)
+            counts |= fresh
+        return [_figure(counts[i], metric) for i in range(n_points)]
 
     # Folds run side by side only where a fold has too few fits to keep all threads busy,
     # so the driver never holds the models of many folds at once.
-    abreast = max(1, parallelism // len(param_maps))
+    abreast = max(1, parallelism // len(groups))
     with ThreadPoolExecutor(parallelism) as fits, ThreadPoolExecutor(abreast) as folds:
         per_fold = list(folds.map(on_thread(score_fold), sorted(present)))
-    return [_mean([scores[i] for scores in per_fold]) for i in range(len(param_maps))], len(present)
+    return [_mean([scores[i] for scores in per_fold]) for i in range(n_points)], len(present)
 
 
 def _describe(point: Mapping[str, object]) -> str:

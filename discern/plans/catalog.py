@@ -39,7 +39,7 @@ from discern.operators.split import (
     with_fold,
     with_split,
 )
-from discern.operators.tuning import cross_validate, grid
+from discern.operators.tuning import DEFAULT_FOLDS, REFERENCE_FOLDS, cross_validate, grid, preset_grid
 from discern.plans import inputs as I
 from discern.plans.jobs import deep_classifier, dense_multiclass, second_stage, sparse_binary
 from discern.sources.handoff import read_split, write_split
@@ -570,6 +570,24 @@ def cv_grid_dt(spark: SparkSession, directory: str) -> DataFrame:
     return _tuned(I.numeric_vectors(spark, directory), C.classifier("decision_tree", maxBins=64), values)
 
 
+@query
+def cv_reference_dt(spark: SparkSession, directory: str) -> DataFrame:
+    """The published tree grid, 32 points over 10 folds: 8 fits a fold, stopped at four depths each."""
+    tree = C.classifier("decision_tree")
+    points = preset_grid(tree, "decision_tree", "reference")
+    result = cross_validate(I.halving_table(spark, directory), tree, points, ["o_orderkey"], DEFAULT_FOLDS, parallelism=8, refit=False)
+    return rounded(result.results)
+
+
+@query
+def cv_reference_rf(spark: SparkSession, directory: str) -> DataFrame:
+    """The published forest grid, 108 points over 5 folds: 36 fits a fold, stopped at three depths each."""
+    forest = C.classifier("random_forest")
+    points = preset_grid(forest, "random_forest", "reference")
+    rows, folds = I.halving_table(spark, directory), REFERENCE_FOLDS["random_forest"]
+    return rounded(cross_validate(rows, forest, points, ["o_orderkey"], folds, parallelism=8, refit=False, share_depths=True).results)
+
+
 @query
 def tuned_refit(spark: SparkSession, directory: str) -> DataFrame:
     """Tune on the training part, refit the best point on all of it, score the test part.

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pyspark.ml.feature import OneHotEncoder
 
+from discern.functions.hashing import hash32
 from discern.functions.text import LETTERS, letter_counts
 from discern.operators.features import assembler, fold_width, hashed_terms
 from discern.sources.tables import read_table, spread
@@ -139,6 +140,23 @@ def embedding_names(table: DataFrame) -> list[str]:
     return [c for c in table.columns if c.startswith("f")]
 
 
+#: Seed of the hash whose trailing zero bits deal orders to classes.
+HALVING_SEED = 65537
+
+
+def halving_table(spark: SparkSession, directory: str) -> DataFrame:
+    """Orders with a class in 0 .. 7, each class but the last half as large as the one before.
+
+    The one feature is the class itself, so a tree of depth d with b bins tells apart the first
+    min(d, b - 1) classes and takes the rest for the next one.
+    """
+    h = hash32(["o_orderkey"], HALVING_SEED)
+    zeros = F.bit_count(h.bitwiseAND(-h) - 1)
+    orders = spread(read_table(spark, directory, "orders").select("o_orderkey"), ["o_orderkey"])
+    rows = orders.select("o_orderkey", F.least(zeros, F.lit(7)).cast("double").alias("label"))
+    return assembler(["part"]).transform(rows.withColumn("part", F.col("label"))).select("o_orderkey", "label", "features")
+
+
 def rule_predictions(spark: SparkSession, directory: str) -> DataFrame:
     """A fixed rule in place of a model on documents: ``label, prediction, score``."""
     documents = read_table(spark, directory, "documents").select("doc_id", "n_chars")

@@ -24,7 +24,7 @@ from discern.operators.split import (
     shuffled_top,
     stored_split,
 )
-from discern.operators.tuning import cross_validate, grid
+from discern.operators.tuning import DEFAULT_FOLDS, cross_validate, grid, preset_of
 from discern.sources.handoff import read_split
 from discern.sources.scratch import materialize
 
@@ -41,16 +41,21 @@ class JobResult:
 def _tuned(
     training: DataFrame,
     pipeline: Pipeline,
-    values: Mapping[str, Sequence[object]] | None,
+    values: Mapping[str, Sequence[object]] | str | None,
     ids: Sequence[str],
-    folds: int,
+    folds: int | None,
     metric: str,
     parallelism: int,
+    ledger: str | None,
+    sparse: bool = False,
 ) -> tuple[Model, dict[str, DataFrame]]:
     if values is None:
         return pipeline.fit(training), {}
+    own = DEFAULT_FOLDS
+    if isinstance(values, str):
+        values, own = preset_of(pipeline.getStages()[-1], values, sparse)
     tuned = cross_validate(
-        training, pipeline, grid(pipeline, values), ids, folds, metric=metric, parallelism=parallelism
+        training, pipeline, grid(pipeline, values), ids, folds or own, metric=metric, parallelism=parallelism, ledger=ledger, share_depths=True
     )
     return tuned.model, {"tuning": tuned.results}
 
@@ -87,18 +92,21 @@ def dense_multiclass(
     features: Sequence[str],
     label: str,
     estimator: Estimator,
-    values: Mapping[str, Sequence[object]] | None = None,
+    values: Mapping[str, Sequence[object]] | str | None = None,
     components: int | None = 50,
-    folds: int = 10,
+    folds: int | None = None,
     weights: Sequence[float] = (80, 20),
     seed: int = SPLIT_SEED,
     metric: str = "f1",
     parallelism: int = 1,
     index_labels: bool = True,
+    ledger: str | None = None,
 ) -> JobResult:
     """Wide numeric table to a tuned multi-class model and its reports.
 
-    ``values`` is the grid (``None`` fits once).  PCA belongs to the pipeline and
+    ``values`` is the grid, or ``"reference"`` or ``"small"`` for the classifier's published or everyday
+    one (``None`` fits once); ``folds`` are the published number unless given, and ``ledger`` is a
+    folder from which an ended search goes on.  PCA belongs to the pipeline and
     sees training rows only.  Labels are indexed by frequency over all rows, so no
     class number stays empty; ``index_labels=False`` takes them as they are.
     """
@@ -110,7 +118,7 @@ def dense_multiclass(
     if components is not None:
         stages.append(principal_components(training, components))
         estimator = estimator.copy({estimator.getParam("featuresCol"): "pca_features"})
-    model, reports = _tuned(training, Pipeline(stages=[*stages, estimator]), values, ids, folds, metric, parallelism)
+    model, reports = _tuned(training, Pipeline(stages=[*stages, estimator]), values, ids, folds, metric, parallelism, ledger)
     predictions = model.transform(test)
     counts = _stored_counts(predictions)
     reports |= {
@@ -125,15 +133,16 @@ def sparse_binary(
     df: DataFrame,
     ids: Sequence[str] | None,
     estimator: Estimator,
-    values: Mapping[str, Sequence[object]] | None = None,
+    values: Mapping[str, Sequence[object]] | str | None = None,
     width: int | None = None,
-    folds: int = 10,
+    folds: int | None = None,
     weights: Sequence[float] = (80, 20),
     seed: int = SPARSE_SPLIT_SEED,
     metric: str = "balancedAccuracy",
     parallelism: int = 1,
     fraction: float | None = None,
     limit: int | None = None,
+    ledger: str | None = None,
 ) -> JobResult:
     """Sparse rows ``ids, label, features`` to a binary model and its reports.
 
@@ -149,7 +158,7 @@ def sparse_binary(
         df = shuffled_top(df, ids, limit)
     rows = df.select(*ids, F.col("label").alias("_raw"), "features")
     training, test = _labelled(stored_split(fold_width(rows, width) if width else rows, ids, weights, seed))
-    model, reports = _tuned(training, Pipeline(stages=[estimator]), values, ids, folds, metric, parallelism)
+    model, reports = _tuned(training, Pipeline(stages=[estimator]), values, ids, folds, metric, parallelism, ledger, True)
     predictions = model.transform(test)
     margin = "probability" if "probability" in predictions.columns else "rawPrediction"
     scored = predictions.select("label", "prediction", F.get(vector_to_array(margin), F.lit(1)).alias("score"))

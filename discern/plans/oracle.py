@@ -7,6 +7,8 @@ majority class, and the counts follow.
 
 from __future__ import annotations
 
+from itertools import product
+
 from discern.functions.text import LETTERS
 from discern.operators.importance import PERMUTE_SEED
 from discern.operators.split import (
@@ -16,7 +18,8 @@ from discern.operators.split import (
     SPLIT_SEED,
     poisson_cuts,
 )
-from discern.plans.inputs import LINE_ID
+from discern.operators.tuning import DEFAULT_FOLDS, REFERENCE_FOLDS, REFERENCE_GRIDS
+from discern.plans.inputs import HALVING_SEED, LINE_ID
 
 ORACLE: dict[str, str] = {}
 
@@ -411,6 +414,31 @@ ORACLE["cv_grid_lr_sparse"] = _tuning(
     "balancedAccuracy",
 )
 
+
+def _halving(name: str, folds: int) -> str:
+    """A tree of depth d with b bins tells apart the first min(d, b - 1) of the halving classes."""
+    grid = REFERENCE_GRIDS[name]
+    points = []
+    for i, values in enumerate(product(*grid.values())):
+        point = dict(zip(grid, values))
+        text = ", ".join(f"{k}={v}" for k, v in sorted(point.items()))
+        points.append(f"({i}, '{text}', {min(point['maxDepth'], point['maxBins'] - 1, 7)})")
+    return f"""WITH p(point, params, apart) AS (VALUES {', '.join(points)}),
+r AS (SELECT least(bit_count((h & -h) - 1), 7)::double AS label, fold FROM
+  (SELECT {hash32('o_orderkey::varchar', HALVING_SEED)} AS h, {hash32('o_orderkey::varchar', FOLD_SEED)} % {folds} AS fold FROM orders)),
+m AS (SELECT DISTINCT apart FROM p),
+b AS (SELECT apart * 1000 + fold AS fold, label, least(label, apart)::double AS prediction FROM r CROSS JOIN m),
+{class_totals('b', 'fold')},
+per_fold AS (SELECT fold // 1000 AS apart, {WEIGHTED_F1} AS v FROM k GROUP BY fold),
+means AS (SELECT apart, avg(v) AS v, count(*)::int AS folds FROM per_fold GROUP BY apart)
+SELECT point, params, 'f1' AS metric, round(v, 6) AS avg_metric, folds,
+  point = first_value(point) OVER (ORDER BY round(v, 12) DESC, point) AS best
+FROM p JOIN means USING (apart)"""
+
+
+ORACLE["cv_reference_dt"] = _halving("decision_tree", DEFAULT_FOLDS)
+ORACLE["cv_reference_rf"] = _halving("random_forest", REFERENCE_FOLDS["random_forest"])
+
 # --- evaluation ---------------------------------------------------------------
 
 _WEIGHTED = f"""sum(a)::bigint AS n, sum(h) / sum(a) AS accuracy,
