@@ -31,6 +31,7 @@ from discern.operators.cleaning import (
 from discern.operators.curves import auc
 from discern.operators.importance import permutation_importance, permuted_accuracy, tree_importances, with_donor
 from discern.operators.profile import distinct_count, profile
+from discern.operators.rounds import fit_in_rounds
 from discern.operators.split import (
     SPARSE_SPLIT_SEED,
     sample_with_replacement,
@@ -40,6 +41,7 @@ from discern.operators.split import (
     with_split,
 )
 from discern.operators.tuning import DEFAULT_FOLDS, REFERENCE_FOLDS, cross_validate, grid, preset_grid
+from discern.operators.wide_pca import project_wide, wide_components
 from discern.plans import inputs as I
 from discern.plans.jobs import deep_classifier, dense_multiclass, second_stage, sparse_binary
 from discern.sources.handoff import read_split, write_split
@@ -306,6 +308,28 @@ def pca_spectrum(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(figures)
 
 
+@query
+def wide_pca_lengths(spark: SparkSession, directory: str) -> DataFrame:
+    """Length of every document's centred vector, 2**18 wide, in terms of its components."""
+    rows = I.wide_letters(spark, directory)
+    found = project_wide(rows, wide_components(rows, 26))
+    square = F.aggregate("components", F.lit(0.0), lambda a, b: a + b * b)
+    return found.select("doc_id", F.round(F.sqrt(square), 4).alias("length"))
+
+
+@query
+def wide_pca_spectrum(spark: SparkSession, directory: str) -> DataFrame:
+    """Trace and norm of the covariance of 2**18 columns from the variances of its components."""
+    rows = I.wide_letters(spark, directory)
+    found = wide_components(rows, 26)
+    shares = F.array(*[F.lit(v) for v in found.variances])
+    total = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b)
+    squares = F.aggregate(shares, F.lit(0.0), lambda a, b: a + b * b)
+    # the means of the loadings' table are those of the input's columns
+    counts = found.loadings.agg(F.count("*").alias("n_features"), F.sum("mean").alias("mean_letters"))
+    return counts.select("n_features", F.round("mean_letters", 4).alias("mean_letters"), F.round(total, 3).alias("variance"), F.round(F.sqrt(squares), 3).alias("norm"))
+
+
 # --- naive Bayes and trees with a closed form ---------------------------------
 
 
@@ -511,6 +535,25 @@ def deep_validated(spark: SparkSession, directory: str) -> DataFrame:
     return rounded(parts[0].unionAll(parts[1]))
 
 
+def _deep_rounds(spark: SparkSession, directory: str):
+    parts = stored_split(I.quantity_vectors(spark, directory), I.LINE_ID, (60, 20, 20), keep=["label", "features"])
+    return fit_in_rounds(parts[0], parts[1], 4), parts
+
+
+@query
+def deep_rounds(spark: SparkSession, directory: str) -> DataFrame:
+    """A 32-64-128 net trained in rounds: what the best one by the validation part says of both other parts."""
+    found, (_, validation, test) = _deep_rounds(spark, directory)
+    parts = [_confusion_of(found.model, rows).withColumn("part", F.lit(name)) for name, rows in (("validation", validation), ("test", test))]
+    return parts[0].unionAll(parts[1])
+
+
+@query
+def deep_rounds_log(spark: SparkSession, directory: str) -> DataFrame:
+    """The validation figure after each round of that net, and the round that is taken."""
+    return rounded(_deep_rounds(spark, directory)[0].log)
+
+
 @query
 def second_stage_mlp(spark: SparkSession, directory: str) -> DataFrame:
     table = with_split(I.embedding_table(spark, directory), ["vec_id"])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pyspark.ml.feature import OneHotEncoder
+from pyspark.ml.feature import HashingTF, OneHotEncoder
 
 from discern.functions.hashing import hash32
 from discern.functions.text import LETTERS, letter_counts
@@ -50,6 +50,15 @@ def letter_table(spark: SparkSession, directory: str) -> DataFrame:
     return documents.select("doc_id", "lang", *letter_counts(F.col("text")))
 
 
+def wide_letters(spark: SparkSession, directory: str, width: int = 1 << 18) -> DataFrame:
+    """``doc_id, features``: letter counts of the whole text at hashed places of a very wide sparse vector."""
+    documents = spread(read_table(spark, directory, "documents").select("doc_id", "text"), ["doc_id"])
+    letters = F.translate(F.coalesce("text", F.lit("")), LETTERS.upper(), LETTERS)
+    tokens = F.filter(F.split(F.regexp_replace(letters, "[^a-z]", ""), ""), lambda x: x != "")
+    hashed = HashingTF(inputCol="tokens", outputCol="features", numFeatures=width).transform(documents.select("doc_id", tokens.alias("tokens")))
+    return hashed.select("doc_id", "features")
+
+
 def url_table(spark: SparkSession, directory: str) -> DataFrame:
     """``page_id, url, label``; ``label`` is 1.0 for URLs that carry a query string."""
     pages = spread(read_table(spark, directory, "pages").select("page_id", "url"), ["page_id"])

@@ -17,6 +17,7 @@ from discern.operators.curves import auc
 from discern.operators.features import assembler, fold_width, principal_components, with_known_index
 from discern.operators.importance import permutation_importance
 from discern.operators.metrics import binary_report, confusion, confusion_matrix, macro_report, multiclass_report
+from discern.operators.rounds import fit_in_rounds
 from discern.operators.split import (
     SPARSE_SPLIT_SEED,
     SPLIT_SEED,
@@ -200,11 +201,14 @@ def deep_classifier(
     folds: int | None = None,
     weights: Sequence[float] = (60, 20, 20),
     seed: int = SPLIT_SEED,
+    rounds: int | None = None,
     **params: object,
 ) -> JobResult:
     """A deep net with a training, a validation and a test part, and importances.
 
-    With ``folds`` the training part is also cross-validated at these settings.
+    With ``folds`` the training part is also cross-validated at these settings.  With ``rounds`` the
+    validation part decides how long the net is trained (``fit_in_rounds``; ``maxIter`` is then
+    the steps of a round), and the report ``rounds`` tells how.
     """
     rows = df.select(*ids, *features, F.col(label).cast("double").alias("label"))
     vectors = assembler(features)
@@ -215,7 +219,13 @@ def deep_classifier(
         reports["tuning"] = cross_validate(
             training.select(*ids, "label", "features"), net, grid(net, {}), ids, folds, refit=False
         ).results
-    model = net.fit(training)
+    if rounds is None:
+        model = net.fit(training)
+    else:
+        more = {k: v for k, v in params.items() if k != "maxIter"}
+        steps = {"iterations": params["maxIter"]} if "maxIter" in params else {}
+        trained = fit_in_rounds(training, validation, num_classes, hidden, rounds, **steps, **more)
+        model, reports["rounds"] = trained.model, trained.log
     predictions = model.transform(test)
     counts = _stored_counts(predictions)
     reports |= {

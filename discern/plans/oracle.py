@@ -355,6 +355,11 @@ ORACLE["second_stage_lines"] = f"""WITH {STEPS}
 SELECT label AS actual, prediction AS predicted, count(*) AS n FROM steps WHERE h >= {CUT_80} GROUP BY 1, 2"""
 
 
+ORACLE["deep_rounds"] = f"""WITH {LINES}
+SELECT CASE WHEN h < {CUT_80} THEN 'validation' ELSE 'test' END AS part, label::double AS actual, clean::double AS predicted, count(*) AS n
+FROM (SELECT *, {hash32(LINE_KEY, SPLIT_SEED)} AS h FROM lines) WHERE h >= {CUT_60} GROUP BY ALL"""
+
+
 def _layers(hidden: tuple[int, ...], net: str) -> str:
     sizes = ["width", *[str(h) for h in hidden], "classes"]
     terms = [f"({a} + 1) * {b}" for a, b in zip(sizes, sizes[1:])]
@@ -369,6 +374,17 @@ WITH shape AS (SELECT max(len(embedding)) AS width, count(DISTINCT label) AS cla
     [_layers((16, 32), "multilayer_perceptron"), _layers((32, 64, 128), "deep"), _layers((256, 256, 256), "second_stage")]
 )
 
+_LETTERS = f"""
+letters AS (SELECT doc_id, c, length(regexp_replace(coalesce(text, ''), '[^' || c || upper(c) || ']', '', 'g'))::double AS n
+  FROM documents, (SELECT unnest([{', '.join(f"'{c}'" for c in LETTERS)}]) AS c))"""
+ORACLE["wide_pca_lengths"] = f"""WITH {_LETTERS},
+means AS (SELECT c, avg(n) AS mean FROM letters GROUP BY c)
+SELECT doc_id, round(sqrt(sum((n - mean) * (n - mean))), 4) AS length FROM letters JOIN means USING (c) GROUP BY doc_id"""
+ORACLE["wide_pca_spectrum"] = f"""WITH {_LETTERS},
+cells AS (SELECT a.c AS a, b.c AS b, covar_samp(a.n, b.n) AS v, avg(a.n) AS mean FROM letters a JOIN letters b USING (doc_id) GROUP BY ALL)
+SELECT count(*) FILTER (a = b AND mean > 0) AS n_features, round(sum(mean) FILTER (a = b), 4) AS mean_letters,
+  round(sum(v) FILTER (a = b), 3) AS variance, round(sqrt(sum(v * v)), 3) AS norm FROM cells"""
+
 # --- tuning -------------------------------------------------------------------
 
 
