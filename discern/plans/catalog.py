@@ -208,6 +208,13 @@ def hash_folds(spark: SparkSession, directory: str) -> DataFrame:
     return folds.groupBy("fold").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
 
 
+@query
+def shuffle_tenth(spark: SparkSession, directory: str) -> DataFrame:
+    """A tenth of all line items, the first of the shuffled order, without sorting all of them."""
+    lines = read_table(spark, directory, "lineitem").select(*I.LINE_ID)
+    return shuffled_top(lines, I.LINE_ID, lines.count() // 10)
+
+
 @query
 def shuffle_top_n(spark: SparkSession, directory: str) -> DataFrame:
     return shuffled_top(read_table(spark, directory, "lineitem").select(*I.LINE_ID), I.LINE_ID, 1000)

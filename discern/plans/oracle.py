@@ -171,6 +171,9 @@ FROM (SELECT l_quantity, {hash32(LINE_KEY, SPLIT_SEED)} AS h FROM lineitem) GROU
 ORACLE["hash_folds"] = f"""
 SELECT ({hash32(LINE_KEY, FOLD_SEED)} % 10)::int AS fold, count(*) AS n, sum(l_quantity) AS quantity
 FROM lineitem GROUP BY 1"""
+ORACLE["shuffle_tenth"] = f"""
+SELECT {', '.join(LINE_ID)} FROM lineitem
+QUALIFY row_number() OVER (ORDER BY {md5_of(LINE_KEY, SAMPLE_SEED)}, {', '.join(LINE_ID)}) <= (SELECT count(*) // 10 FROM lineitem)"""
 ORACLE["shuffle_top_n"] = f"""
 SELECT {', '.join(LINE_ID)} FROM lineitem ORDER BY {md5_of(LINE_KEY, SAMPLE_SEED)}, {', '.join(LINE_ID)} LIMIT 1000"""
 _COPIES = " + ".join(f"(u >= '{cut!r}'::double)::int" for cut in poisson_cuts(0.1))

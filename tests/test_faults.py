@@ -126,3 +126,14 @@ def test_category_index_keeps_its_metadata(spark):
     indexed = X.index_categories(table)
     assert sorted(r.c for r in indexed.collect()) == [0.0, 0.0, 1.0, 2.0]
     assert indexed.schema["c"].metadata["ml_attr"] == {"type": "nominal", "name": "c", "num_vals": 3}
+
+
+def test_first_n_without_a_sort(spark):
+    """Any number of rows, with a hot id and null ids, is what the shuffled order starts with."""
+    from discern.operators.split import shuffle_rows, shuffled_top
+
+    rows = spark.createDataFrame([(k % 300 if k % 3 else 7,) for k in range(900)] + [(None,)] * 5, "id long").repartition(4)
+    order = [r.id for r in shuffle_rows(rows, ["id"]).collect()]
+    for n in (0, 1, 10, 90, 400, 905, 2000):
+        got = shuffled_top(rows, ["id"], n)
+        assert sorted(map(str, (r.id for r in got.collect()))) == sorted(map(str, order[:n])), n
