@@ -152,9 +152,10 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
 
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without id,
     link with nothing; neither do vectors of different lengths.  Every row of the input gives one
-    row.  Rows that repeat an id are one vector if they are equal; an id on different vectors is
-    not checked for.  Returns vec_id, n_links, component_id, kept; without an id the component is
-    null and the row is kept.
+    row.  Rows that repeat an id are one vector if they are equal; an id on different vectors stands
+    for each of them by itself: each has its own links, all of which are counted, and its own
+    component, which is named by the least id in it.  Returns vec_id, n_links, component_id, kept;
+    without an id the component is null and the row is kept.
     """
     kept = stored(vectors.sparkSession, "lattice")
     taken = usable(F.col(vector_col)) & F.exists(vector_col, lambda x: x != 0) & F.col(id_col).isNotNull()
@@ -163,9 +164,20 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.when(taken, plain).alias("vector"))
     rows = rows.withColumn("class", F.when(F.col("vector").isNotNull(), F.sha2(F.to_json(F.struct("vector")), 256)))
     there = rows.where(F.col("vector").isNotNull())
-    classes = kept.keep(there.groupBy("class").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("copies")), "classes")
-    first = there.withColumnRenamed("vec_id", "id").join(classes, ["id", "class"], "left_semi").dropDuplicates(["id"])
-    first = kept.keep(first.select("id", "vector", F.size("vector").alias("width")), "first")
+    # one row for each id of a class before the classes are counted
+    ids = there.groupBy("class", "vec_id").agg(F.first("vector").alias("vector"))
+    classes = ids.groupBy("class").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector"))
+    classes = kept.keep(classes, "least")
+    # a class whose least id is that of several classes goes by a hash
+    several = classes.groupBy("least").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    several = kept.keep(several.select(F.col("least").alias("several")), "several")
+    if unique := several.isEmpty():
+        classes = classes.withColumn("id", F.col("least"))
+    else:
+        classes = classes.join(several, F.col("least") == F.col("several"), "left")
+        classes = classes.withColumn("id", F.when(F.col("several").isNull(), F.col("least")).otherwise(F.xxhash64("class")))
+    classes = kept.keep(classes.select("class", "id", "least", "copies", "vector"), "classes")
+    first = classes.select("id", "vector", F.size("vector").alias("width"))
     packed = kept.keep(first.mapInPandas(_packed, "id long, raw binary"), "packed")
     filed = kept.keep(first.mapInPandas(_filed, "cell long, id long, home boolean, s0 long, s1 long"), "filed")
     busy = filed.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("home").cast("int")).alias("homes")).where("n > 1 AND homes > 0")
@@ -187,8 +199,13 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_
     labels = components(links, kept, "components")
     ends = links.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("id"), F.col("a").alias("other")))
     linked = ends.join(classes.select(F.col("id").alias("other"), "copies"), "other").groupBy("id").agg(F.sum("copies").alias("others"))
-    whole = classes.join(linked, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
-    whole = whole.select("class", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("label", "id").alias("component"))
+    whole = classes.drop("vector").join(linked, "id", "left").join(labels.withColumnRenamed("node", "id"), "id", "left")
+    whole = whole.withColumn("label", F.coalesce("label", "id"))
+    if unique:
+        whole = whole.withColumn("component", F.col("label"))
+    else:
+        whole = whole.join(whole.groupBy("label").agg(F.min("least").alias("component")), "label")
+    whole = whole.select("class", (F.coalesce("others", F.lit(0)) + F.col("copies") - 1).alias("links"), "component")
     whole = kept.keep(whole, "whole")
     answer = rows.select("vec_id", "class").join(whole, "class", "left")
     component = F.coalesce("component", "vec_id")

@@ -151,7 +151,8 @@ def top_k(
     Rows without id, and vectors that are null, empty or hold null or non-finite components, take
     no part; vectors are compared only with vectors of their own length.  All rows with the
     query's id are its own.  Ties go to the smaller id; with fewer candidates all are returned.
-    An id on several rows keeps its best score once.  Returns query_id, rank, vec_id, score.
+    An id on several rows keeps its best score once; a query id on several vectors asks with each
+    of them, and a candidate's score is the best of these.  Returns query_id, rank, vec_id, score.
     """
     spark = vectors.sparkSession
     kept = stored(spark, "top-k")
@@ -171,8 +172,8 @@ def top_k(
     hashed = rows.withColumn("home", F.pmod(F.xxhash64(F.lit("shard"), "id", "vector"), F.lit(shards)).cast("int"))
     hashed = hashed.withColumn("floor", F.lit(float("-inf")))
     packed = kept.keep(_blocks(hashed, ["home"]).drop("floors"), "shards")
-    asks = hashed.where("asks").select("id", "vector", "width", "home", "floor").dropDuplicates(["id", "width"])
-    sub = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(max(1, shard_rows // QUERY_BLOCK))).cast("int")
+    asks = hashed.where("asks").select("id", "vector", "width", "home", "floor")
+    sub = F.pmod(F.xxhash64(F.lit("block"), "id", "vector"), F.lit(max(1, shard_rows // QUERY_BLOCK))).cast("int")
     per_home = _blocks(asks.withColumn("sub", sub), ["home", "sub"])
 
     def answers(blocks: DataFrame) -> DataFrame:
@@ -187,7 +188,7 @@ def top_k(
     kth = kept.keep(kth, "kth")
     # In the second round every shard sees every query, block by block, with the shared score.
     known = asks.drop("floor").join(kth, "id", "left").withColumn("floor", F.coalesce(F.col("kth").cast("double"), F.lit(float("-inf"))))
-    blocks = F.pmod(F.xxhash64(F.lit("block"), "id"), F.lit(max(1, shards * shard_rows // (QUERY_BLOCK * 50)))).cast("int")
+    blocks = F.pmod(F.xxhash64(F.lit("block"), "id", "vector"), F.lit(max(1, shards * shard_rows // (QUERY_BLOCK * 50)))).cast("int")
     spread = _blocks(known.drop("kth").withColumn("block", blocks), ["block"])
     spread = spread.withColumn("home", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
     every = answers(spread).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
