@@ -42,6 +42,8 @@ class BallTree:
         self.radii: list[float] = []
         self._build(0, len(rows))
         self.centre, self.radius = np.array(self.centres), np.array(self.radii)
+        self.sorted = self.rows[self.order]  # a node's rows lie side by side
+        self.largest = max(1.0, float(np.abs(rows).max()))
 
     def _build(self, lo: int, hi: int) -> int:
         own = self.rows[self.order[lo:hi]]
@@ -63,7 +65,7 @@ class BallTree:
         """(score, -id) of the best ``k`` ids with a row not below ``floor``, by their best row; ties to the smaller id."""
         bounds = self.centre @ query + np.sqrt(query @ query) * self.radius
         bounds += 1e-9 * (np.abs(bounds) + 1)  # never prune by rounding
-        exact = np.abs(query).sum() * max(1.0, np.abs(self.rows).max()) < _EXACT
+        exact = np.abs(query).sum() * self.largest < _EXACT
         found: list[tuple[int, int]] = []
         held: dict[int, int] = {}  # the best score of each id in found
         queue = [(-bounds[0], 0)]
@@ -77,13 +79,15 @@ class BallTree:
                     if bounds[child] >= floor:
                         heapq.heappush(queue, (-bounds[child], child))
                 continue
-            at = self.order[lo:hi]
             if exact:
-                scores = (self.rows[at] @ query).astype(np.int64)
+                scores = (self.sorted[lo:hi] @ query).astype(np.int64)
             else:
-                scores = np.array([sum(int(a) * int(b) for a, b in zip(r, query)) for r in self.rows[at]], dtype=object)
-            for score, i in zip(scores.tolist(), ids[at].tolist()):
-                if i == own_id or score < floor:
+                scores = np.array([sum(int(a) * int(b) for a, b in zip(r, query)) for r in self.sorted[lo:hi]], dtype=object)
+            high = np.flatnonzero(scores >= floor)
+            if not len(high):
+                continue
+            for score, i in zip(scores[high].tolist(), ids[self.order[lo:hi][high]].tolist()):
+                if i == own_id:
                     continue
                 if i in held:
                     if score > held[i]:
