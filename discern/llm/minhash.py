@@ -258,12 +258,13 @@ def near_duplicates(
     def confirmed(pairs: DataFrame, name: str) -> DataFrame:
         """Of the pairs (x, y) those that are links on their full shingle sets."""
         pairs = kept.keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"pairs-{name}")
-        wanted = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
+        # as a table its size is known: where it is small enough to be broadcast, no text is shuffled
+        wanted = kept.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"wanted-{name}")
         sets = kept.keep(rows.join(wanted, "doc_id").mapInArrow(_full_sets(width), "id long, set binary"), f"sets-{name}")
         with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
         found = kept.keep(both.mapInArrow(_confirm(percent), "a long, b long"), f"links-{name}")
-        kept.drop(f"sets-{name}", f"pairs-{name}")
+        kept.drop(f"sets-{name}", f"pairs-{name}", f"wanted-{name}")
         return found
 
     def unconnected() -> DataFrame:
@@ -307,26 +308,33 @@ def near_duplicates(
         enough = 100 * most >= percent * (F.col(f"{x}.n") + F.col(f"{y}.n") - most)
         return (F.col(f"{x}.label") != F.col(f"{y}.label")) & enough & (wide_estimate(F.col(f"{x}.wide"), F.col(f"{y}.wide")) >= WIDE_ESTIMATE)
 
-    def mixed(name: str) -> DataFrame:
-        """The keys that hold more than one component: (bucket, row of a member, members)."""
+    def mixed(name: str, earlier: bool) -> DataFrame:
+        """The keys that hold more than one component: (bucket, row of a member, members).
+
+        With ``earlier`` a member's row has those of its keys that come before this one.
+        """
         now = filed.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("label", F.coalesce("label", "id"))
         now = kept.keep(now, f"{name}-now")
         by_key = now.select("id", "label", F.explode("keys").alias("bucket"))
         both = by_key.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi")
-        members = by_key.select("id", "bucket").join(both.select("bucket", "size"), "bucket")
-        return kept.keep(members.join(now.select("id", F.struct("id", "n", "common", "wide", "keys", "label").alias("x")), "id").select("bucket", "x", "size"), name)
-
-    open_ = mixed("mixed")
+        members = by_key.select("id", "bucket").join(both.select("bucket", "size"), "bucket").join(now if earlier else now.drop("keys"), "id")
+        carried = ["id", "n", "common", "wide", "label"]
+        if earlier:
+            members = members.withColumn("earlier", F.filter("keys", lambda k: k < F.col("bucket")))
+            carried.append("earlier")
+        return kept.keep(members.select("bucket", F.struct(*carried).alias("x"), "size"), name)
+
+    open_ = mixed("mixed", False)
     purest = F.struct(F.col("x.common") / F.col("x.n"), -F.col("x.id"))
     pairs = open_.join(open_.groupBy("bucket").agg(F.max_by("x", purest).alias("y")), "bucket").where(possible("x", "y"))
     links = links.unionByName(confirmed(pairs.select("x.id", "y.id").toDF("x", "y"), "purest"))
     labels = components(links, kept, "components-purest")
     # What may still be a link between components, in blocks of the members of a key.
-    open_ = mixed("rest").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    open_ = mixed("rest", True).withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
     open_ = open_.withColumn("block", F.pmod(F.xxhash64(F.lit("block"), "x.id"), F.col("blocks")).cast("int"))
     left = open_.select("bucket", "x", F.col("block").alias("i"), F.explode(F.sequence("block", F.col("blocks") - 1)).alias("j"))
     right = open_.select("bucket", F.col("x").alias("y"), F.col("block").alias("j"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("i"))
-    once = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("bucket")
+    once = ~F.arrays_overlap("x.earlier", "y.earlier")
     rest = left.join(right, ["bucket", "i", "j"]).where(((F.col("i") < F.col("j")) | (F.col("x.id") < F.col("y.id"))) & possible("x", "y") & once)
     rest = rest.select("x.id", "y.id").toDF("x", "y")
     links = links.unionByName(confirmed(rest, "pairs"))
