@@ -69,6 +69,13 @@ def hashed_urls(spark: SparkSession, directory: str, width: int) -> DataFrame:
     return hashed_terms(url_table(spark, directory), "url", width, kind="url").select("page_id", "label", "features")
 
 
+def noisy_urls(spark: SparkSession, directory: str, width: int) -> DataFrame:
+    """As :func:`hashed_urls`, with the label reversed on every seventh page, which no feature tells."""
+    wrong = F.coalesce(F.col("page_id") % 7 == 0, F.lit(False))
+    label = F.when(wrong, 1 - F.col("label")).otherwise(F.col("label"))
+    return hashed_urls(spark, directory, width).withColumn("label", label)
+
+
 def line_rules(spark: SparkSession, directory: str) -> DataFrame:
     """Line items with labels that follow from the quantity, one in seven of them wrong.
 

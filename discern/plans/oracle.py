@@ -318,6 +318,24 @@ SELECT *, {{ratios}}, round(correct / nullif(total, 0)::double, 6) AS accuracy,
   round({{mcc}}, 6) AS mcc FROM counts"""
 
 
+ORACLE["best_words"] = rf"""WITH RECURSIVE
+docs AS (SELECT doc_id, toxic AS label, text FROM documents JOIN labels USING (doc_id) WHERE NOT {DOC_TEST}),
+tokens AS (SELECT doc_id, label, unnest([t for t in string_split_regex(text, '\s+') if t <> '']) AS token FROM docs),
+{MURMUR},
+sizes AS (SELECT count(*)::double AS n, count(*) FILTER (label = 0)::double AS n0, count(*) FILTER (label = 1)::double AS n1 FROM docs WHERE text IS NOT NULL),
+present AS (SELECT (h % 262144)::int AS place, count(DISTINCT doc_id) AS n_rows, count(DISTINCT doc_id) FILTER (label = 0) AS o0,
+                   count(DISTINCT doc_id) FILTER (label = 1) AS o1 FROM tokens JOIN places USING (token) GROUP BY 1),
+scored AS (SELECT place, n_rows, CASE WHEN n_rows < n THEN
+  (n * o0 - n_rows * n0) * (n * o0 - n_rows * n0) / (n0 * n_rows * (n - n_rows)) + (n * o1 - n_rows * n1) * (n * o1 - n_rows * n1) / (n1 * n_rows * (n - n_rows))
+  ELSE 0 END AS statistic FROM present, sizes)
+SELECT row_number() OVER (ORDER BY round(statistic, 9) DESC, place)::int AS rank, place, n_rows, round(statistic, 4) AS statistic
+FROM scored ORDER BY rank LIMIT 200"""
+for _name in ("dt_selected", "mlp_selected"):
+    ORACLE[_name] = f"""
+SELECT CASE WHEN page_id % 7 = 0 THEN 1 - clean ELSE clean END AS actual, clean AS predicted, count(*) AS n
+FROM (SELECT page_id, contains(url, '?')::int::double AS clean FROM pages WHERE {PAGE_TEST}) GROUP BY 1, 2"""
+
+
 def _majority(actual: str, predicted: str) -> str:
     return f"""WITH {LINES}
 SELECT {actual}::double AS actual, {predicted}::double AS predicted, count(*) AS n FROM lines WHERE is_test GROUP BY 1, 2"""
@@ -510,6 +528,13 @@ ORACLE["auc_many_scores"] = _areas(
     f"{_ROC}, {_FIRST}, {_ONE}",
 )
 
+ORACLE["auc_sketched"] = """WITH
+bins AS (SELECT least(floor(greatest(0, least(131072, score)) / 131072.0::double * 2048), 2047) AS bin,
+                count(*) FILTER (big)::double AS tp, count(*) FILTER (NOT big)::double AS fp
+         FROM (SELECT l_quantity > 25 AS big, (l_extendedprice + 100 * l_quantity)::double AS score FROM lineitem) GROUP BY 1),
+curve AS (SELECT tp, fp, coalesce(sum(tp) OVER (ORDER BY bin DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS above FROM bins)
+SELECT round(sum(fp * (2 * above + tp)) / (2 * sum(tp) * sum(fp)), 9) AS auc_roc, round(sum(fp * tp) / (2 * sum(tp) * sum(fp)), 9) AS error,
+       count(*) AS n_bins FROM curve"""
 _COUNTS = """counts AS (
   SELECT count(*) AS total, count(*) FILTER (label = prediction) AS correct,
          count(*) FILTER (label <> prediction) AS wrong,

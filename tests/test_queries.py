@@ -12,13 +12,13 @@ from tests.compare import duck, spark_side, sql_side
 SLOW = {
     "cv_deep_mlp", "dense_job_lines", "mlp_folded", "sparse_job_urls", "second_stage_lines", "deep_lines", "tuned_refit", "cv_grid_dt", "cv_grid_lr", "cv_grid_lr_sparse", "cv_grid_rf", "cv_grid_rf_sparse", "cv_grid_svm",
     "deep_mlp", "cv_reference_rf", "deep_rounds", "deep_rounds_log", "deep_validated", "dense_pca_lr", "lr_documents", "lr_multinomial", "mlp_hashed", "mlp_multiclass",
-    "rf_multiclass", "rf_sparse", "second_stage_mlp", "svm_linear", "svm_quantity",
+    "rf_multiclass", "rf_sparse", "second_stage_mlp", "svm_linear", "svm_quantity", "dt_selected", "mlp_selected",
 }
 
 
 SLOW_DIR = "/root/testdata/sf0.01"
 # Of these, run by default: every kind of grid search and the choice of its winner.
-ALWAYS = {"cv_reference_rf", "cv_grid_dt", "cv_grid_lr", "cv_grid_rf", "cv_grid_svm", "tuned_refit", "sparse_job_urls"}
+ALWAYS = {"cv_reference_rf", "cv_grid_dt", "cv_grid_lr", "cv_grid_rf", "cv_grid_svm", "tuned_refit", "sparse_job_urls", "dt_selected", "mlp_selected"}
 
 
 @pytest.fixture(scope="module")
