@@ -9,7 +9,6 @@ from pyspark.ml.classification import (
     DecisionTreeClassifier,
     LinearSVC,
     LogisticRegression,
-    MultilayerPerceptronClassifier,
     NaiveBayes,
     RandomForestClassifier,
 )
@@ -17,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from discern.operators.features import vector_width
+from discern.operators.perceptron import Perceptron
 
 # Settings of the published experiments.
 DEFAULTS: dict[str, dict[str, object]] = {
@@ -41,7 +41,7 @@ _CLASSES = {
     "random_forest": RandomForestClassifier,
     "linear_svm": LinearSVC,
     "naive_bayes": NaiveBayes,
-    "multilayer_perceptron": MultilayerPerceptronClassifier,
+    "multilayer_perceptron": Perceptron,
 }
 
 
@@ -65,10 +65,10 @@ def perceptron(
     hidden: Sequence[int] = HIDDEN_LAYERS["multilayer_perceptron"],
     features: str = "features",
     **params: object,
-) -> MultilayerPerceptronClassifier:
+) -> Perceptron:
     """A multilayer perceptron that fits ``df``.
 
-    The solver makes blocks dense, ``blockSize`` rows at a time.  A width that would
+    Equal rows are summed first (``discern.operators.perceptron``).  The solver makes blocks dense.  A width that would
     fill a task's memory is refused: cut it first.
     """
     layers = perceptron_layers(df, hidden, num_classes, features)
