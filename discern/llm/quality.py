@@ -135,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, learn: Column, id_col: str, text_c
     marked = marked.agg(F.min(F.col(label_col).cast("int")).alias("label"), F.max(F.col(label_col).cast("int")).alias("other"))
     marked = marked.where("id IS NOT NULL AND label = other").select("id", "label")
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    found = balanced_sample(texts.join(marked, "id"), PER_LABEL, 2 * PER_LABEL).repartition(1).mapInPandas(_train, "model binary").collect()
+    found = balanced_sample(texts, PER_LABEL, 2 * PER_LABEL, marks=marked).repartition(1).mapInPandas(_train, "model binary").collect()
     return pickle.loads(found[0]["model"]) if found else None
 
 

@@ -131,3 +131,20 @@ def test_conflicting_labels_are_not_learned(spark):
         table = spark.createDataFrame(rows, "doc_id long, quality int").repartition(3)
         answers.append(sorted((r.doc_id, r.score) for r in rate_quality(docs.repartition(4), table, F.lit(False)).collect()))
     assert np.allclose(answers[0], answers[1]) and np.allclose(answers[0], answers[2]) and clean.count() == 60
+
+
+def test_a_sample_by_marks_shuffles_no_text(spark):
+    """Labels of another table draw the rows that a join before the draw gives, and no text is shuffled to them."""
+    from discern.llm.sampling import balanced_sample
+
+    rows = spark.createDataFrame([(i % 40, f"text {i % 60}") for i in range(200)] + [(None, "x"), (5, None)], "id long, text string")
+    marks = spark.createDataFrame([(i, i % 2) for i in range(30)] + [(31, None)], "id long, label int")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        light = balanced_sample(rows, 7, 14, marks=marks)
+        plan = light._jdf.queryExecution().optimizedPlan().toString()
+        assert sorted(light.collect()) == sorted(balanced_sample(rows.join(marks, "id"), 7, 14).collect())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert len(joins) == 2 and sum("broadcast" in line for line in joins) == 1  # the texts' own join needs no shuffle
