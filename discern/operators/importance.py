@@ -15,6 +15,8 @@ from discern.operators.classifiers import last_stage
 PERMUTE_SEED = 31337
 # Rows exchange values within buckets, each sorted by one task: about one for 100,000 rows, and several rows in each.
 BUCKETS = 32
+# Hex digits of the order by which a bucket is cut into slices, each of them sorted on its own.
+SLICE_DIGITS = 3
 
 
 def after_assembling(model: Model, features: str = "features") -> list[Model]:
@@ -47,16 +49,26 @@ def with_donor(
     Rows fall into hash buckets of their (unique) id; inside a bucket each row takes
     from the row before it in hash order, the first one from the last.  The permutation
     depends on the ids, the seed and the number of ``buckets`` alone.
+
+    A bucket is sorted in slices of the hash order, 4,096 at most, so a task's rows do not follow
+    from the number of buckets.  A slice's first row takes from the last row of the slice before,
+    by a broadcast table of one row a slice.
     """
-    bucket = hash_bucket(ids, seed, buckets)
-    keyed = df.withColumns({"_bucket": bucket, "_order": hash_hex(ids, seed)})
-    order = [F.col("_order"), *[F.col(c) for c in ids]]
-    window = Window.partitionBy("_bucket").orderBy(*order)
-    whole = window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # of the hash's digits the bucket takes the first eight, so the slice's rows lie in all buckets
+    keyed = df.withColumns({"_bucket": hash_bucket(ids, seed, buckets), "_order": hash_hex(ids, seed)})
+    keyed = keyed.withColumn("_slice", F.substring("_order", 1, SLICE_DIGITS))
     packed = F.struct(*columns)
-    donor = F.coalesce(F.lag(packed).over(window), F.last(packed).over(whole))
+    # equal ids: the values decide, so that the slice's last row is the same one here and below
+    order = [F.col(c) for c in ["_order", *ids, *columns]]
+    ends = keyed.groupBy("_bucket", "_slice").agg(F.max_by(packed, F.struct(*order)).alias("_end"))
+    slices = Window.partitionBy("_bucket").orderBy("_slice")
+    whole = slices.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = ends.select("_bucket", "_slice", F.coalesce(F.lag("_end").over(slices), F.last("_end").over(whole)).alias("_before"))
+    window = Window.partitionBy("_bucket", "_slice").orderBy(*order)
+    donor = F.coalesce(F.lag(packed).over(window), F.col("_before"))
     return (
-        keyed.withColumn("_donor", donor)
+        keyed.join(F.broadcast(before), ["_bucket", "_slice"])
+        .withColumn("_donor", donor)
         .select(*df.columns, *[F.col(f"_donor.{c}").alias(f"donor_{c}") for c in columns])
     )
 

@@ -126,6 +126,27 @@ def test_donor_is_a_permutation(blobs):
     assert sum(r.a == r.donor_a for r in rows) < 5
 
 
+def test_donors_follow_the_hash_order_across_slices(spark):
+    """The row before in the bucket's whole order, though only slices of a bucket are sorted by a task."""
+    from hashlib import md5
+
+    rows = spark.range(500).select("id", (F.col("id") * 3).alias("a"))
+    donors = with_donor(rows, ["a"], ["id"], buckets=3, seed=8)
+    expected, buckets = {}, {}
+    for i in range(500):
+        digest = md5(f"8:{i}".encode()).hexdigest()
+        buckets.setdefault(int(digest[:8], 16) % 3, []).append((digest, i))
+    for own in buckets.values():
+        order = [i for _, i in sorted(own)]
+        expected |= {i: 3 * order[k - 1] for k, i in enumerate(order)}
+    assert {r.id: r.donor_a for r in donors.collect()} == expected
+    windows = [line for line in donors._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Window [" in line and "_order" in line]
+    assert windows and all("_slice" in line for line in windows)
+    twice = rows.unionAll(rows.withColumn("a", F.col("a") + 1)).unionAll(rows.limit(3))
+    found = with_donor(twice, ["a"], ["id"], buckets=3).collect()
+    assert sorted(r.a for r in found) == sorted(r.donor_a for r in found) and len(found) == 1003
+
+
 def test_importances_find_the_columns_that_matter(blobs):
     model = C.classifier("random_forest", numTrees=10).fit(blobs)
     loss = {r.feature: r.importance for r in permutation_importance(blobs, model, ["a", "b", "c", "d"], ["id"]).collect()}
