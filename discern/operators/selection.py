@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 
 #: More classes or kept features than this are an error: both are lists on the driver.
 MOST_CLASSES, MOST_KEPT = 1000, 65_536
+#: Stored entries that a worker counts at a time: about 100 bytes each.
+ENTRIES = 1 << 18
 
 
 def presence_counts(df: DataFrame, label: str = "label", column: str = "features") -> DataFrame:
     """``place, label, n``: rows of each class in which a feature is not zero.
 
-    Work follows the stored entries, not the width.  A batch is counted before it leaves its task,
-    so a feature of every row sends one record a batch.  Rows without label or vector are left out.
+    Work follows the stored entries, not the width.  Rows of ``ENTRIES`` stored entries are counted at a time,
+    whatever a batch holds, so a feature of every row sends one record for them.  Rows without label or vector are left out.
     """
     rows = df.where(F.col(label).isNotNull() & F.col(column).isNotNull())
     rows = rows.select(F.col(label).cast("double").alias("label"), F.col(column).alias("features"))
@@ -26,13 +28,24 @@ def presence_counts(df: DataFrame, label: str = "label", column: str = "features
     return counted.groupBy("place", "label").agg(F.sum("n").alias("n"))
 
 
-def _presence():
+def _presence(most: int = ENTRIES):
     """The function that workers run; all it needs is inside it, so they need not have this package."""
 
+    def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        """Runs of rows of at most ``most`` stored entries, or one row of more."""
+        import pyarrow.compute as pc
+
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(1).field("values")), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        start, before = 0, 0
+        while start < batch.num_rows:
+            end = max(start + 1, int(np.searchsorted(ends, before + most, side="right")))
+            yield batch.slice(start, end - start)
+            start, before = end, int(ends[end - 1])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
 
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             labels, vectors = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1)
             stored = vectors.field("values")
             lengths = pc.fill_null(pc.list_value_length(stored), 0).to_numpy(zero_copy_only=False)

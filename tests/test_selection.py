@@ -89,3 +89,29 @@ def test_sketched_area_is_within_its_bound(spark, bins):
     one_class = auc_sketch(table.where(F.col("label") == 1)).first()
     assert one_class.auc_roc is None and one_class.error is None
     assert auc_sketch(table.limit(0)).first().auc_roc is None
+
+
+def test_presence_is_counted_a_few_rows_at_a_time():
+    """However many rows a batch holds, what is counted at once has a bounded number of stored entries."""
+    import pyarrow as pa
+
+    from discern.operators.selection import _presence
+
+    rng = np.random.default_rng(6)
+    sizes = [0, 3, 40, 0, 7, 7, 0, 1, 20, 5]
+    indices = [sorted(rng.choice(50, n, replace=False).tolist()) for n in sizes] + [None]
+    vector = pa.struct([("type", pa.int8()), ("size", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float64()))])
+    cells = [None if i is None else {"type": 0, "size": 50, "indices": i, "values": [1.0] * len(i)} for i in indices]
+    labels = [float(k % 2) for k in range(len(cells))]
+    batch = pa.RecordBatch.from_arrays([pa.array(labels), pa.array(cells, vector)], names=["label", "features"])
+    counts = {}
+    parts = list(_presence(10)(iter([batch])))
+    assert len(parts) > 4 and all(pa.compute.sum(p.column(2)).as_py() in (None, 20, 40) or pa.compute.sum(p.column(2)).as_py() <= 10 for p in parts)
+    for part in parts:
+        for r in part.to_pylist():
+            counts[r["place"], r["label"]] = counts.get((r["place"], r["label"]), 0) + r["n"]
+    expected = {}
+    for y, own in zip(labels, indices):
+        for i in own or []:
+            expected[i, y] = expected.get((i, y), 0) + 1
+    assert counts == expected
