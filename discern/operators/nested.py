@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import Executor
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -23,15 +23,17 @@ from pyspark.sql import functions as F
 
 from discern.sources.scratch import discard, scratch_path
 
-DEPTH = "maxDepth"
+DEPTH, TREES = "maxDepth", "numTrees"
 
 
 @dataclass(frozen=True)
 class Group:
-    """Points that differ in depth only: the fit of the deepest, and the depth of each point by its place."""
+    """Points that differ in depth, or in depth and trees, only: the fit of the largest, and the depth of each point by its place."""
 
     deepest: Mapping[Param, object]
     depths: Mapping[int, int]
+    # by place the trees of a smaller forest, where the fit has more
+    trees: Mapping[int, int] = field(default_factory=dict)
 
 
 def exact_depths(head: Estimator, point: Mapping[Param, object]) -> bool:
@@ -50,20 +52,32 @@ def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], shar
     """Points by what they have besides the depth; a group of one is fitted as it is.
 
     ``share``: ``None`` joins points where that changes nothing, ``True`` also in forests that draw
-    columns, ``False`` never.
+    columns, ``False`` never.  ``True`` also joins forests of two trees or more that differ in their number:
+    trees are drawn and grown apart, so the first ones of a forest are a smaller forest with draws of
+    its own.  One tree alone draws no rows, and stays apart.
     """
     alone = [Group(p, {i: 0}) for i, p in enumerate(points)]
     if share is False or not isinstance(head, (DecisionTreeClassifier, RandomForestClassifier)) or head.isDefined("thresholds"):
         return alone
     depth = head.getParam(DEPTH)
+    many = head.getParam(TREES) if share and isinstance(head, RandomForestClassifier) else None
+
+    def trees(i: int) -> int:
+        return int(points[i].get(many, head.getOrDefault(TREES))) if many else 1
+
     found: dict[object, list[int]] = defaultdict(list)
     for i, point in enumerate(points):
-        rest = tuple(sorted((p.name, repr(v)) for p, v in point.items() if p.name != DEPTH))
+        free = {DEPTH, TREES} if trees(i) > 1 else {DEPTH}
+        rest = (trees(i) > 1, *sorted((p.name, repr(v)) for p, v in point.items() if p.name not in free))
         found[rest if share or exact_depths(head, point) else i].append(i)
     groups = []
     for own in found.values():
         depths = {i: int(points[i].get(depth, head.getOrDefault(DEPTH))) for i in own}
-        groups.append(Group(points[max(own, key=lambda i: depths[i])], depths))
+        if len({trees(i) for i in own}) > 1:
+            largest = {**points[own[0]], depth: max(depths.values()), many: max(map(trees, own))}
+            groups.append(Group(largest, depths, {i: trees(i) for i in own}))
+        else:
+            groups.append(Group(points[max(own, key=lambda i: depths[i])], depths))
     return groups
 
 
@@ -121,8 +135,8 @@ def stopped_tree(nodes: Sequence, depths: Sequence[int]) -> dict:
     }
 
 
-def _walkers(models: Sequence[Sequence[dict]], points: Sequence[Sequence[tuple[int, int]]], label: int, vector: int):
-    """The function that workers run: rows to (label, model, prediction), ``model`` being a point's place."""
+def _walkers(models: Sequence[Sequence[dict]], points: Sequence[Sequence[tuple[int, int, int]]], label: int, vector: int, kept: Sequence[str] = ()):
+    """The function that workers run: rows to (label, model, prediction, kept columns), ``model`` being a point's place."""
     used = np.unique(np.concatenate([t["feature"][t["left"] >= 0] for m in models for t in m] or [np.zeros(0, np.int64)]))
 
     def columns(vectors: pa.StructArray) -> np.ndarray:
@@ -167,21 +181,24 @@ def _walkers(models: Sequence[Sequence[dict]], points: Sequence[Sequence[tuple[i
         for batch in batches:
             x = columns(batch.column(vector))
             for trees, own in zip(models, points):
-                depths = sorted({d for _, d in own})
+                depths = sorted({d for _, d, _ in own})
                 votes = dict.fromkeys(depths, 0.0)
-                for tree in trees:
+                asked = []
+                for grown, tree in enumerate(trees, 1):
                     for depth, share in walk(tree, x, depths):
                         votes[depth] = votes[depth] + share
-                for point, depth in own:
-                    names = ["label", "model", "prediction"]
-                    found = votes[depth].argmax(axis=1).astype(float)
-                    yield pa.RecordBatch.from_arrays([batch.column(label), pa.array(np.full(len(found), point, np.int32)), pa.array(found)], names=names)
+                    # a point without a number of trees takes all of them
+                    asked += [(point, votes[depth].argmax(axis=1).astype(float)) for point, depth, most in own if grown == (most or len(trees))]
+                for point, found in asked:
+                    names = ["label", "model", "prediction", *kept]
+                    more = [batch.column(vector + 1 + i) for i in range(len(kept))]
+                    yield pa.RecordBatch.from_arrays([batch.column(label), pa.array(np.full(len(found), point, np.int32)), pa.array(found), *more], names=names)
 
     return run
 
 
-def stopped_predictions(models: Sequence[Model], groups: Sequence[Group], rows: DataFrame, label: str, pool: Executor) -> DataFrame:
-    """``label, model, prediction`` of every point of ``groups``: one scan of ``rows``, one walk a tree.
+def stopped_predictions(models: Sequence[Model], groups: Sequence[Group], rows: DataFrame, label: str, pool: Executor, kept: Sequence[str] = ()) -> DataFrame:
+    """``label, model, prediction`` and the ``kept`` doubles of the row, of every point of ``groups``: one scan of ``rows``, one walk a tree.
 
     ``models`` are the fits of the groups' deepest points; ``model`` is the place of a point in the grid.
     """
@@ -193,6 +210,6 @@ def stopped_predictions(models: Sequence[Model], groups: Sequence[Group], rows:
     discard(spark, root)
     made = [[stopped_tree(nodes[key], sorted(set(g.depths.values()))) for key in sorted(nodes) if key[0] == i] for i, g in enumerate(groups)]
     features = models[0].getOrDefault("featuresCol")
-    run = _walkers(made, [sorted(g.depths.items()) for g in groups], 0, 1)
+    run = _walkers(made, [[(p, d, g.trees.get(p, 0)) for p, d in sorted(g.depths.items())] for g in groups], 0, 1, kept)
     known: Column = F.col(label).isNotNull()
-    return rows.where(known).select(F.col(label).cast("double").alias("label"), features).mapInArrow(run, "label double, model int, prediction double")
+    return rows.where(known).select(F.col(label).cast("double").alias("label"), features, *kept).mapInArrow(run, ", ".join(["label double, model int, prediction double", *[f"{c} double" for c in kept]]))

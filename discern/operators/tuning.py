@@ -13,7 +13,8 @@ from dataclasses import dataclass
 from threading import Lock
 
 from pyspark import inheritable_thread_target
-from pyspark.ml import Estimator, Model, Pipeline
+from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
+from pyspark.ml.classification import DecisionTreeClassifier, LinearSVC, LogisticRegression, RandomForestClassifier
 from pyspark.ml.param import Param
 from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
@@ -62,6 +63,11 @@ PRESETS = {"reference": REFERENCE_GRIDS, "small": SMALL_GRIDS}
 # Models whose predictions are counted in one scan of a validation fold.
 MODELS_PER_SCAN = 24
 
+# Equal rows are joined into rows of a weight, none of more than about this part of all rows: solvers
+# correct the scale of a feature by the largest weights, and so by less than a hundred-thousandth.
+PIECES = 1 << 17
+WEIGHT = "_n"
+
 # The driver-side eigen solver of PCA keeps static state and fails when two run at once.
 _ONE_SOLVER = Lock()
 
@@ -121,7 +127,8 @@ def predictions_side_by_side(models: Sequence[Model], rows: DataFrame, label: st
     pairs = F.array(
         *[F.struct(F.lit(i).alias("model"), F.col(f"_p{i}").alias("prediction")) for i in range(len(models))]
     )
-    return scored.select(F.col(label).alias("label"), F.inline(pairs))
+    kept = [WEIGHT] if WEIGHT in rows.columns else []
+    return scored.select(F.col(label).alias("label"), *kept, F.inline(pairs))
 
 
 def _class_counts(predictions: DataFrame) -> dict[int, list[tuple]]:
@@ -129,7 +136,7 @@ def _class_counts(predictions: DataFrame) -> dict[int, list[tuple]]:
     counts = (
         predictions.filter(F.col("label").isNotNull())
         .groupBy("model", F.col("label").cast("double").alias("actual"), F.col("prediction").alias("predicted"))
-        .agg(F.count("*").alias("n"))
+        .agg((F.sum(WEIGHT) if WEIGHT in predictions.columns else F.count("*")).cast("long").alias("n"))
     )
     # whole counts, one row per model and class: the figure does not depend on the order of a shuffle
     totals = per_class(counts, "model").select("model", "class", "n_actual", "n_predicted", "n_correct").collect()
@@ -205,6 +212,26 @@ def search_key(folded: DataFrame, stages: Sequence[Estimator], param_maps: Seque
     return hashlib.sha256(text.encode()).hexdigest()[:32]
 
 
+def can_weigh(head: Estimator, points: Sequence[Mapping[Param, object]]) -> bool:
+    """Whether a fit of rows with weights is the fit of that many rows: forests draw rows, some nets know no weights."""
+    if not isinstance(head, (DecisionTreeClassifier, LinearSVC, LogisticRegression)) or head.isSet("weightCol"):
+        return False
+    if not isinstance(head, DecisionTreeClassifier):
+        return True
+    least = head.getParam("minInstancesPerNode")  # counts rows, whatever they weigh
+    return all(point.get(least, head.getOrDefault(least)) == 1 for point in points)
+
+
+def weighted_rows(df: DataFrame, path: str) -> DataFrame:
+    """Equal rows of ``df`` as few rows with a ``WEIGHT``; their table is written to ``path``."""
+    counted = materialize(df.groupBy(*df.columns).agg(F.count("*").alias("_all")), "weighted", path=path)
+    most = -(-(counted.agg(F.sum("_all")).first()[0] or 1) // PIECES)
+    parts = F.ceil(F.col("_all") / F.lit(most)).cast("long")
+    pieces = counted.select("*", parts.alias("_parts"), F.explode(F.sequence(F.lit(1).cast("long"), parts)).alias("_part"))
+    share = F.floor(F.col("_all") / F.col("_parts")) + (F.col("_part") <= F.col("_all") % F.col("_parts")).cast("long")
+    return pieces.select(*df.columns, share.cast("double").alias(WEIGHT))
+
+
 def cross_validate(
     df: DataFrame,
     estimator: Estimator,
@@ -217,20 +244,26 @@ def cross_validate(
     refit: bool = True,
     ledger: str | None = None,
     share_depths: bool | None = None,
+    weigh: bool = False,
 ) -> TunedModel:
     """Pick the grid point with the best mean ``metric`` over ``k`` folds.
 
-    The rows are written once, sorted by fold inside each file, so that a validation
-    fold is read without the pages of the others.  Stages before the last are fitted once per fold, on its
+    The rows are written once, sorted by fold and id inside each file, so that a validation
+    fold is read without the pages of the others and forests draw from one order of rows.  Stages before the last are fitted once per fold, on its
     training rows.  ``parallelism`` fits of a fold run side by side, each with its own copy
     of the fold in memory; all its models are then scored in shared scans.  Folds follow from the row ids, so another partitioning or a
     retry gives the same ones.
 
     Tree points that differ in depth only share one fit of the deepest, stopped at each depth
     (``discern.operators.nested``): always where that changes nothing, with ``share_depths=True`` also
-    in forests that draw columns for each node, with ``False`` never.  With ``ledger``, a folder that
+    in forests that draw columns for each node, with ``False`` never.  With ``True``, forests that differ in
+    their number of trees (more than one) share a fit as well: the smaller one is the first trees of the larger.  With ``ledger``, a folder that
     outlives the driver, the counts of every finished fold and point are kept there, and a search
     that is run again fits only what is not there.
+
+    ``weigh`` is for features of few values: rows that are equal but for their ids become rows with weights
+    (at least ``PIECES`` of them, if there are as many), for the fits and the scores.  It holds for
+    linear models and single trees without weights of their own; stages before the last see all rows.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose from {sorted(METRICS)}")
@@ -239,18 +272,30 @@ def cross_validate(
     if any(param.parent != head.uid for point in param_maps for param in point):
         raise ValueError("the grid may only vary the last stage")
     spark = df.sparkSession
-    path = scratch_path(spark, "folds")
+    path, light_path = scratch_path(spark, "folds"), scratch_path(spark, "weighted")
+    weigh = weigh and can_weigh(head, param_maps)
     try:
-        folded = materialize(with_fold(df, ids, k), "folds", sort_by=["fold"], path=path)
+        folded = with_fold(df, ids, k)
+        if before or not weigh:
+            folded = materialize(folded, "folds", sort_by=["fold", *ids], path=path)
+            if isinstance(head, RandomForestClassifier):  # draws go by partition, and a folder is listed in any order
+                folded = spark.read.schema(folded.schema).parquet(*sorted(folded.inputFiles()))
+        whole = folded
+        if weigh:
+            folded = weighted_rows(folded.drop(*(c for c in ids if c != label)), light_path)
+            head = head.copy({head.weightCol: WEIGHT})
         book = Ledger(spark, ledger, search_key(folded, stages, param_maps, k, label, share_depths)) if ledger else None
         groups = depth_groups(head, param_maps, share_depths)
-        means, folds = _mean_scores(folded, before, head, groups, len(param_maps), label, metric, parallelism, book)
+        means, folds = _mean_scores(folded, whole, before, head, groups, len(param_maps), label, metric, parallelism, book)
         best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, round(means[i] or 0.0, DIGITS), -i))
         model = None
         if refit:
-            model = Pipeline(stages=[*before, head.copy(param_maps[best])]).fit(folded.drop("fold"))
+            fixed = Pipeline(stages=before).fit(whole.drop("fold")).stages if before else []
+            light = PipelineModel(fixed).transform(folded.drop("fold"))
+            model = PipelineModel([*fixed, head.copy(param_maps[best]).fit(light)])
     finally:
         discard(spark, path)
+        discard(spark, light_path)
     points = [{p.name: v for p, v in point.items()} for point in param_maps]
     rows = [(i, _describe(points[i]), metric, means[i], folds, i == best) for i in range(len(param_maps))]
     schema = "point int, params string, metric string, avg_metric double, folds int, best boolean"
@@ -259,6 +304,7 @@ def cross_validate(
 
 def _mean_scores(
     folded: DataFrame,
+    whole: DataFrame,
     before: Sequence[Estimator],
     head: Estimator,
     groups: Sequence[Group],
@@ -283,19 +329,19 @@ def _mean_scores(
             validation = folded.filter(F.col("fold") == fold).drop("fold")
             if before:
                 with _ONE_SOLVER:
-                    fixed = Pipeline(stages=before).fit(training)
+                    fixed = Pipeline(stages=before).fit(whole.filter(F.col("fold") != fold).drop("fold"))
                 training, validation = fixed.transform(training), fixed.transform(validation)
         for start in range(0, len(missing), MODELS_PER_SCAN):
             chunk = missing[start : start + MODELS_PER_SCAN]
             models = list(fits.map(on_thread(lambda g: head.fit(training, dict(g.deepest))), chunk))
-            plain = [i for i, g in enumerate(chunk) if len(g.depths) == 1]
+            plain = [i for i, g in enumerate(chunk) if len(g.depths) == 1]  # fitted as they are
             nested = [i for i, g in enumerate(chunk) if len(g.depths) > 1]
             fresh: dict[int, list[tuple]] = {p: [] for g in chunk for p in g.depths}
             if plain:
                 found = _class_counts(predictions_side_by_side([models[i] for i in plain], validation, label))
                 fresh |= {next(iter(chunk[plain[i]].depths)): c for i, c in found.items()}
             if nested:
-                fresh |= _class_counts(stopped_predictions([models[i] for i in nested], [chunk[i] for i in nested], validation, label, fits))
+                fresh |= _class_counts(stopped_predictions([models[i] for i in nested], [chunk[i] for i in nested], validation, label, fits, [c for c in (WEIGHT,) if c in folded.columns]))
             if book:
                 book.add(fold, fresh)
             counts |= fresh

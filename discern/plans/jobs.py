@@ -49,6 +49,7 @@ def _tuned(
     parallelism: int,
     ledger: str | None,
     sparse: bool = False,
+    weigh: bool = False,
 ) -> tuple[Model, dict[str, DataFrame]]:
     if values is None:
         return pipeline.fit(training), {}
@@ -56,7 +57,7 @@ def _tuned(
     if isinstance(values, str):
         values, own = preset_of(pipeline.getStages()[-1], values, sparse)
     tuned = cross_validate(
-        training, pipeline, grid(pipeline, values), ids, folds or own, metric=metric, parallelism=parallelism, ledger=ledger, share_depths=True
+        training, pipeline, grid(pipeline, values), ids, folds or own, metric=metric, parallelism=parallelism, ledger=ledger, share_depths=True, weigh=weigh
     )
     return tuned.model, {"tuning": tuned.results}
 
@@ -102,6 +103,7 @@ def dense_multiclass(
     parallelism: int = 1,
     index_labels: bool = True,
     ledger: str | None = None,
+    weigh: bool = False,
 ) -> JobResult:
     """Wide numeric table to a tuned multi-class model and its reports.
 
@@ -110,6 +112,7 @@ def dense_multiclass(
     folder from which an ended search goes on.  PCA belongs to the pipeline and
     sees training rows only.  Labels are indexed by frequency over all rows, so no
     class number stays empty; ``index_labels=False`` takes them as they are.
+    ``weigh`` is for features of few values (``cross_validate``).
     """
     df, ids = _identified(df, ids)
     columns = df.select(*ids, F.col(label).alias("_raw"), *features)
@@ -119,7 +122,7 @@ def dense_multiclass(
     if components is not None:
         stages.append(principal_components(training, components))
         estimator = estimator.copy({estimator.getParam("featuresCol"): "pca_features"})
-    model, reports = _tuned(training, Pipeline(stages=[*stages, estimator]), values, ids, folds, metric, parallelism, ledger)
+    model, reports = _tuned(training, Pipeline(stages=[*stages, estimator]), values, ids, folds, metric, parallelism, ledger, weigh=weigh)
     predictions = model.transform(test)
     counts = _stored_counts(predictions)
     reports |= {

@@ -1,7 +1,8 @@
 """Grid search: depths that share a fit, and searches that go on where they were ended."""
 
+import numpy as np
 import pytest
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import VectorIndexer
 from pyspark.sql import functions as F
 
@@ -113,3 +114,44 @@ def test_search_goes_on_where_it_was_ended(rows, tmp_path, monkeypatch):
     search(refit=False)
     assert Dies.fits == 12
     Dies.fits = 0
+
+
+def test_smaller_forests_are_the_first_trees(rows):
+    """Points that differ in their number of trees share a fit, whose first trees vote for the smaller ones."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    head = RandomForestClassifier(seed=1, featureSubsetStrategy="all")
+    points = T.grid(head, {"maxDepth": [2, 4], "numTrees": [1, 2, 5]})
+    groups = N.depth_groups(head, points, True)
+    assert sorted(len(g.depths) for g in groups) == [2, 4] and len(N.depth_groups(head, points)) == 3
+    (group,) = [g for g in groups if g.trees]
+    assert {(group.depths[i], group.trees[i]) for i in group.depths} == {(d, n) for d in (2, 4) for n in (2, 5)}
+    model = head.fit(rows, dict(group.deepest))
+    with ThreadPoolExecutor(2) as pool:
+        got = N.stopped_predictions([model], [group], rows, "label", pool).groupBy("model").agg(F.sum("prediction").alias("s"), F.count("*").alias("n"))
+        got = {r.model: (r.s, r.n) for r in got.collect()}
+    votes = None
+    for k, tree in enumerate(model.trees, 1):
+        own = np.array([r.p for r in tree.transform(rows).select("id", F.col("probability").alias("p")).orderBy("id").collect()])
+        votes = own if votes is None else votes + own
+        for i in group.depths:
+            if group.depths[i] == 4 and group.trees[i] == k:
+                assert got[i] == (float(votes.argmax(axis=1).sum()), len(votes))
+
+
+@pytest.mark.parametrize("make", [lambda: DecisionTreeClassifier(seed=1), lambda: LogisticRegression(regParam=0.01)])
+def test_weighted_rows_give_the_same_search(spark, monkeypatch, make):
+    """Rows equal but for their ids are one row with a weight; scores and the refitted model stay."""
+    n = F.col("id")
+    few = spark.range(600).select("id", (n % 2).cast("double").alias("label"), (n % 5).cast("double").alias("a"), (n % 3 + n % 2).cast("double").alias("b"))
+    few = assembler(["a", "b"]).transform(few).select("id", "label", "features")
+    monkeypatch.setattr(T, "PIECES", 300)
+    light = T.weighted_rows(few.drop("id"), f"{T.scratch_path(spark, 'light')}")
+    assert light.count() < 400 and light.agg(F.sum(T.WEIGHT), F.max(T.WEIGHT)).first()[:] == (600.0, 2.0)
+    head = make()
+    grown = {"maxDepth": [1, 3]} if isinstance(head, DecisionTreeClassifier) else {"maxIter": [2, 20]}
+    found = [T.cross_validate(few, head, T.grid(head, grown), ["id"], 3, weigh=w) for w in (False, True)]
+    assert scores(found[0]) == scores(found[1])
+    told = [f.model.transform(few).orderBy("id").select("prediction").collect() for f in found]
+    assert told[0] == told[1]
+    assert not T.can_weigh(RandomForestClassifier(), [{}])
