@@ -48,11 +48,11 @@ def exact_depths(head: Estimator, point: Mapping[Param, object]) -> bool:
     return subset == "all" or (subset == "auto" and trees == 1)
 
 
-def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], share: bool | None = None) -> list[Group]:
+def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], share: bool | None = None, share_trees: bool = False) -> list[Group]:
     """Points by what they have besides the depth; a group of one is fitted as it is.
 
     ``share``: ``None`` joins points where that changes nothing, ``True`` also in forests that draw
-    columns, ``False`` never.  ``True`` also joins forests of two trees or more that differ in their number:
+    columns, ``False`` never.  ``share_trees`` with ``True`` also joins forests of two trees or more that differ in their number:
     trees are drawn and grown apart, so the first ones of a forest are a smaller forest with draws of
     its own.  One tree alone draws no rows, and stays apart.
     """
@@ -60,7 +60,7 @@ def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], shar
     if share is False or not isinstance(head, (DecisionTreeClassifier, RandomForestClassifier)) or head.isDefined("thresholds"):
         return alone
     depth = head.getParam(DEPTH)
-    many = head.getParam(TREES) if share and isinstance(head, RandomForestClassifier) else None
+    many = head.getParam(TREES) if share and share_trees and isinstance(head, RandomForestClassifier) else None
 
     def trees(i: int) -> int:
         return int(points[i].get(many, head.getOrDefault(TREES))) if many else 1

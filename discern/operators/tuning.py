@@ -200,7 +200,7 @@ def finished_tables(spark: SparkSession, path: str) -> list[tuple[int, str]]:
     return [(int(p.getName().split("-")[1]), p.toString()) for p in found if files.exists(hadoop(p, "_SUCCESS"))]
 
 
-def search_key(folded: DataFrame, stages: Sequence[Estimator], param_maps: Sequence[Mapping[Param, object]], k: int, label: str, share: bool | None) -> str:
+def search_key(folded: DataFrame, stages: Sequence[Estimator], param_maps: Sequence[Mapping[Param, object]], k: int, label: str, share: object) -> str:
     """A fingerprint of a search: settings, grid, folds, and the rows in any order."""
     settings = [[type(s).__name__, sorted((p.name, repr(v)) for p, v in s.extractParamMap().items())] for s in stages]
     # a default output name holds the stage's own number
@@ -245,6 +245,7 @@ def cross_validate(
     ledger: str | None = None,
     share_depths: bool | None = None,
     weigh: bool = False,
+    share_trees: bool = False,
 ) -> TunedModel:
     """Pick the grid point with the best mean ``metric`` over ``k`` folds.
 
@@ -256,7 +257,7 @@ def cross_validate(
 
     Tree points that differ in depth only share one fit of the deepest, stopped at each depth
     (``discern.operators.nested``): always where that changes nothing, with ``share_depths=True`` also
-    in forests that draw columns for each node, with ``False`` never.  With ``True``, forests that differ in
+    in forests that draw columns for each node, with ``False`` never.  With ``share_trees`` besides, forests that differ in
     their number of trees (more than one) share a fit as well: the smaller one is the first trees of the larger.  With ``ledger``, a folder that
     outlives the driver, the counts of every finished fold and point are kept there, and a search
     that is run again fits only what is not there.
@@ -284,8 +285,8 @@ def cross_validate(
         if weigh:
             folded = weighted_rows(folded.drop(*(c for c in ids if c != label)), light_path)
             head = head.copy({head.weightCol: WEIGHT})
-        book = Ledger(spark, ledger, search_key(folded, stages, param_maps, k, label, share_depths)) if ledger else None
-        groups = depth_groups(head, param_maps, share_depths)
+        book = Ledger(spark, ledger, search_key(folded, stages, param_maps, k, label, [share_depths, True] if share_trees else share_depths)) if ledger else None
+        groups = depth_groups(head, param_maps, share_depths, share_trees)
         means, folds = _mean_scores(folded, whole, before, head, groups, len(param_maps), label, metric, parallelism, book)
         best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, round(means[i] or 0.0, DIGITS), -i))
         model = None

@@ -665,7 +665,7 @@ def cv_reference_rf(spark: SparkSession, directory: str) -> DataFrame:
     forest = C.classifier("random_forest")
     points = preset_grid(forest, "random_forest", "reference")
     rows, folds = I.halving_table(spark, directory), REFERENCE_FOLDS["random_forest"]
-    return rounded(cross_validate(rows, forest, points, ["o_orderkey"], folds, parallelism=8, refit=False, share_depths=True).results)
+    return rounded(cross_validate(rows, forest, points, ["o_orderkey"], folds, parallelism=8, refit=False, share_depths=True, share_trees=True).results)
 
 
 @query

@@ -122,7 +122,7 @@ def test_smaller_forests_are_the_first_trees(rows):
 
     head = RandomForestClassifier(seed=1, featureSubsetStrategy="all")
     points = T.grid(head, {"maxDepth": [2, 4], "numTrees": [1, 2, 5]})
-    groups = N.depth_groups(head, points, True)
+    groups = N.depth_groups(head, points, True, True)
     assert sorted(len(g.depths) for g in groups) == [2, 4] and len(N.depth_groups(head, points)) == 3
     (group,) = [g for g in groups if g.trees]
     assert {(group.depths[i], group.trees[i]) for i in group.depths} == {(d, n) for d in (2, 4) for n in (2, 5)}
