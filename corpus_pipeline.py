@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from discern.llm.common import WORD, fresh, lower_ascii, stored
+from discern.llm.common import WORD, fresh, stored, text_slices
 from discern.llm.language_id import UNKNOWN, predict, train
-from discern.llm.minhash import near_duplicates
+from discern.llm.minhash import near_duplicates, words_of
 from discern.llm.mixing import mix
 from discern.llm.packing import pack
 from discern.llm.queries import tokenizer_path
@@ -42,6 +47,15 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col(lang) != UNKNOWN) & (F.col(score) >= least)).select(*docs.columns)
 
 
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The text in the second column to the SHA-256 of its words in lower case; null without words."""
+    for batch in batches:
+        for rows in text_slices(batch, 500_000):
+            words = [words_of(t) for t in rows.column(1).to_pylist()]
+            keys = [hashlib.sha256(w).hexdigest() if w else None for w in words]
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(keys, pa.string()), *rows.columns[2:]], names=["doc_id", "key", *rows.schema.names[2:]])
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies, that of the least id; a row without id only if no copy has one.
 
@@ -50,11 +64,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     words stay.
     """
     kept = stored(spark, "near-dedup")
-    words = F.array_join(F.regexp_extract_all(lower_ascii(F.col("text")), F.lit(WORD), F.lit(0)), " ")
-    keyed = _boxed(docs, key=F.when(F.length(words) > 0, F.sha2(words, 256)), doc_id=F.col("doc_id"), text=F.col("text"))
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.xxhash64("row"))
-    one = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min_by(F.struct("doc_id", "text", "row"), order).alias("one"))
-    one = kept.keep(one.select("key", "one.*"), "classes")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    # two hashes of all its columns stand for a row: only these are grouped, and a text is moved once, if at all
+    marks = {"mark": F.xxhash64(row), "mark2": F.xxhash64(F.lit(1), row)}
+    slim = docs.select(F.col("doc_id"), F.col("text"), *[c.alias(name) for name, c in marks.items()])
+    schema = StructType([slim.schema["doc_id"], StructField("key", StringType()), *slim.schema.fields[2:]])
+    keyed = kept.keep(slim.mapInArrow(_word_keys, schema), "keyed")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "mark2")
+    one = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min(order).alias("one"))
+    one = kept.keep(one.select("key", "one.doc_id", "one.mark", "one.mark2"), "classes")
     # a class without an id, or whose id stands for several classes, goes by a hash of its key
     several = one.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     several = kept.keep(several.select(F.col("doc_id").alias("several")), "several")
@@ -65,11 +83,17 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         named = named.join(several, F.col("doc_id") == F.col("several"), "left")
     own = F.col("doc_id").isNotNull() & F.col("several").isNull()
     named = named.withColumn("id", F.when(own, F.col("doc_id").cast("long")).otherwise(F.xxhash64("key")))
-    found = near_duplicates(named, id_col="id").select(F.col("doc_id").alias("id"), "component_id")
+    # rows that are equal in all columns share their marks, and one of them stands for them
+    equal = Window.partitionBy("mark", "mark2").orderBy("mark")
+    whole = _boxed(docs, **marks).withColumn("place", F.row_number().over(equal)).where("place = 1")
+    whole = whole.join(named.select("mark", "mark2", "id", "key", "doc_id"), ["mark", "mark2"]).select("id", "key", "doc_id", "row")
+    whole = kept.keep(whole, "rows")
+    found = near_duplicates(whole, id_col="id", text_col="row.text").select(F.col("doc_id").alias("id"), "component_id")
     rank = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("key"))
-    first = named.select("id", "key", "doc_id").join(found, "id").groupBy("component_id").agg(F.min_by("key", rank).alias("key"))
-    rows = one.join(first.select("key"), "key", "left_semi")
-    return _unboxed(rows, docs.columns).unionByName(_unboxed(keyed.where("key IS NULL"), docs.columns))
+    first = whole.select("id", "key", "doc_id").join(found, "id").groupBy("component_id").agg(F.min_by("key", rank).alias("key"))
+    rows = whole.join(first.select("key"), "key", "left_semi")
+    blank = docs.where(~F.coalesce(F.col("text").rlike(WORD), F.lit(False)))
+    return _unboxed(rows, docs.columns).unionByName(blank)
 
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ END_ID = 2
 #: Pieces of a packing shard: large enough to waste next to nothing, small enough for one task.
 SHARD_PIECES = 8192
 #: Distinct word pieces a worker remembers.
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: The characters with Unicode's White_Space property.
@@ -161,7 +161,7 @@ def _pieces(path: str, size: int, end_id: int) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
-            for rows in text_slices(batch):
+            for rows in text_slices(batch, 500_000):
                 out: list[list] = [[], [], [], [], []]
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(texts)):

@@ -143,3 +143,19 @@ def test_language_stage_keeps_clean_documents(spark):
     good = docs.join(spark.read.parquet(f"{directory}/labels.parquet").where("quality = 1").select("doc_id"), "doc_id", "left_semi")
     stays = P.language_id(spark, docs, directory).select("doc_id")
     assert good.where(F.regexp_like("text", F.lit("[A-Za-z]"))).join(stays, "doc_id", "left_anti").count() == 0
+
+
+def test_near_dedup_groups_no_texts(spark, monkeypatch):
+    """What is grouped and sorted by class are marks of rows; a text is stored once."""
+    seen, keep = {}, P.stored.keep
+
+    def watch(self, df, name):
+        if self.operator == "near-dedup":
+            seen[name] = df.schema.simpleString()
+        return keep(self, df, name)
+
+    monkeypatch.setattr(P.stored, "keep", watch)
+    rows = [(k, sentence(k % 3, 30), "en", "s", 1) for k in range(6)] + [(7, " \t\n", "en", "s", 3), (None, None, "en", "s", 0)]
+    after = P.near_dedup(spark, spark.createDataFrame(rows, COLUMNS), "").collect()
+    assert sorted(str(r.doc_id) for r in after) == ["0", "1", "2", "7", "None"]
+    assert [name for name, schema in seen.items() if "text" in schema] == ["rows"] and seen["rows"].count("text:") == 1
