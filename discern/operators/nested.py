@@ -48,19 +48,21 @@ def exact_depths(head: Estimator, point: Mapping[Param, object]) -> bool:
     return subset == "all" or (subset == "auto" and trees == 1)
 
 
-def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], share: bool | None = None, share_trees: bool = False) -> list[Group]:
+def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], share: bool | None = None, share_trees: bool = False, drawn: bool = False) -> list[Group]:
     """Points by what they have besides the depth; a group of one is fitted as it is.
 
     ``share``: ``None`` joins points where that changes nothing, ``True`` also in forests that draw
     columns, ``False`` never.  ``share_trees`` with ``True`` also joins forests of two trees or more that differ in their number:
     trees are drawn and grown apart, so the first ones of a forest are a smaller forest with draws of
-    its own.  One tree alone draws no rows, and stays apart.
+    its own.  One tree alone draws no rows, and stays apart.  Forests ``drawn`` tree by tree
+    (``discern.operators.binning``) share trees wherever they share depths, as that changes nothing in them.
     """
-    alone = [Group(p, {i: 0}) for i, p in enumerate(points)]
+    own_depth = [int(p.get(head.getParam(DEPTH), head.getOrDefault(DEPTH))) if head.hasParam(DEPTH) else 0 for p in points]
+    alone = [Group(p, {i: own_depth[i]}) for i, p in enumerate(points)]
     if share is False or not isinstance(head, (DecisionTreeClassifier, RandomForestClassifier)) or head.isDefined("thresholds"):
         return alone
     depth = head.getParam(DEPTH)
-    many = head.getParam(TREES) if share and share_trees and isinstance(head, RandomForestClassifier) else None
+    many = head.getParam(TREES) if (drawn or share and share_trees) and isinstance(head, RandomForestClassifier) else None
 
     def trees(i: int) -> int:
         return int(points[i].get(many, head.getOrDefault(TREES))) if many else 1
@@ -72,7 +74,7 @@ def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], shar
         found[rest if share or exact_depths(head, point) else i].append(i)
     groups = []
     for own in found.values():
-        depths = {i: int(points[i].get(depth, head.getOrDefault(DEPTH))) for i in own}
+        depths = {i: own_depth[i] for i in own}
         if len({trees(i) for i in own}) > 1:
             largest = {**points[own[0]], depth: max(depths.values()), many: max(map(trees, own))}
             groups.append(Group(largest, depths, {i: trees(i) for i in own}))
@@ -197,19 +199,21 @@ def _walkers(models: Sequence[Sequence[dict]], points: Sequence[Sequence[tuple[i
     return run
 
 
-def stopped_predictions(models: Sequence[Model], groups: Sequence[Group], rows: DataFrame, label: str, pool: Executor, kept: Sequence[str] = ()) -> DataFrame:
+def stopped_predictions(models: Sequence[Model | Sequence[Model]], groups: Sequence[Group], rows: DataFrame, label: str, pool: Executor, kept: Sequence[str] = ()) -> DataFrame:
     """``label, model, prediction`` and the ``kept`` doubles of the row, of every point of ``groups``: one scan of ``rows``, one walk a tree.
 
-    ``models`` are the fits of the groups' deepest points; ``model`` is the place of a point in the grid.
+    ``models`` are the fits of the groups' deepest points, or lists of a forest's trees; ``model`` is the place of a point in the grid.
     """
     spark = rows.sparkSession
     root = scratch_path(spark, "trees")
     nodes: dict[tuple[int, int], list] = defaultdict(list)
-    for node in node_tables(models, spark, pool, root).collect():  # the nodes of models that the driver holds
+    parts = [m if isinstance(m, list) else [m] for m in models]
+    flat, owner = [m for own in parts for m in own], [i for i, own in enumerate(parts) for _ in own]
+    for node in node_tables(flat, spark, pool, root).collect():  # the nodes of models that the driver holds
         nodes[node["model"], node["tree"]].append(node)
     discard(spark, root)
-    made = [[stopped_tree(nodes[key], sorted(set(g.depths.values()))) for key in sorted(nodes) if key[0] == i] for i, g in enumerate(groups)]
-    features = models[0].getOrDefault("featuresCol")
+    made = [[stopped_tree(nodes[key], sorted(set(g.depths.values()))) for key in sorted(nodes) if owner[key[0]] == i] for i, g in enumerate(groups)]
+    features = flat[0].getOrDefault("featuresCol")
     run = _walkers(made, [[(p, d, g.trees.get(p, 0)) for p, d in sorted(g.depths.items())] for g in groups], 0, 1, kept)
     known: Column = F.col(label).isNotNull()
     return rows.where(known).select(F.col(label).cast("double").alias("label"), features, *kept).mapInArrow(run, ", ".join(["label double, model int, prediction double", *[f"{c} double" for c in kept]]))

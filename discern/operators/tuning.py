@@ -20,6 +20,7 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from discern.operators.binning import binned_cells, can_bin, tree_estimators
 from discern.operators.metrics import class_figures, per_class
 from discern.operators.nested import Group, depth_groups, stopped_predictions
 from discern.operators.split import with_fold
@@ -246,6 +247,7 @@ def cross_validate(
     share_depths: bool | None = None,
     weigh: bool = False,
     share_trees: bool = False,
+    bins: bool = False,
 ) -> TunedModel:
     """Pick the grid point with the best mean ``metric`` over ``k`` folds.
 
@@ -265,6 +267,10 @@ def cross_validate(
     ``weigh`` is for features of few values: rows that are equal but for their ids become rows with weights
     (at least ``PIECES`` of them, if there are as many), for the fits and the scores.  It holds for
     linear models and single trees without weights of their own; stages before the last see all rows.
+
+    ``bins`` is for trees and forests on few features: the bins are chosen once for the search, and rows of
+    equal bins are joined (``discern.operators.binning``), where every point splits nodes of one row, forests draw
+    alike and no stage is before them.  The winner is refitted on the rows as they are.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric {metric!r}; choose from {sorted(METRICS)}")
@@ -274,26 +280,32 @@ def cross_validate(
         raise ValueError("the grid may only vary the last stage")
     spark = df.sparkSession
     path, light_path = scratch_path(spark, "folds"), scratch_path(spark, "weighted")
-    weigh = weigh and can_weigh(head, param_maps)
+    bins = bins and not before and can_bin(head, param_maps)
+    weigh = weigh and not bins and can_weigh(head, param_maps)
+    drawn = bins and isinstance(head, RandomForestClassifier)
     try:
         folded = with_fold(df, ids, k)
-        if before or not weigh:
+        if before or not (weigh or bins):
             folded = materialize(folded, "folds", sort_by=["fold", *ids], path=path)
             if isinstance(head, RandomForestClassifier):  # draws go by partition, and a folder is listed in any order
                 folded = spark.read.schema(folded.schema).parquet(*sorted(folded.inputFiles()))
-        whole = folded
+        whole = folded  # of weighted or binned rows the ones they come from
         if weigh:
             folded = weighted_rows(folded.drop(*(c for c in ids if c != label)), light_path)
             head = head.copy({head.weightCol: WEIGHT})
-        book = Ledger(spark, ledger, search_key(folded, stages, param_maps, k, label, [share_depths, True] if share_trees else share_depths)) if ledger else None
-        groups = depth_groups(head, param_maps, share_depths, share_trees)
-        means, folds = _mean_scores(folded, whole, before, head, groups, len(param_maps), label, metric, parallelism, book)
+        elif bins:
+            folded = materialize(binned_cells(folded, ids, label, head, param_maps, WEIGHT), "cells", path=light_path)
+            head = head if drawn else head.copy({head.weightCol: WEIGHT})
+        settings = [share_depths, share_trees, "bins"] if bins else [share_depths, True] if share_trees else share_depths
+        book = Ledger(spark, ledger, search_key(folded, stages, param_maps, k, label, settings)) if ledger else None
+        groups = depth_groups(head, param_maps, share_depths, share_trees, drawn)
+        means, folds = _mean_scores(folded, whole, before, head, groups, len(param_maps), label, metric, parallelism, book, drawn)
         best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, round(means[i] or 0.0, DIGITS), -i))
         model = None
         if refit:
             fixed = Pipeline(stages=before).fit(whole.drop("fold")).stages if before else []
-            light = PipelineModel(fixed).transform(folded.drop("fold"))
-            model = PipelineModel([*fixed, head.copy(param_maps[best]).fit(light)])
+            light = PipelineModel(fixed).transform((whole if bins else folded).drop("fold"))
+            model = PipelineModel([*fixed, (stages[-1] if bins else head).copy(param_maps[best]).fit(light)])
     finally:
         discard(spark, path)
         discard(spark, light_path)
@@ -314,6 +326,7 @@ def _mean_scores(
     metric: str,
     parallelism: int,
     book: Ledger | None,
+    drawn: bool = False,
 ) -> tuple[list[float | None], int]:
     """Mean score per grid point, and the number of folds that have rows."""
     present = [row[0] for row in folded.select("fold").distinct().collect()]  # at most k rows
@@ -334,9 +347,15 @@ def _mean_scores(
                 training, validation = fixed.transform(training), fixed.transform(validation)
         for start in range(0, len(missing), MODELS_PER_SCAN):
             chunk = missing[start : start + MODELS_PER_SCAN]
-            models = list(fits.map(on_thread(lambda g: head.fit(training, dict(g.deepest))), chunk))
-            plain = [i for i, g in enumerate(chunk) if len(g.depths) == 1]  # fitted as they are
-            nested = [i for i, g in enumerate(chunk) if len(g.depths) > 1]
+            if drawn:
+                trees = [tree_estimators(head, g.deepest) for g in chunk]
+                jobs = [(estimator, training.where(F.col(weight) > 0)) for own in trees for estimator, weight in own]
+                grown = iter(list(fits.map(on_thread(lambda job: job[0].fit(job[1])), jobs)))
+                models = [[next(grown) for _ in own] for own in trees]
+            else:
+                models = list(fits.map(on_thread(lambda g: head.fit(training, dict(g.deepest))), chunk))
+            plain = [i for i, g in enumerate(chunk) if len(g.depths) == 1 and not drawn]  # fitted as they are
+            nested = [i for i, g in enumerate(chunk) if len(g.depths) > 1 or drawn]
             fresh: dict[int, list[tuple]] = {p: [] for g in chunk for p in g.depths}
             if plain:
                 found = _class_counts(predictions_side_by_side([models[i] for i in plain], validation, label))

@@ -632,9 +632,9 @@ def layer_param_counts(spark: SparkSession, directory: str) -> DataFrame:
 # --- tuning -------------------------------------------------------------------
 
 
-def _tuned(rows: DataFrame, estimator, values, ids=I.LINE_ID, metric: str = "f1", weigh: bool = False) -> DataFrame:
+def _tuned(rows: DataFrame, estimator, values, ids=I.LINE_ID, metric: str = "f1", weigh: bool = False, bins: bool = False) -> DataFrame:
     points = grid(estimator, values)
-    return rounded(cross_validate(rows, estimator, points, ids, 3, metric=metric, parallelism=4, refit=False, weigh=weigh).results)
+    return rounded(cross_validate(rows, estimator, points, ids, 3, metric=metric, parallelism=4, refit=False, weigh=weigh, bins=bins).results)
 
 
 @query
@@ -647,7 +647,7 @@ def cv_grid_lr(spark: SparkSession, directory: str) -> DataFrame:
 def cv_grid_dt(spark: SparkSession, directory: str) -> DataFrame:
     """The first point of each depth may not split at all, so the second one must win."""
     values = {"maxDepth": [3, 4], "minInfoGain": [10.0, 0.0]}
-    return _tuned(I.numeric_vectors(spark, directory), C.classifier("decision_tree", maxBins=64), values)
+    return _tuned(I.numeric_vectors(spark, directory), C.classifier("decision_tree", maxBins=64), values, bins=True)
 
 
 @query
@@ -676,7 +676,7 @@ def tuned_refit(spark: SparkSession, directory: str) -> DataFrame:
     """
     training, test = _numeric_split(spark, directory)
     tree = C.classifier("decision_tree", maxDepth=3, maxBins=64)
-    tuned = cross_validate(training, tree, grid(tree, {"minInfoGain": [10.0, 0.0]}), I.LINE_ID, 3, parallelism=4)
+    tuned = cross_validate(training, tree, grid(tree, {"minInfoGain": [10.0, 0.0]}), I.LINE_ID, 3, parallelism=4, bins=True)
     return _confusion_of(tuned.model, test)
 
 
