@@ -684,7 +684,7 @@ def tuned_refit(spark: SparkSession, directory: str) -> DataFrame:
 def cv_grid_rf(spark: SparkSession, directory: str) -> DataFrame:
     values = {"maxDepth": [3], "numTrees": [3, 5]}
     forest = C.classifier("random_forest", maxBins=64, featureSubsetStrategy="all")
-    return _tuned(I.numeric_vectors(spark, directory), forest, values)
+    return _tuned(I.numeric_vectors(spark, directory), forest, values, bins=True)
 
 
 @query
