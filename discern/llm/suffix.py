@@ -23,8 +23,10 @@ from discern.llm.common import stored, text_slices
 
 WINDOW, GRAM = 100, 24
 REACH = WINDOW - GRAM + 1
-#: Contexts of one anchor in one shard; bytes of a suffix array.
-SHARD_CONTEXTS, SHARD_BYTES = 4096, 1 << 22
+#: Contexts of one anchor in one shard; bytes of a suffix array, which takes about a hundred times as much memory.
+SHARD_CONTEXTS, SHARD_BYTES = 4096, 1 << 20
+#: Bytes of text that a task hashes, cuts or joins at once.
+SLICE_BYTES = 250_000
 #: Repeated ids that are broadcast, the most frequent first; no other is on more than one row in as many.
 HOT_IDS = 1000
 
@@ -84,7 +86,7 @@ def anchors(texts: list[bytes]) -> tuple[np.ndarray, ...]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, text, tie) to the runs of windows: anchor, context, document and the run as one number."""
     for batch in batches:
-        for rows in text_slices(batch.filter(batch.column(0).is_valid()), 1_000_000):
+        for rows in text_slices(batch.filter(batch.column(0).is_valid()), SLICE_BYTES):
             owner, first, last, at, key, context = anchors([(t or "").encode() for t in rows.column(1).to_pylist()])
             ids, ties = (rows.column(c).to_numpy(zero_copy_only=False)[owner] for c in (0, 2))
             packed = (first << 16) | ((last - first) << 8) | at
@@ -317,26 +319,27 @@ def _merge(rows: pa.Table) -> pa.Table:
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, tie, text, wanted runs) to contexts with their bytes."""
     for batch in batches:
-        out: list[list] = [[], [], [], [], [], [], []]
-        for doc_id, tie, text, wanted in zip(*(batch.column(i) for i in range(4))):
-            raw, doc_id, tie = text.as_py().encode(), doc_id.as_py(), tie.as_py()
-            for w in wanted.as_py():
-                first = w["run"] >> 16
-                last = first + (w["run"] >> 8 & 0xFF)
-                for column, value in zip(out, (w["key"], w["shard"], w["shards"], doc_id, tie, first, raw[first : last + WINDOW])):
-                    column.append(value)
-        types = [pa.int64()] * 6 + [pa.binary()]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(out, types)], names=["key", "shard", "shards", "doc_id", "tie", "start", "bytes"]
-        )
+        for rows in text_slices(batch, SLICE_BYTES, column=2):
+            out: list[list] = [[], [], [], [], [], [], []]
+            for doc_id, tie, text, wanted in zip(*(rows.column(i) for i in range(4))):
+                raw, doc_id, tie = text.as_py().encode(), doc_id.as_py(), tie.as_py()
+                for w in wanted.as_py():
+                    first = w["run"] >> 16
+                    last = first + (w["run"] >> 8 & 0xFF)
+                    for column, value in zip(out, (w["key"], w["shard"], w["shards"], doc_id, tie, first, raw[first : last + WINDOW])):
+                        column.append(value)
+            types = [pa.int64()] * 6 + [pa.binary()]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, t) for c, t in zip(out, types)], names=["key", "shard", "shards", "doc_id", "tie", "start", "bytes"]
+            )
 
 
 def _removed(as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(text, intervals, carried columns) to the kept bytes and the removed spans."""
     span = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-    for batch in batches:
+    for rows in (r for batch in batches for r in text_slices(batch, SLICE_BYTES, column=0)):
         sizes, kept, spans = [], [], []
-        for text, found in zip(batch.column(0), batch.column(1)):
+        for text, found in zip(rows.column(0), rows.column(1)):
             raw, own, pieces, at = (text.as_py() or "").encode(), [], [], 0
             for first, last in sorted((f["first"], f["last"]) for f in found.as_py() or ()):
                 if own and first <= own[-1]["to"]:
@@ -351,8 +354,8 @@ def _removed(as_text: bool, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             kept.append(left.decode("utf-8", "ignore") if as_text else left)
             spans.append(own)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, span), *batch.columns[2:]],
-            names=["n_bytes", "kept", "removed", *batch.schema.names[2:]],
+            [pa.array(sizes, pa.int64()), pa.array(kept, pa.string() if as_text else pa.binary()), pa.array(spans, span), *rows.columns[2:]],
+            names=["n_bytes", "kept", "removed", *rows.schema.names[2:]],
         )
 
 

@@ -298,6 +298,41 @@ def test_suffix_with_a_frequent_line_over_several_shards(spark, monkeypatch):
     assert got == plain_removed(rows)
 
 
+def test_suffix_in_small_shards_and_slices(spark, monkeypatch):
+    """Where a shard, a slice or a batch ends changes nothing."""
+    from discern.llm import suffix as S
+
+    rows = [(k, None if k == 7 else f"{prose(k, 12)} {prose(k % 5, 30)} é {prose(k % 3, 25)} {prose(99, 30)}") for k in range(40)]
+    table = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(S, "SHARD_BYTES", 700)
+    monkeypatch.setattr(S, "SLICE_BYTES", 1500)
+    got = S.remove_repeats(table, carry=("doc_id", "text")).collect()
+    assert {(r.doc_id, r.text) for r in got} == set(rows) and {r.doc_id: bytes(r.kept) for r in got} == plain_removed(rows)
+
+
+def test_a_suffix_shard_takes_little_memory():
+    """Three megabytes of contexts of many anchors, in a peak that does not grow with them."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from discern.llm import suffix as S
+
+    texts = np.random.default_rng(5).integers(97, 123, (18_000, 160), np.uint8)
+    texts[1::2] = texts[::2]  # two contexts of one anchor differ in one byte
+    texts[1::2, 120] = 48
+    n = len(texts)
+    columns = {"key": np.arange(n) // 2, "shard": np.zeros(n, int), "shards": np.ones(n, int), "doc_id": np.arange(n), "tie": np.zeros(n, int), "start": np.zeros(n, int)}
+    table = pa.table({**columns, "bytes": pa.array([t.tobytes() for t in texts], pa.binary())})
+    tracemalloc.start()
+    found = pa.Table.from_batches(list(S._shards(iter(table.to_batches(max_chunksize=5000)))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    # of each pair the windows before the changed byte start again in the second
+    assert sorted(zip(*(found[c].to_pylist() for c in ("doc_id", "first", "last")))) == [(d, 0, 20) for d in range(1, n, 2)]
+    assert peak < 180e6
+
+
 @given(st.binary(min_size=1, max_size=300), st.integers(1, 4))
 @settings(max_examples=60, deadline=None)
 def test_suffix_array_and_common_prefixes(data, times):
