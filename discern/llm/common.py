@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from discern.sources.scratch import discard, materialize, scratch_path
 
-__all__ = ["WORD", "discard", "fresh", "lower_ascii", "materialize", "read", "scratch_path", "stored", "word_count"]
+__all__ = ["WORD", "discard", "fresh", "lean", "lower_ascii", "materialize", "read", "scratch_path", "stored", "word_count"]
 
 #: A word: a run of anything but blank, tab, line feed, vertical tab, form feed, carriage return.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -76,6 +76,32 @@ def per_worker(key: str, make):
     return home.__dict__[key]
 
 
+def lean(run):
+    """``run`` on the batches of a task; then the worker gives the system back what it no longer uses.
+
+    An idle worker is kept for later tasks, and what it has freed but holds counts beside the next stages.
+    """
+
+    def until_done(batches):
+        yield from run(batches)
+        give_back()
+
+    return until_done
+
+
+def give_back() -> None:
+    """Free pages of this process to the system: Arrow's, and where the C library can (glibc) the rest."""
+    import ctypes
+    import sys
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None) if sys.platform == "linux" else None
+    if trim:
+        trim(0)
+
+
 def text_slices(batch, most: int = 2_000_000, column: int = 1):
     """An Arrow batch as slices of about ``most`` bytes of the text in ``column``, or one longer text."""
     import numpy as np

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from discern.llm.common import text_slices
+from discern.llm.common import lean, text_slices
 from discern.llm.sampling import balanced_sample
 
 LONGEST = 3
@@ -214,7 +214,7 @@ def predict(docs: DataFrame, model: dict | None, text_col: str = "text", names:
     """All columns of ``docs``, then the predicted language and its score under ``names``, which replace columns of these names."""
     docs = docs.drop(*names)
     schema = StructType([*docs.schema.fields, StructField(names[0], StringType()), StructField(names[1], DoubleType())])
-    return docs.mapInArrow(_predictor(model, docs.columns.index(text_col), names), schema)
+    return docs.mapInArrow(lean(_predictor(model, docs.columns.index(text_col), names)), schema)
 
 
 def identify(

@@ -1,6 +1,7 @@
 """Each numbered operator against a plain version, on small tables with awkward rows."""
 
 import hashlib
+import platform
 import zlib
 from collections import Counter, defaultdict
 
@@ -310,6 +311,29 @@ def test_suffix_in_small_shards_and_slices(spark, monkeypatch):
     assert {(r.doc_id, r.text) for r in got} == set(rows) and {r.doc_id: bytes(r.kept) for r in got} == plain_removed(rows)
 
 
+@pytest.mark.skipif(platform.libc_ver()[0] != "glibc", reason="only glibc gives pages back on demand")
+def test_a_worker_gives_back_what_a_task_has_freed():
+    from discern.llm import common as C
+
+    def held():
+        return next(int(line.split()[1]) for line in open("/proc/self/status") if line.startswith("RssAnon")) / 1024
+
+    pins = []
+
+    def run(batches):
+        for batch in batches:
+            texts = [bytes(2000) for _ in range(50_000)]
+            pins.append(bytes(2000))  # above the freed ones, which so stay in the process
+            del texts
+            yield batch
+
+    C.give_back()
+    before = held()
+    plain, after_plain = list(run([1, 2])), held()
+    assert list(C.lean(run)([1, 2])) == plain == [1, 2]
+    assert after_plain - before > 60 and held() - before < 30
+
+
 def test_a_suffix_shard_takes_little_memory():
     """Three megabytes of contexts of many anchors, in a peak that does not grow with them."""
     import tracemalloc
