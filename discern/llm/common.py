@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +16,9 @@ __all__ = ["WORD", "discard", "fresh", "lean", "lower_ascii", "materialize", "re
 WORD = r"[^\x20\x09-\x0D]+"
 
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+#: Of an Arrow batch of whole texts.  Spark's own 64 MB are held, rounded up, by each task and by its worker.
+TEXT_BATCH = "2m"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
@@ -41,24 +47,36 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
+@contextmanager
+def held(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """The session's settings for the length of a ``with`` block."""
+    before = {key: spark.conf.get(key, None) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
+
+
 class stored:
     """Scratch tables of one operator: each is written once, and dropped when no longer needed."""
 
     def __init__(self, spark: SparkSession, operator: str):
         self.spark, self.operator, self.paths = spark, operator, {}
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
-        """The table as written.  Shuffle files of the job that wrote it are not kept after it."""
+    def keep(self, df: DataFrame, name: str, batch_bytes: str | None = None) -> DataFrame:
+        """The table as written.  Shuffle files of the job that wrote it are not kept after it.
+
+        ``batch_bytes`` bounds the Arrow batches that the job hands to Python workers, for jobs on whole texts.
+        """
         self.paths[name] = scratch_path(self.spark, f"{self.operator}-{name}")
-        before = self.spark.conf.get(_CLEAN_UP, None)
-        self.spark.conf.set(_CLEAN_UP, "true")
-        try:
+        with held(self.spark, {_CLEAN_UP: "true"} | ({_BATCH_BYTES: batch_bytes} if batch_bytes else {})):
             return materialize(df, name, path=self.paths[name])
-        finally:
-            if before is None:
-                self.spark.conf.unset(_CLEAN_UP)
-            else:
-                self.spark.conf.set(_CLEAN_UP, before)
 
     def drop(self, *names: str) -> None:
         for name in names:

@@ -18,13 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discern.llm.common import per_worker, stored, text_slices
+from discern.llm.common import TEXT_BATCH, give_back, lean, per_worker, stored, text_slices
 
 END_ID = 2
 #: Pieces of a packing shard: large enough to waste next to nothing, small enough for one task.
 SHARD_PIECES = 8192
 #: Distinct word pieces a worker remembers.
 REMEMBERED = 200_000
+#: Bytes of text encoded at once; the arrays take about a hundred times as much.
+SLICE_BYTES = 125_000
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 #: The characters with Unicode's White_Space property.
@@ -36,7 +38,7 @@ def _classes() -> np.ndarray:
     import unicodedata
 
     first = {"L": _LETTER, "N": _NUMBER}
-    table = np.array([first.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(0x110000)], np.uint8)
+    table = np.fromiter((first.get(unicodedata.category(chr(i))[0], _OTHER) for i in range(0x110000)), np.uint8, 0x110000)
     table[_WHITE] = _SPACE
     return table
 
@@ -87,6 +89,7 @@ class Encoder:
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.classes = _classes()
         self._forget()
+        give_back()  # the parsed file
 
     def _forget(self) -> None:
         self.known: dict[int, int] = {}
@@ -161,7 +164,7 @@ def _pieces(path: str, size: int, end_id: int) -> Callable[[Iterator[pa.RecordBa
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = per_worker(f"encoder {path}", lambda: Encoder(path))
         for batch in batches:
-            for rows in text_slices(batch, 500_000):
+            for rows in text_slices(batch, SLICE_BYTES):
                 out: list[list] = [[], [], [], [], []]
                 texts = [t or "" for t in rows.column(1).to_pylist()]
                 for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(texts)):
@@ -245,7 +248,7 @@ def _pack_shard(size: int) -> Callable[[pa.Table], pa.Table]:
 def tokenized_pieces(docs: DataFrame, tokenizer: str, size: int, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Every document's tokens and the end id, cut into pieces of at most ``size``."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(
-        _pieces(tokenizer, size, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"
+        lean(_pieces(tokenizer, size, end_id)), "doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 
@@ -257,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, shard_pieces: int =
     sequence_id and offset.
     """
     kept = stored(docs.sparkSession, "packing")
-    pieces = kept.keep(tokenized_pieces(docs, tokenizer, size, **columns), "pieces")
+    pieces = kept.keep(tokenized_pieces(docs, tokenizer, size, **columns), "pieces", TEXT_BATCH)
     shards = max(1, -(-pieces.count() // shard_pieces))
     # the row's place in the written table takes part, so copies of one row spread over all shards
     place = F.monotonically_increasing_id()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -665,6 +666,45 @@ def test_url_filter(spark):
 # ---- packing
 
 
+def test_packing_holds_little_text_at_once(spark, monkeypatch):
+    """Texts reach a worker in small Arrow batches and its encoder in small slices; the session keeps its own limit."""
+    from discern.llm import packing as P
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, texts = spark.conf.get(limit), [f"{k} " + "some words here " * 125 for k in range(4000)]
+
+    def pieces(*_):
+        def run(batches):
+            for batch in batches:
+                n = batch.num_rows
+                columns = [batch.column(0), pa.array([0] * n, pa.int32()), *[pa.array([v] * n, pa.int64()) for v in (batch.nbytes, 1, 0)]]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "piece", "start", "length", "ids_crc32"])
+
+        return run
+
+    seen = []
+
+    class Counting:
+        def __init__(self, path):
+            pass
+
+        def encode(self, texts):
+            seen.append(sum(map(len, texts)))
+            return [np.arange(len(t) % 7, dtype=np.int32) for t in texts]
+
+    with monkeypatch.context() as patched:
+        patched.setattr(P, "Encoder", Counting)
+        batch = pa.RecordBatch.from_arrays([pa.array(range(4000), pa.int64()), pa.array(texts)], names=["doc_id", "text"])
+        found = [i for rows in P._pieces("counting", 1024, 2)(iter([batch])) for i in rows.column(0).to_pylist()]
+    assert found == list(range(4000)) and max(seen) <= 250_000
+    table = spark.createDataFrame(enumerate(texts), "doc_id long, text string").coalesce(1)
+    with monkeypatch.context() as patched:
+        patched.setattr(P, "_pieces", pieces)
+        got = P.pack(table, "").select("doc_id", "start").collect()
+    assert sorted(r.doc_id for r in got) == list(range(4000)) and max(r.start for r in got) < 4_000_000
+    assert spark.conf.get(limit) == before
+
+
 def test_packing(spark, docs, no_docs):
     from tokenizers import Tokenizer
 
