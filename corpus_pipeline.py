@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from discern.llm.common import TEXT_BATCH, WORD, fresh, lean, stored, text_slices
+from discern.llm.common import WORD, fresh, lean, stored, text_slices
 from discern.llm.language_id import UNKNOWN, predict, train
 from discern.llm.minhash import near_duplicates, words_of
 from discern.llm.mixing import mix
@@ -69,7 +69,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     marks = {"mark": F.xxhash64(row), "mark2": F.xxhash64(F.lit(1), row)}
     slim = docs.select(F.col("doc_id"), F.col("text"), *[c.alias(name) for name, c in marks.items()])
     schema = StructType([slim.schema["doc_id"], StructField("key", StringType()), *slim.schema.fields[2:]])
-    keyed = kept.keep(slim.mapInArrow(lean(_word_keys), schema), "keyed", TEXT_BATCH)
+    keyed = kept.keep_texts(slim.mapInArrow(lean(_word_keys), schema), "keyed")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "mark", "mark2")
     one = keyed.where("key IS NOT NULL").groupBy("key").agg(F.min(order).alias("one"))
     one = kept.keep(one.select("key", "one.doc_id", "one.mark", "one.mark2"), "classes")

@@ -69,15 +69,17 @@ class stored:
     def __init__(self, spark: SparkSession, operator: str):
         self.spark, self.operator, self.paths = spark, operator, {}
 
-    def keep(self, df: DataFrame, name: str, batch_bytes: str | None = None) -> DataFrame:
-        """The table as written.  Shuffle files of the job that wrote it are not kept after it.
-
-        ``batch_bytes`` bounds the Arrow batches that the job hands to Python workers, for jobs on whole texts.
-        """
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """The table as written.  Shuffle files of the job that wrote it are not kept after it."""
         self.paths[name] = scratch_path(self.spark, f"{self.operator}-{name}")
-        with held(self.spark, {_CLEAN_UP: "true"} | ({_BATCH_BYTES: batch_bytes} if batch_bytes else {})):
+        with held(self.spark, {_CLEAN_UP: "true"}):
             return materialize(df, name, path=self.paths[name])
 
+    def keep_texts(self, df: DataFrame, name: str) -> DataFrame:
+        """``keep`` for a job that hands whole texts to Python workers: in Arrow batches of ``TEXT_BATCH``."""
+        with held(self.spark, {_BATCH_BYTES: TEXT_BATCH}):
+            return self.keep(df, name)
+
     def drop(self, *names: str) -> None:
         for name in names:
             discard(self.spark, self.paths.pop(name))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from discern.llm.common import TEXT_BATCH, lean, stored, text_slices
+from discern.llm.common import lean, stored, text_slices
 from discern.llm.graph import components
 
 HASHES, ROWS, BITS = 96, 4, 2
@@ -244,8 +244,8 @@ def near_duplicates(
     """
     kept = stored(docs.sparkSession, "minhash")
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    signed = kept.keep(
-        rows.mapInArrow(lean(_signatures(width)), "doc_id long, key binary, n_shingles long, bands array<long>, bits array<long>"), "signed", TEXT_BATCH
+    signed = kept.keep_texts(
+        rows.mapInArrow(lean(_signatures(width)), "doc_id long, key binary, n_shingles long, bands array<long>, bits array<long>"), "signed"
     )
     classes = kept.keep(signed.where("n_shingles > 0").groupBy("key").agg(F.min("doc_id").alias("id")).where("id IS NOT NULL"), "classes")
     first = signed.join(classes.withColumnRenamed("key", "_key"), (F.col("doc_id") == F.col("id")) & (F.col("key") == F.col("_key")), "left_semi")
@@ -260,7 +260,7 @@ def near_duplicates(
         pairs = kept.keep(pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"pairs-{name}")
         # as a table its size is known: where it is small enough to be broadcast, no text is shuffled
         wanted = kept.keep(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), f"wanted-{name}")
-        sets = kept.keep(rows.join(wanted, "doc_id").mapInArrow(lean(_full_sets(width)), "id long, set binary"), f"sets-{name}", TEXT_BATCH)
+        sets = kept.keep_texts(rows.join(wanted, "doc_id").mapInArrow(lean(_full_sets(width)), "id long, set binary"), f"sets-{name}")
         with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("set").alias("set_b")), "b")
         both = with_b.join(sets.select(F.col("id").alias("a"), F.col("set").alias("set_a")), "a").select("a", "b", "set_a", "set_b")
         found = kept.keep(both.mapInArrow(lean(_confirm(percent)), "a long, b long"), f"links-{name}")
@@ -292,9 +292,9 @@ def near_duplicates(
         kept.drop(f"open-{turn}")
     # What is left is filed under its rarest shingles.
     open_ = kept.keep(unconnected().select(F.col("id").alias("doc_id")).distinct(), "open")
-    grams = kept.keep(rows.join(open_, "doc_id").mapInArrow(lean(_grams(width)), "id long, gram long, n long").distinct(), "grams", TEXT_BATCH)
+    grams = kept.keep_texts(rows.join(open_, "doc_id").mapInArrow(lean(_grams(width)), "id long, gram long, n long").distinct(), "grams")
     wide = rows.join(open_, "doc_id").mapInArrow(lean(_wide_bits(width)), "id long, wide array<long>").dropDuplicates(["id"])
-    wide = kept.keep(wide, "wide", TEXT_BATCH)
+    wide = kept.keep_texts(wide, "wide")
     kept.drop("labelled", "members")
     common = kept.keep(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("f")).where("f > 1"), "common")
     # a text carries all its keys, so that a pair is made under the first one that both have

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from discern.llm.common import TEXT_BATCH, give_back, lean, per_worker, stored, text_slices
+from discern.llm.common import give_back, lean, per_worker, stored, text_slices
 
 END_ID = 2
 #: Pieces of a packing shard: large enough to waste next to nothing, small enough for one task.
@@ -260,7 +260,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = 1024, shard_pieces: int =
     sequence_id and offset.
     """
     kept = stored(docs.sparkSession, "packing")
-    pieces = kept.keep(tokenized_pieces(docs, tokenizer, size, **columns), "pieces", TEXT_BATCH)
+    pieces = kept.keep_texts(tokenized_pieces(docs, tokenizer, size, **columns), "pieces")
     shards = max(1, -(-pieces.count() // shard_pieces))
     # the row's place in the written table takes part, so copies of one row spread over all shards
     place = F.monotonically_increasing_id()

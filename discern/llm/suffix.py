@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StringType, StructField, StructType
 
-from discern.llm.common import TEXT_BATCH, lean, stored, text_slices
+from discern.llm.common import lean, stored, text_slices
 
 WINDOW, GRAM = 100, 24
 REACH = WINDOW - GRAM + 1
@@ -397,7 +397,7 @@ def remove_repeats(
     kept = stored(docs.sparkSession, "suffix")
     rows, several = _documents(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")), kept)
     # every text is hashed once; the table is read for the anchors that repeat, then for their runs
-    every = kept.keep(rows.mapInArrow(lean(_runs), "key long, context long, doc_id long, tie long, run long"), "every", TEXT_BATCH)
+    every = kept.keep_texts(rows.mapInArrow(lean(_runs), "key long, context long, doc_id long, tie long, run long"), "every")
     repeated = kept.keep(every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"), "keys")
     runs = kept.keep(every.join(repeated, "key").select("key", "context", "doc_id", "tie", "run"), "runs")
     kept.drop("every")
@@ -415,7 +415,7 @@ def remove_repeats(
     wanted = wanted.withColumn("shard", F.pmod("context", F.col("shards")))
     lists = wanted.groupBy("doc_id", "tie").agg(F.collect_list(F.struct("key", "shard", "shards", "run")).alias("wanted"))
     cut = rows.join(lists, ["doc_id", "tie"]).select("doc_id", "tie", "text", "wanted")
-    cut = kept.keep(cut.mapInArrow(lean(_cut), "key long, shard long, shards long, doc_id long, tie long, start long, bytes binary"), "cut", TEXT_BATCH)
+    cut = kept.keep_texts(cut.mapInArrow(lean(_cut), "key long, shard long, shards long, doc_id long, tie long, start long, bytes binary"), "cut")
     dealt = cut.repartition("key", "shard").sortWithinPartitions("key", "shard", "doc_id", "tie", "start")
     judged = kept.keep(dealt.mapInArrow(lean(_shards), _JUDGED), "judged")
     merged = judged.where("key IS NOT NULL").groupBy("key", "part").applyInArrow(_merge, _FOUND)
