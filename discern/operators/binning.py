@@ -25,6 +25,9 @@ from discern.operators.split import poisson_cuts
 
 Point = Mapping[Param, object]
 
+# Classes that Spark's classifiers count by themselves.
+MOST_CLASSES = 100
+
 
 def _values(head: Estimator, points: Sequence[Point], name: str) -> list:
     param = head.getParam(name)
@@ -45,6 +48,8 @@ def can_bin(head: Estimator, points: Sequence[Point]) -> bool:
 
 def feature_values(rows: DataFrame, array: str, width: int, most: int) -> list[list[float]]:
     """Of each feature the lower ends of its bins: all its values if they are at most ``most``, else the least and quantiles."""
+    if not width:
+        return []
     cells = [F.get(array, F.lit(i)) for i in range(width)]
     shares = [i / most for i in range(1, most)]
     asked = [[F.approx_count_distinct(c, 0.05), F.min(c), F.percentile_approx(c, F.array(*map(F.lit, shares)), 10000)] for c in cells]
@@ -91,10 +96,21 @@ def binned_cells(folded: DataFrame, ids: Sequence[str], label: str, head: Estima
     sums = [F.sum(drawn_weight(t)).cast("double").alias(drawn_weight(t)) for t in trees]
     cells = rows.groupBy("fold", "_label", *[f"_b{i}" for i in many]).agg(F.count("*").cast("double").alias(weight), *sums)
     back = [F.element_at(F.array(*map(F.lit, bins[i])), F.col(f"_b{i}").cast("int") + 1) if i in many else F.lit(bins[i][0]) for i in range(width)]
-    vector = array_to_vector(F.array(*back)).alias(name, metadata=folded.schema[name].metadata)
+    vector = array_to_vector(F.array(*back).cast("array<double>")).alias(name, metadata=folded.schema[name].metadata)
     return cells.select("fold", F.col("_label").alias(label), vector, weight, *[drawn_weight(t) for t in trees])
 
 
+def ready_cells(training: DataFrame, label: str, trees: int) -> tuple[DataFrame, list[int]]:
+    """Cells whose label tells all trees the number of classes, and the trees that drew a row; all, if none did."""
+    found = training.agg(F.max(f"`{label}`").alias("most"), *[F.sum(drawn_weight(t)).alias(f"t{t}") for t in range(trees)]).first()
+    drew = [t for t in range(trees) if found[f"t{t}"]] or list(range(trees))
+    most = float(found["most"] if found["most"] is not None else -1.0)
+    if not (0 <= most < MOST_CLASSES and most.is_integer()):
+        return training, drew  # a fit refuses these labels
+    known = {"ml_attr": {"type": "nominal", "name": label, "num_vals": int(most) + 1}}
+    return training.withColumn(label, F.col(f"`{label}`").alias(label, metadata=known)), drew
+
+
 def tree_estimators(head: RandomForestClassifier, point: Point) -> list[tuple[RandomForestClassifier, str]]:
     """The trees of a forest, each with the weight that it is fitted on."""
     trees, subset, seed = (_values(head, [point], name)[0] for name in ("numTrees", "featureSubsetStrategy", "seed"))

@@ -8,6 +8,7 @@ and leave their answer at every depth that is asked for.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict
 from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import Executor
@@ -16,14 +17,14 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.ml import Estimator, Model
-from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassifier
+from pyspark.ml.classification import DecisionTreeClassifier, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.param import Param
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from discern.sources.scratch import discard, scratch_path
 
-DEPTH, TREES = "maxDepth", "numTrees"
+DEPTH, TREES, SUBSET = "maxDepth", "numTrees", "featureSubsetStrategy"
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,12 @@ def exact_depths(head: Estimator, point: Mapping[Param, object]) -> bool:
     return subset == "all" or (subset == "auto" and trees == 1)
 
 
-def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], share: bool | None = None, share_trees: bool = False, drawn: bool = False) -> list[Group]:
+def sees_all_columns(subset: str, width: int) -> bool:
+    """Whether a forest of several trees draws all columns for each node: its trees are then those without draws."""
+    return subset == "all" or (subset in ("auto", "sqrt") and math.ceil(math.sqrt(width)) == width)
+
+
+def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], share: bool | None = None, share_trees: bool = False, drawn: bool = False, width: int | None = None) -> list[Group]:
     """Points by what they have besides the depth; a group of one is fitted as it is.
 
     ``share``: ``None`` joins points where that changes nothing, ``True`` also in forests that draw
@@ -56,6 +62,7 @@ def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], shar
     trees are drawn and grown apart, so the first ones of a forest are a smaller forest with draws of
     its own.  One tree alone draws no rows, and stays apart.  Forests ``drawn`` tree by tree
     (``discern.operators.binning``) share trees wherever they share depths, as that changes nothing in them.
+    ``width``, the number of features, joins drawn forests that see all columns under another name.
     """
     own_depth = [int(p.get(head.getParam(DEPTH), head.getOrDefault(DEPTH))) if head.hasParam(DEPTH) else 0 for p in points]
     alone = [Group(p, {i: own_depth[i]}) for i, p in enumerate(points)]
@@ -70,6 +77,9 @@ def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], shar
     found: dict[object, list[int]] = defaultdict(list)
     for i, point in enumerate(points):
         free = {DEPTH, TREES} if trees(i) > 1 else {DEPTH}
+        subset = head.getParam(SUBSET) if drawn and width else None
+        if subset and sees_all_columns(point.get(subset, head.getOrDefault(subset)), width):
+            point = {**point, subset: "all"}
         rest = (trees(i) > 1, *sorted((p.name, repr(v)) for p, v in point.items() if p.name not in free))
         found[rest if share or exact_depths(head, point) else i].append(i)
     groups = []
@@ -83,6 +93,18 @@ def depth_groups(head: Estimator, points: Sequence[Mapping[Param, object]], shar
     return groups
 
 
+def joined(forests: Sequence[Model], spark: SparkSession) -> Model:
+    """The trees of several forests as one, which is saved at once."""
+    java = spark.sparkContext._jvm.org.apache.spark.ml.classification
+    trees = [tree for forest in forests for tree in forest._java_obj.trees()]
+    array = spark.sparkContext._gateway.new_array(java.DecisionTreeClassificationModel, len(trees))
+    for i, tree in enumerate(trees):
+        array[i] = tree
+    first = forests[0]
+    made = java.RandomForestClassificationModel(first.uid, array, first.numFeatures, max(f.numClasses for f in forests))
+    return RandomForestClassificationModel(made)
+
+
 def node_tables(models: Sequence[Model], spark: SparkSession, pool: Executor, root: str) -> DataFrame:
     """``model, tree, id, prediction, stats, left, right, feature, values, categories`` of the nodes of all models.
 
@@ -199,21 +221,29 @@ def _walkers(models: Sequence[Sequence[dict]], points: Sequence[Sequence[tuple[i
     return run
 
 
-def stopped_predictions(models: Sequence[Model | Sequence[Model]], groups: Sequence[Group], rows: DataFrame, label: str, pool: Executor, kept: Sequence[str] = ()) -> DataFrame:
+# A tree of a forest that drew no row: it has no vote.
+NO_TREE = {"id": 0, "stats": [0.0], "left": -1, "right": -1, "feature": -1, "values": [], "categories": -1}
+
+
+def stopped_predictions(models: Sequence[Model | Sequence[Model | None]], groups: Sequence[Group], rows: DataFrame, label: str, pool: Executor, kept: Sequence[str] = ()) -> DataFrame:
     """``label, model, prediction`` and the ``kept`` doubles of the row, of every point of ``groups``: one scan of ``rows``, one walk a tree.
 
-    ``models`` are the fits of the groups' deepest points, or lists of a forest's trees; ``model`` is the place of a point in the grid.
+    ``models`` are the fits of the groups' deepest points, or lists of a forest's trees, ``None`` for one that drew no row;
+    ``model`` is the place of a point in the grid.
     """
     spark = rows.sparkSession
     root = scratch_path(spark, "trees")
     nodes: dict[tuple[int, int], list] = defaultdict(list)
-    parts = [m if isinstance(m, list) else [m] for m in models]
-    flat, owner = [m for own in parts for m in own], [i for i, own in enumerate(parts) for _ in own]
+    flat = list(pool.map(lambda m: joined([t for t in m if t is not None], spark) if isinstance(m, list) else m, models))
     for node in node_tables(flat, spark, pool, root).collect():  # the nodes of models that the driver holds
         nodes[node["model"], node["tree"]].append(node)
     discard(spark, root)
-    made = [[stopped_tree(nodes[key], sorted(set(g.depths.values()))) for key in sorted(nodes) if owner[key[0]] == i] for i, g in enumerate(groups)]
-    features = flat[0].getOrDefault("featuresCol")
+    made = []
+    for i, (model, g) in enumerate(zip(models, groups)):
+        own = iter([nodes[key] for key in sorted(nodes) if key[0] == i])
+        grown = [[NO_TREE] if t is None else next(own) for t in model] if isinstance(model, list) else own
+        made.append([stopped_tree(tree, sorted(set(g.depths.values()))) for tree in grown])
+    features = next(t for m in models for t in (m if isinstance(m, list) else [m]) if t is not None).getOrDefault("featuresCol")
     run = _walkers(made, [[(p, d, g.trees.get(p, 0)) for p, d in sorted(g.depths.items())] for g in groups], 0, 1, kept)
     known: Column = F.col(label).isNotNull()
     return rows.where(known).select(F.col(label).cast("double").alias("label"), features, *kept).mapInArrow(run, ", ".join(["label double, model int, prediction double", *[f"{c} double" for c in kept]]))

@@ -20,7 +20,8 @@ from pyspark.ml.tuning import ParamGridBuilder
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from discern.operators.binning import binned_cells, can_bin, tree_estimators
+from discern.operators.binning import binned_cells, can_bin, ready_cells, tree_estimators
+from discern.operators.features import vector_width
 from discern.operators.metrics import class_figures, per_class
 from discern.operators.nested import Group, depth_groups, stopped_predictions
 from discern.operators.split import with_fold
@@ -298,7 +299,8 @@ def cross_validate(
             head = head if drawn else head.copy({head.weightCol: WEIGHT})
         settings = [share_depths, share_trees, "bins"] if bins else [share_depths, True] if share_trees else share_depths
         book = Ledger(spark, ledger, search_key(folded, stages, param_maps, k, label, settings)) if ledger else None
-        groups = depth_groups(head, param_maps, share_depths, share_trees, drawn)
+        width = vector_width(folded, head.getOrDefault("featuresCol")) if drawn else None
+        groups = depth_groups(head, param_maps, share_depths, share_trees, drawn, width)
         means, folds = _mean_scores(folded, whole, before, head, groups, len(param_maps), label, metric, parallelism, book, drawn)
         best = max(range(len(param_maps)), key=lambda i: (means[i] is not None, round(means[i] or 0.0, DIGITS), -i))
         model = None
@@ -345,13 +347,15 @@ def _mean_scores(
                 with _ONE_SOLVER:
                     fixed = Pipeline(stages=before).fit(whole.filter(F.col("fold") != fold).drop("fold"))
                 training, validation = fixed.transform(training), fixed.transform(validation)
+            if drawn:
+                training, drew = ready_cells(training, label, max(len(tree_estimators(head, g.deepest)) for g in missing))
         for start in range(0, len(missing), MODELS_PER_SCAN):
             chunk = missing[start : start + MODELS_PER_SCAN]
             if drawn:
                 trees = [tree_estimators(head, g.deepest) for g in chunk]
-                jobs = [(estimator, training.where(F.col(weight) > 0)) for own in trees for estimator, weight in own]
+                jobs = [(estimator, training.where(F.col(weight) > 0)) for own in trees for t, (estimator, weight) in enumerate(own) if t in drew]
                 grown = iter(list(fits.map(on_thread(lambda job: job[0].fit(job[1])), jobs)))
-                models = [[next(grown) for _ in own] for own in trees]
+                models = [[next(grown) if t in drew else None for t in range(len(own))] for own in trees]
             else:
                 models = list(fits.map(on_thread(lambda g: head.fit(training, dict(g.deepest))), chunk))
             plain = [i for i, g in enumerate(chunk) if len(g.depths) == 1 and not drawn]  # fitted as they are
